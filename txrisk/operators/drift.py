@@ -7,7 +7,7 @@ combined before the shuffle; ordered statistics run over value slices.
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 from txrisk.operators.metrics import quality_metrics
@@ -106,7 +106,7 @@ def ks_p_value(d: Column, n: Column, m: Column) -> Column:
     return F.when(x < 0.2, 1.0).otherwise(F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0)))
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def chi_square_p_value(x: pd.Series, dof: pd.Series) -> pd.Series:
     """Upper tail of the chi-square distribution for a whole number of degrees of freedom."""
 
@@ -129,7 +129,7 @@ def chi_square_p_value(x: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([tail(v, int(k)) if pd.notna(v) and pd.notna(k) else None for v, k in zip(x, dof)], dtype="float64")
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def normal_p_value(z: pd.Series) -> pd.Series:
     """Two-sided tail of the standard normal distribution."""
     return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)) if pd.notna(v) else None).astype("float64")

@@ -81,7 +81,7 @@ def load_champion(spark: SparkSession, runs_path: str, model_name: str) -> tuple
     if run.run_id not in _LOADED:
         _LOADED.clear()
         _LOADED[run.run_id] = PipelineModel.load(run.model_path)
-    return _LOADED[run.run_id], run.run_id, "ensemble"
+    return _LOADED[run.run_id], run.run_id, run.serve
 
 
 def to_predictions(scored: DataFrame, at: Column | None = None) -> DataFrame:

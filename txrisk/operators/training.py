@@ -107,9 +107,9 @@ def promotion_history(runs: DataFrame) -> DataFrame:
     metric = F.coalesce("gate_metric", F.lit(0.0))
     best = F.max(metric).over(by_model.rowsBetween(Window.unboundedPreceding, -1))
     flagged = runs.withColumn("promoted", best.isNull() | (metric > best))
-    later = F.max(F.col("promoted").cast("int")).over(by_model.rowsBetween(1, Window.unboundedFollowing))
-    stage = F.when(F.col("promoted") & (F.coalesce(later, F.lit(0)) == 0), "Production").otherwise("Archived")
-    return flagged.withColumn("stage", stage)
+    place = F.struct("created_at", "run_id")
+    last = F.max(F.when(F.col("promoted"), place)).over(Window.partitionBy("model_name"))
+    return flagged.withColumn("stage", F.when(place == last, "Production").otherwise("Archived"))
 
 
 def champion(runs: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def train(features: DataFrame, runs_path: str, models_path: str, opts: TrainingO
     model_path = f"{models_path}/{run_id}"
     model.save(model_path)
     metrics = {f"{c}_{m}": r[m] for c, r in results.items() for m in METRICS}
-    record = (opts.model_name, run_id, datetime.now(timezone.utc), model_path, metrics[f"{opts.serve}_pr_auc"],
+    record = (opts.model_name, run_id, datetime.now(timezone.utc), model_path, opts.serve, metrics[f"{opts.serve}_pr_auc"],
               sizes.get("train", 0), sizes.get("val", 0), sizes.get("test", 0), rate, weight, FEATURE_COLS, metrics)
     spark.createDataFrame([record], MODEL_RUN).write.mode("append").parquet(runs_path)
     return run_id

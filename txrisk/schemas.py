@@ -82,6 +82,7 @@ MODEL_RUN = T.StructType([
     T.StructField("run_id", T.StringType()),
     T.StructField("created_at", T.TimestampType()),
     T.StructField("model_path", T.StringType()),
+    T.StructField("serve", T.StringType()),
     T.StructField("gate_metric", T.DoubleType()),
     T.StructField("train_size", T.LongType()),
     T.StructField("val_size", T.LongType()),
