@@ -20,63 +20,95 @@ def parse_messages(raw: DataFrame) -> DataFrame:
     field fails in stage `transform`, with the first failing field as the error. A failed row takes
     no part in any user's history.
     """
+    checked = [*REQUIRED_FIELDS, "_is_fraud"]
+    record = [("_is_fraud" if f.name == "label" else f.name, f.dataType.simpleString())
+              for f in TRANSACTION.fields if f.name != "ts_us"]
     text = F.col("value").cast("string")
-    doc = F.when(F.is_valid_utf8(text), F.try_parse_json(text))
-    fields = {n: F.try_variant_get("doc", f"$.{n}", "variant")
-              for n in [*REQUIRED_FIELDS, "currency", "device_fingerprint", "_is_fraud"]}
-    rows = raw.withColumn("doc", doc).withColumns({f"v_{n}": v for n, v in fields.items()})
-    rows = rows.withColumns({f"t_{n}": F.schema_of_variant(f"v_{n}") for n in fields})
+    quick = F.from_json(
+        F.when(F.is_valid_utf8(text), text), ", ".join(f"{n} {t}" for n, t in [*record, ("_corrupt", "string")]),
+        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt",
+         "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"})
+    tidy = F.trim(text)
+    # one object that closes with its first brace has nothing after it
+    whole = tidy.startswith("{") & (F.instr(tidy, "}") == F.length(tidy))
+    plain = ~F.col("quick.user_id").rlike(r"^([-\d{\[]|true$|false$)")
+    for name in ("transaction_id", "merchant_id", "country", "merchant_category"):
+        plain = plain & ~F.col(f"quick.{name}").rlike(r"^([{\[]|true$|false$)")
+    sure = whole & plain & F.col("quick._corrupt").isNull()
+    for name in REQUIRED_FIELDS:
+        sure = sure & F.col(f"quick.{name}").isNotNull()
+    rows = raw.select(*MESSAGE_COLS, quick.alias("quick"))
+    rows = rows.withColumn("sure", F.coalesce(sure, F.lit(False)))
+    # only records the typed parse cannot vouch for are parsed again with their own types
+    # (as the only element of an array, so that anything after the record makes it invalid)
+    alone = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    rows = rows.withColumn("list", F.when(~F.col("sure") & F.is_valid_utf8(text), alone))
+    rows = rows.withColumn("doc", F.when(
+        F.try_variant_get("list", "$[1]", "variant").isNull(), F.try_variant_get("list", "$[0]", "variant")))
     rows = rows.withColumns({
-        "amount": F.try_variant_get("v_amount", "$", "double"),
-        "timestamp": F.try_variant_get("v_timestamp", "$", "double"),
-        "card_present": F.try_variant_get("v_card_present", "$", "boolean"),
-        "label": F.try_variant_get("v__is_fraud", "$", "int"),
-        **{n: F.try_variant_get(f"v_{n}", "$", "string")
-           for n in ("transaction_id", "user_id", "merchant_id", "merchant_category", "country")},
-        "currency": F.coalesce(F.try_variant_get("v_currency", "$", "string"), F.lit("USD")),
-        "device_fingerprint": F.try_variant_get("v_device_fingerprint", "$", "string"),
+        "types": F.schema_of_variant(F.to_variant_object(F.try_variant_get(
+            "doc", "$", "struct<" + ", ".join(f"{n}: variant" for n in checked) + ">"))),
+        "tx": F.when(F.col("sure"), F.struct(*[F.col(f"quick.{n}").alias(n) for n, _ in record])).otherwise(
+            F.try_variant_get("doc", "$", "struct<" + ", ".join(f"{n}: {t}" for n, t in record) + ">")),
     })
-    error = F.when(~F.schema_of_variant("doc").startswith("OBJECT"), F.lit("message is not an object"))
-    for failed, message in _transform_rules():
-        error = error.when(failed, message)
-    bad_json = F.col("doc").isNull()
-    rows = rows.withColumn("transform_error", error)
-    return rows.select(
-        *MESSAGE_COLS,
-        F.when(bad_json, "deserialize").when(F.col("transform_error").isNotNull(), "transform").alias("stage"),
-        F.when(bad_json, F.when(F.col("value").isNull(), "no payload")
-               .when(~F.is_valid_utf8(text), "payload is not UTF-8").otherwise("payload is not JSON"))
-        .otherwise(F.col("transform_error")).alias("error"),
-        F.when(~bad_json & F.col("transform_error").isNull(), S.epoch_micros(F.col("timestamp"))).alias("ts_us"),
-        *[c for c in TRANSACTION.names if c != "ts_us"],
+    good = (F.col("sure") | F.coalesce(F.col("types").rlike(_good_types()), F.lit(False))) & F.coalesce(_in_range(), F.lit(False))
+    bad_json = ~F.col("sure") & F.col("doc").isNull()
+    outcome = F.struct(
+        F.when(bad_json, "deserialize").when(~good, "transform").alias("stage"),
+        F.when(good, S.epoch_micros(F.col("tx.timestamp"))).alias("ts_us"),
+        "types", "tx",
     )
+    # the generator keeps a filter on `stage` above the parse, so that a record is read once
+    return rows.select(*MESSAGE_COLS, F.inline(F.array(outcome))).select(
+        *MESSAGE_COLS, "stage",
+        F.when(F.col("stage").isNotNull(), _error_text()).alias("error"),
+        *[{"ts_us": F.col("ts_us"),
+           "label": F.col("tx._is_fraud").alias("label"),
+           "currency": F.coalesce("tx.currency", F.lit("USD")).alias("currency")}.get(c, F.col(f"tx.{c}").alias(c))
+          for c in TRANSACTION.names],
+    )
+
+
+# Fixed patterns: the type names a field may have in a schema text.
+NUMBER = r"(BIGINT|DECIMAL\(\d+,\d+\)|DOUBLE|FLOAT)"
+SCALAR = rf"(STRING|{NUMBER})"
+FIELD_TYPES = {
+    "user_id": "STRING", "transaction_id": SCALAR, "timestamp": NUMBER, "amount": NUMBER,
+    "merchant_id": SCALAR, "country": SCALAR, "card_present": "BOOLEAN", "merchant_category": SCALAR,
+}
+
+
+def _good_types() -> str:
+    """Pattern of the schema text of a record whose required fields are all there and well-typed."""
+    types = FIELD_TYPES | {"_is_fraud": f"(VOID|STRING|BOOLEAN|{NUMBER})"}
+    return "^OBJECT<" + ", ".join(f"{n}: {types[n]}" for n in sorted(types)) + ">$"
 
 
-def _transform_rules() -> list[tuple[Column, Column]]:
-    """(failure, error text) pairs in the order in which fields are read."""
-
-    def is_type(name: str, *types: str) -> Column:
-        kind = F.regexp_extract(f"t_{name}", "^[A-Z]+", 0)
-        return kind.isin(*types)
-
-    numbers = ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
-    rules = [
-        (F.col(f"v_{n}").isNull() | F.is_variant_null(f"v_{n}"), F.lit(f"'{n}'")) for n in REQUIRED_FIELDS
-    ]
-    rules += [(~is_type("user_id", "STRING"), F.lit("user_id is not text"))]
-    rules += [
-        (~is_type(n, "STRING", *numbers), F.lit(f"{n} is not a scalar"))
-        for n in ("transaction_id", "merchant_id", "country", "merchant_category")
-    ]
-    rules += [(~is_type(n, *numbers), F.lit(f"{n} is not a number")) for n in ("timestamp", "amount")]
-    rules += [
-        (~F.col("timestamp").between(FIRST_SECOND, LAST_SECOND), F.lit("timestamp is out of range")),
-        ((F.col("amount") <= -1) | (F.col("amount") >= AMOUNT_BOUND), F.lit("amount is out of range")),
-        (~is_type("card_present", "BOOLEAN"), F.lit("card_present is not a boolean")),
-        (F.col("v__is_fraud").isNotNull() & ~F.is_variant_null("v__is_fraud") & F.col("label").isNull(),
-         F.lit("_is_fraud is not a whole number")),
-    ]
-    return rules
+def _in_range() -> Column:
+    no_flag = F.col("sure") | F.col("types").contains("_is_fraud: VOID")
+    return (
+        F.col("tx.timestamp").between(FIRST_SECOND, LAST_SECOND)
+        & (F.col("tx.amount") > -1) & (F.col("tx.amount") < AMOUNT_BOUND)
+        & (no_flag | F.col("tx._is_fraud").isNotNull())
+    )
+
+
+def _error_text() -> Column:
+    """Why a row failed: the first failing field in the order in which fields are read."""
+    text, types = F.col("value").cast("string"), F.col("types")
+    error = (
+        F.when(F.col("value").isNull(), "no payload")
+        .when(~F.is_valid_utf8(text), "payload is not UTF-8")
+        .when(F.col("stage") == "deserialize", "payload is not JSON")
+        .when((F.col("tx.amount") <= -1) | (F.col("tx.amount") >= AMOUNT_BOUND), "amount is out of range")
+        .when(~F.col("tx.timestamp").between(FIRST_SECOND, LAST_SECOND), "timestamp is out of range")
+        .when(types.isNull(), "message is not an object")
+    )
+    for name in REQUIRED_FIELDS:
+        error = error.when(types.contains(f" {name}: VOID") | types.contains(f"<{name}: VOID"), f"'{name}'")
+    for name in REQUIRED_FIELDS:
+        error = error.when(~types.rlike(f"[< ]{name}: {FIELD_TYPES[name]}[,>]"), f"{name} has the wrong type")
+    return error.otherwise("_is_fraud is not a whole number")
 
 
 def good_transactions(parsed: DataFrame) -> DataFrame:

@@ -472,7 +472,7 @@ def soft_vote(spark, sf):
 
 @query(f"""WITH {TX}, runs AS (
       SELECT merchant_id AS model_name, strftime(ts, '%Y-%m-%d') AS run_id,
-             CASE WHEN count(*) > 2 THEN round(avg(amount) / 200, 6) END AS gate_metric FROM tx GROUP BY 1, 2),
+             CASE WHEN count(*) > 2 THEN sum(cents)::DOUBLE / count(*) / 20000 END AS gate_metric FROM tx GROUP BY 1, 2),
     flagged AS (
       SELECT *, row_number() OVER w = 1 OR coalesce(gate_metric, 0) >
           max(coalesce(gate_metric, 0)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS promoted
@@ -484,7 +484,7 @@ def promotion_history(spark, sf):
     """A model per merchant with a run per day; days of few transactions have no metric."""
     day = F.date_format(F.timestamp_micros("ts_us"), "yyyy-MM-dd")
     runs = _tx(spark, sf).groupBy(F.col("merchant_id").alias("model_name"), day.alias("run_id")).agg(
-        F.when(F.count("*") > 2, F.round(F.sum(F.round(F.col("amount") * 100).cast("bigint")) / 100 / F.count("*") / 200, 6)).alias("gate_metric"))
+        F.when(F.count("*") > 2, F.sum(F.round(F.col("amount") * 100).cast("bigint")) / F.count("*") / 20000).alias("gate_metric"))
     runs = runs.withColumn("created_at", F.to_timestamp("run_id", "yyyy-MM-dd"))
     return training.promotion_history(runs).drop("created_at")
 
