@@ -3,7 +3,7 @@
 from datetime import datetime, timezone
 import uuid
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -64,11 +64,10 @@ def fit_candidates(split: DataFrame, weight: float, opts: TrainingOptions = Trai
                   subsamplingRate=opts.subsample, featureSubsetStrategy=str(opts.column_sample),
                   minInstancesPerNode=opts.min_rows_per_leaf, seed=opts.seed, checkpointInterval=10)
     boosted = GBTClassifier(
-        maxIter=opts.rounds, stepSize=opts.rate, validationIndicatorCol="is_val", validationTol=opts.stale_tolerance,
-        probabilityCol="probability_boosted", rawPredictionCol="raw_boosted", predictionCol="class_boosted", **common)
-    forest = RandomForestClassifier(
-        numTrees=opts.forest_trees,
-        probabilityCol="probability_forest", rawPredictionCol="raw_forest", predictionCol="class_forest", **common)
+        maxIter=opts.rounds, stepSize=opts.rate, validationIndicatorCol="is_val", validationTol=opts.stale_tolerance, **common)
+    forest = RandomForestClassifier(numTrees=opts.forest_trees, **common)
+    for name, candidate in zip(CANDIDATES, (boosted, forest)):
+        candidate.setProbabilityCol(f"probability_{name}").setRawPredictionCol(f"raw_{name}").setPredictionCol(f"class_{name}")
     assembled = assembler.transform(used).select("features", "label", "weight", "is_val").persist()
     try:
         fitted_boosted = boosted.fit(assembled)
