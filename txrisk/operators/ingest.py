@@ -160,11 +160,13 @@ def feature_messages(features: DataFrame) -> DataFrame:
 def parse_feature_events(raw: DataFrame) -> DataFrame:
     """Feature columns of each message plus `is_corrupt`; the monitor counts and drops corrupt ones."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in FEATURE_VECTOR.fields)
-    parsed = raw.select(F.from_json(
-        F.col("value").cast("string"), f"{schema}, _corrupt string",
-        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("f"))
-    corrupt = F.col("f").isNull() | F.col("f._corrupt").isNotNull()
-    return parsed.select(*[F.col(f"f.{n}").alias(n) for n in FEATURE_VECTOR.names], corrupt.alias("is_corrupt"))
+    text = F.col("value").cast("string")
+    event = F.from_json(text, f"{schema}, _corrupt string",
+                        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    missing = F.trim(F.coalesce(text, F.lit(""))) == ""
+    parsed = raw.select(missing.alias("missing"), F.inline(F.array(event)))
+    corrupt = F.col("missing") | F.col("_corrupt").isNotNull()
+    return parsed.select(*FEATURE_VECTOR.names, corrupt.alias("is_corrupt"))
 
 
 def stage_counts(parsed: DataFrame) -> DataFrame:

@@ -20,8 +20,8 @@ def parse_requests(requests: DataFrame, value: str = "value") -> DataFrame:
     """Scoring requests as JSON text into typed columns; an ill-typed field becomes NULL."""
     types = {f.name: f.dataType.simpleString() for f in FEATURE_VECTOR.fields}
     schema = ", ".join(f"{c} {types[c]}" for c in REQUEST_COLS)
-    return requests.select(F.from_json(F.col(value), schema).alias("r")).select(
-        *[F.col(f"r.{c}").alias(c) for c in REQUEST_COLS])
+    # the generator keeps later filters above the parse, so that a request is read once
+    return requests.select(F.inline(F.array(F.from_json(F.col(value), schema))))
 
 
 def with_reject_reason(rows: DataFrame) -> DataFrame:

@@ -82,9 +82,45 @@ class _Bucket:
         return b - a, self.prefix[b] - self.prefix[a]
 
 
+class _Keys:
+    """A map state with its changes held back until the end of a call."""
+
+    def __init__(self, state, empty: bool):
+        self.state, self.fresh = state, empty
+        self.known: dict[str, int | None] = {}
+        self.changed: set[str] = set()
+        self.cleared = False
+
+    def get(self, key: str) -> int | None:
+        if key not in self.known:
+            stored = not self.fresh and self.state.containsKey((key,))
+            self.known[key] = self.state.getValue((key,))[0] if stored else None
+        return self.known[key]
+
+    def put(self, key: str, value: int | None) -> None:
+        self.known[key] = value
+        self.changed.add(key)
+
+    def clear(self) -> None:
+        self.known, self.changed = {}, set()
+        self.cleared = self.cleared or not self.fresh
+        self.fresh = True
+
+    def flush(self) -> None:
+        if self.cleared:
+            self.state.clear()
+        for key in self.changed:
+            if self.known[key] is not None:
+                self.state.updateValue((key,), (self.known[key],))
+            elif not self.fresh and self.state.containsKey((key,)):
+                self.state.removeKey((key,))
+
+
 class HistoryProcessor(StatefulProcessor):
     """Rows of a user are taken in the order of `order`; a row sees the state before it and itself."""
 
+    OPEN_LIMIT = 64
+
     def __init__(self, opts: FeatureOptions, payload: list[str], order: list[str], bucket_s: int,
                  retention_s: int, state_ttl_ms: int | None):
         self.opts, self.payload, self.order = opts, payload, order
@@ -108,30 +144,36 @@ class HistoryProcessor(StatefulProcessor):
             last, n, s, ss, f, n_merchants, n_countries = known[0], known[1], int(known[2]), int(known[3]), *known[4:7]
             totals = {b: [c, u] for b, c, u in zip(known[7], known[8], known[9])}
         open_buckets: dict[int, _Bucket] = {}
+        members, merchants, countries = (
+            _Keys(state, known is None) for state in (self.members, self.merchants, self.countries))
         opts = self.opts
         # the rows of one user in one micro-batch; their number is bounded by the trigger's limit
         for r in sorted(rows, key=lambda row: tuple(row[c] for c in self.order)):
             ts, units, tx_id = r.ts_us, round(r.amount * US), r.transaction_id
             gap = None if last is None else ts - last
             member = f"{units}:{tx_id}"
-            if self.members.containsKey((member,)):
-                old = self.members.getValue((member,))[0]
+            old = members.get(member)
+            if old is not None:
                 self._bucket(open_buckets, totals, old).remove(old, units, tx_id)
                 self._count(totals, old, -1, -units)
-            self.members.updateValue((member,), (ts,))
+            members.put(member, ts)
             self._bucket(open_buckets, totals, ts).add(ts, units, tx_id)
             self._count(totals, ts, 1, units)
             n_1h, u_1h = self._window(open_buckets, totals, ts, opts.short_window_s * US)
             n_24h, u_24h = self._window(open_buckets, totals, ts, opts.long_window_s * US)
-            n_merchants = self._seen(self.merchants, n_merchants, r.merchant_id, gap, opts.merchant_ttl_s)
-            n_countries = self._seen(self.countries, n_countries, r.country, gap, opts.country_ttl_s)
+            n_merchants = self._seen(merchants, n_merchants, r.merchant_id, gap, opts.merchant_ttl_s)
+            n_countries = self._seen(countries, n_countries, r.country, gap, opts.country_ttl_s)
             if gap is not None and gap > opts.moments_ttl_s * US:
                 n, s, ss, f = 0, 0, 0, 0
             yield self.output(*[r[c] for c in self.payload], n_1h, n_24h, u_1h / US, u_24h / US,
                               n_merchants, n_countries, n, Decimal(s), Decimal(ss), f)
             n, s, ss, f = n + 1, s + units, ss + units * units, f + (r.label or 0)
             last = ts if last is None else max(last, ts)
-        self._prune(open_buckets, totals, last - self.retention_us)
+            if len(open_buckets) > self.OPEN_LIMIT:
+                self._prune(open_buckets, totals, members, last - self.retention_us)
+        self._prune(open_buckets, totals, members, last - self.retention_us)
+        for keys in (members, merchants, countries):
+            keys.flush()
         for b, bucket in open_buckets.items():
             if bucket.changed and b in totals:
                 self.rows.updateValue((b,), (bucket.ts, bucket.units, bucket.ids))
@@ -164,23 +206,23 @@ class HistoryProcessor(StatefulProcessor):
                 count, units = count + n, units + u
         return count, units
 
-    def _seen(self, state, count: int, member: str, gap: int | None, ttl_s: int) -> int:
+    def _seen(self, keys: _Keys, count: int, member: str, gap: int | None, ttl_s: int) -> int:
         if gap is not None and gap > ttl_s * US:
-            state.clear()
+            keys.clear()
             count = 0
-        if state.containsKey((member,)):
+        if keys.get(member) is not None:
             return count
-        state.updateValue((member,), (1,))
+        keys.put(member, 1)
         return count + 1
 
-    def _prune(self, open_buckets, totals, before: int) -> None:
+    def _prune(self, open_buckets, totals, members: _Keys, before: int) -> None:
         for b in [b for b in totals if (b + 1) * self.bucket_us <= before]:
             bucket = self._bucket(open_buckets, totals, b * self.bucket_us)
             for units, tx_id in zip(bucket.units, bucket.ids):
-                self.members.removeKey((f"{units}:{tx_id}",))
-            if self.rows.containsKey((b,)):
+                members.put(f"{units}:{tx_id}", None)
+            if not members.fresh and self.rows.containsKey((b,)):
                 self.rows.removeKey((b,))
-            del totals[b]
+            del totals[b], open_buckets[b]
 
     def close(self) -> None:
         pass
