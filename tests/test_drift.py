@@ -86,8 +86,9 @@ def test_missing_values(spark):
 
 def test_report_slices(spark):
     df = spark.range(100).select(F.lit("s").alias("source"), (F.col("id") * 61_000_000 % 1_000_000_007).alias("at"), "id")
-    got = drift.report_slices(df, "source", "at", "id", batch_size=30).orderBy("at").collect()
-    assert [r.report_id for r in got] == [i // 30 for i in range(100)]
+    for slice_rows in (10**6, 40, 1):
+        got = drift.report_slices(df, "source", "at", "id", batch_size=30, slice_rows=slice_rows).orderBy("at").collect()
+        assert [r.report_id for r in got] == [i // 30 for i in range(100)]
 
 
 def test_baseline_prediction(spark):

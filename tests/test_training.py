@@ -39,6 +39,23 @@ def test_split_is_exact_and_repeatable(vectors):
     assert split.select("transaction_id", "part").exceptAll(other.select("transaction_id", "part")).count() > 0
 
 
+def test_copies_of_an_id_stay_together(spark):
+    rows = [(f"a{i}", 0) for i in range(50)] + [("hot", 0)] * 30 + [("only", 1)] + [(None, None)] * 3
+    split = training.stratified_split(spark.createDataFrame(rows, "transaction_id string, label int")).collect()
+    assert len(split) == len(rows)
+    assert len({r.part for r in split if r.transaction_id == "hot"}) == 1
+    assert {r.part for r in split if r.transaction_id == "only"} == {"train"}
+    assert sum(r.part == "train" for r in split if r.label == 0) >= 64
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 9, 10, 11, 199])
+def test_split_shares(spark, n):
+    df = spark.range(n).select(F.col("id").cast("string").alias("transaction_id"), F.lit(1).alias("label"))
+    got = [r.part for r in training.stratified_split(df).collect()]
+    want = ["train" if 10 * i < 8 * n else "val" if 10 * i < 9 * n else "test" for i in range(n)]
+    assert sorted(got) == sorted(want)
+
+
 def test_class_weight(spark):
     df = spark.createDataFrame([(0,)] * 6 + [(1,)] * 2, "label int")
     assert training.class_weight(df).first().scale_pos_weight == 3.0

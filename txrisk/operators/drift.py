@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 from txrisk.operators.metrics import quality_metrics
-from txrisk.operators.prefix import exact_quantiles, global_rank, running_totals
+from txrisk.operators.prefix import exact_quantiles, global_rank, running_totals, slice_of, slice_widths, within_limit
 from txrisk.schemas import CATEGORICAL_FEATURES, NUMERICAL_FEATURES
 
 # Limits of the default choice of test and the thresholds of each test.
@@ -228,9 +228,25 @@ def classification_quality(baseline: DataFrame, current: DataFrame) -> DataFrame
     return quality_metrics(both, ["frame"], p="prediction")
 
 
+# Widths of arrival slices to choose from, in micros.
+HOUR_US = 3_600_000_000
+ARRIVAL_WIDTHS = [HOUR_US, 60_000_000, 1_000_000, 1_000]
+
+
 def report_slices(features: DataFrame, source: str, arrival_us: str, tie: str, batch_size: int = 2000,
-                  slice_s: int = 60) -> DataFrame:
-    """`report_id`: consecutive runs of `batch_size` rows of a source, in arrival order."""
-    minute = F.floor(F.col(arrival_us) / (slice_s * 1_000_000))
-    ranked = global_rank(features, [source], [arrival_us, tie], minute)
-    return ranked.withColumn("report_id", F.floor(F.col("rank") / batch_size)).drop("rank", "group_rows")
+                  slice_rows: int = 2_000_000, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """`report_id`: consecutive runs of `batch_size` rows of a source, in arrival order.
+
+    Rows are ranked in slices of an hour of arrival; hours of more than `slice_rows` rows are cut
+    finer.
+    """
+    hour = F.floor(F.col(arrival_us) / HOUR_US)
+    rows = features.withColumn("arrival_hour", hour)
+    fine = slice_widths(rows, [source, "arrival_hour"], arrival_us, ARRIVAL_WIDTHS, slice_rows, slice_rows, broadcast_rows)
+    if fine is None:
+        rows = rows.withColumn("width", F.lit(HOUR_US))
+    else:
+        fine = F.broadcast(fine) if within_limit(fine, broadcast_rows) else fine
+        rows = rows.join(fine, [source, "arrival_hour"], "left").withColumn("width", F.coalesce("width", F.lit(HOUR_US)))
+    ranked = global_rank(rows, [source], [arrival_us, tie], slice_of(arrival_us) * F.col("width"))
+    return ranked.withColumn("report_id", F.floor(F.col("rank") / batch_size)).drop("rank", "arrival_hour", "width")

@@ -9,9 +9,8 @@ for any number of rows in it. Ordinary users take one shuffle by user. Users wit
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from txrisk.functions import scalar as S
-from txrisk.operators.prefix import within_limit
+from txrisk.operators.prefix import slice_of, slice_widths, within_limit
 from txrisk.options import US, FeatureOptions
-from txrisk.session import checkpointed
 
 # Slice widths to choose from for a split user, in seconds.
 SLICE_WIDTHS_S = [86_400, 3_600, 60, 1]
@@ -48,7 +47,7 @@ def history_features(tx: DataFrame, opts: FeatureOptions = FeatureOptions(),
     if within_limit(hot, opts.broadcast_rows):
         hot = F.broadcast(hot)
     cold_rows = rows.join(hot, "user_id", "left_anti")
-    hot_rows = rows.join(hot, "user_id").withColumn("slice", _slice_of("ts_us"))
+    hot_rows = rows.join(hot, "user_id").withColumn("slice", slice_of("ts_us"))
     cold = _windows(_entries(_neighbours(cold_rows, ["user_id"], opts, groups), [], opts, groups, payload),
                     ["user_id"], opts, groups, payload)
 
@@ -56,7 +55,7 @@ def history_features(tx: DataFrame, opts: FeatureOptions = FeatureOptions(),
     if _members(opts, groups):
         seen = hot_rows.unionByName(_edges(hot_rows, opts, groups), allowMissingColumns=True)
         linked = _neighbours(seen, ["user_id", "slice"], opts, groups).filter("edge is null")
-    entries = _entries(linked, ["width"], opts, groups, payload).withColumn("slice", _slice_of("at"))
+    entries = _entries(linked, ["width"], opts, groups, payload).withColumn("slice", slice_of("at"))
     carried = entries.unionByName(_carry(entries, hot_rows, opts, groups), allowMissingColumns=True)
     return cold.unionByName(_windows(carried, ["user_id", "slice"], opts, groups, payload))
 
@@ -64,36 +63,12 @@ def history_features(tx: DataFrame, opts: FeatureOptions = FeatureOptions(),
 def hot_users(tx: DataFrame, opts: FeatureOptions) -> DataFrame | None:
     """Users above `hot_rows` rows with the slice `width` (micros) to cut them by; None if there are none.
 
-    The width is the coarsest one whose fullest slice holds at most `slice_rows` rows. No width
-    exceeds the shortest expiry, so an idle gap that ends a session always falls between slices.
+    No width exceeds the shortest expiry, so an idle gap that ends a session always falls between
+    two slices.
     """
-    counts = tx.groupBy("user_id").agg(F.count("*").alias("n")).filter(F.col("n") > opts.hot_rows)
     shortest = min(opts.merchant_ttl_s, opts.country_ttl_s, opts.moments_ttl_s)
-    widths = [w for w in SLICE_WIDTHS_S if w <= shortest] or [1]
-    hot = checkpointed(counts.select("user_id"))
-    if hot.isEmpty():
-        return None
-    some = F.broadcast(hot) if within_limit(hot, opts.broadcast_rows) else hot
-    finest = widths[-1] * US
-    per_finest = (
-        tx.join(some, "user_id")
-        .withColumn("width", F.lit(finest))
-        .groupBy("user_id", _slice_of("ts_us").alias("place"))
-        .agg(F.count("*").alias("n"))
-    )
-    fullest = (
-        per_finest.withColumn("width", F.explode(F.array(*[F.lit(w * US) for w in widths])))
-        .groupBy("user_id", "width", F.floor(F.col("place") / (F.col("width") / finest)).alias("wide"))
-        .agg(F.sum("n").alias("n"))
-        .groupBy("user_id", "width").agg(F.max("n").alias("n"))
-    )
-    chosen = fullest.groupBy("user_id").agg(
-        F.coalesce(F.max(F.when(F.col("n") <= opts.slice_rows, F.col("width"))), F.lit(finest)).alias("width"))
-    return checkpointed(chosen)
-
-
-def _slice_of(time: str) -> Column:
-    return F.expr(f"({time} - pmod({time}, width)) div width")
+    widths = [w * US for w in SLICE_WIDTHS_S if w <= shortest] or [US]
+    return slice_widths(tx, ["user_id"], "ts_us", widths, opts.hot_rows, opts.slice_rows, opts.broadcast_rows)
 
 
 def _members(opts: FeatureOptions, groups: tuple[str, ...]) -> dict[str, list[str]]:

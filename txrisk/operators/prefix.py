@@ -8,6 +8,7 @@ over (key, slice) then gives the totals over the whole key.
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from txrisk.functions.scalar import value_slice
+from txrisk.session import checkpointed
 
 
 def running_totals(rows: DataFrame, keys: list[str], order: str, sums: list[str],
@@ -60,20 +61,48 @@ def exact_quantiles(value: str, count: str, probs: dict[str, float]) -> dict[str
     return out
 
 
+def slice_widths(rows: DataFrame, keys: list[str], time: str, widths: list[int], hot_rows: int,
+                 slice_rows: int, broadcast_rows: int) -> DataFrame | None:
+    """(keys, width) of every group with more than `hot_rows` rows; None if there is no such group.
+
+    `width` is the coarsest of `widths` (each a multiple of the next) whose fullest slice of `time`
+    holds at most `slice_rows` rows, else the finest. The table has at most rows / hot_rows entries.
+    """
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > hot_rows)
+    hot = checkpointed(counts.select(*keys))
+    if hot.isEmpty():
+        return None
+    finest = widths[-1]
+    some = F.broadcast(hot) if within_limit(hot, broadcast_rows) else hot
+    places = (
+        rows.join(some, keys).withColumn("width", F.lit(finest))
+        .groupBy(*keys, slice_of(time).alias("place")).agg(F.count("*").alias("n"))
+    )
+    fullest = (
+        places.withColumn("width", F.explode(F.array(*[F.lit(w) for w in widths])))
+        .groupBy(*keys, "width", F.floor(F.col("place") / (F.col("width") / finest)).alias("wide"))
+        .agg(F.sum("n").alias("n"))
+        .groupBy(*keys, "width").agg(F.max("n").alias("n"))
+    )
+    return checkpointed(fullest.groupBy(*keys).agg(
+        F.coalesce(F.max(F.when(F.col("n") <= slice_rows, F.col("width"))), F.lit(finest)).alias("width")))
+
+
+def slice_of(time: str) -> Column:
+    """Number of the slice of `width` that a time falls into."""
+    return F.expr(f"({time} - pmod({time}, width)) div width")
+
+
 def global_rank(rows: DataFrame, keys: list[str], order: list[str], slice_by: Column) -> DataFrame:
-    """Add `rank` (0-based row number along `order` within `keys`) and `group_rows`.
+    """Add `rank` (0-based row number along `order` within `keys`).
 
     `slice_by` must grow with `order`. Slice counts are combined before the shuffle and the table
     of slices stays small, so ranking a huge group uses as many tasks as it has slices.
     """
     rows = rows.withColumn("slice", slice_by)
-    by_key = Window.partitionBy(*keys)
-    before = by_key.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy(*keys, "slice").agg(F.count("*").alias("slice_rows")).select(
-        *keys, "slice",
-        F.coalesce(F.sum("slice_rows").over(before), F.lit(0)).alias("rank_start"),
-        F.sum("slice_rows").over(by_key).alias("group_rows"),
-    )
+        *keys, "slice", F.coalesce(F.sum("slice_rows").over(before), F.lit(0)).alias("rank_start"))
     in_slice = Window.partitionBy(*keys, "slice").orderBy(*order)
     return (
         rows.withColumn("rank_in_slice", F.row_number().over(in_slice))

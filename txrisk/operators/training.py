@@ -10,7 +10,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from txrisk.operators.metrics import quality_metrics
-from txrisk.operators.prefix import global_rank
 from txrisk.options import TrainingOptions
 from txrisk.schemas import FEATURE_COLS, MODEL_RUN
 from txrisk.session import ensure_checkpoint_dir
@@ -27,19 +26,40 @@ def training_stats(rows: DataFrame) -> DataFrame:
 def stratified_split(rows: DataFrame, opts: TrainingOptions = TrainingOptions()) -> DataFrame:
     """`part`: train, val or test, with exact shares of each label.
 
-    Rows are ranked within their label by a seeded hash of the id. Ranking runs over slices of the
-    hash space, so the majority class is spread over many tasks.
+    Within a label the rows are ordered by a seeded hash of the id and cut at two hash values. The
+    cuts are found from counts per slice of the hash space and a look into the slices they fall
+    into, so the rows themselves are neither sorted nor shuffled. Copies of an id stay together.
     """
+    digits = 5
     h = F.md5(F.concat_ws(":", F.lit(str(opts.seed)), F.col("transaction_id")))
-    piece = F.conv(F.substring("split_hash", 1, 5), 16, 10).cast("bigint")
-    ranked = global_rank(rows.withColumn("split_hash", h), ["label"], ["split_hash", "transaction_id"], piece)
-    tenths = F.col("rank") * 10
+    keyed = rows.select("label", h.alias("hash")).withColumn(
+        "slice", F.conv(F.substring("hash", 1, digits), 16, 10).cast("bigint"))
+    by_label = Window.partitionBy("label")
+    before = by_label.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = keyed.groupBy("label", "slice").agg(F.count("*").alias("n")).select(
+        "label", "slice", "n", F.sum("n").over(by_label).alias("total"),
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    tenths = F.array(F.lit(opts.train_tenths), F.lit(opts.train_tenths + opts.val_tenths))
+    cut_rank = F.ceil(F.col("tenths") * F.col("total") / 10)
+    cut_slices = slices.withColumn("tenths", F.explode(tenths)).filter(
+        (F.col("start") <= cut_rank) & (cut_rank < F.col("start") + F.col("n"))).drop("n")
+    # two slices per label; a cut that no hash of its slice reaches lies at the next slice
+    inside = keyed.join(F.broadcast(cut_slices), ["label", "slice"]).groupBy(
+        "label", "tenths", "slice", "start", "total", "hash").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("label", "tenths").orderBy("hash"))
+    after = F.when(F.col("slice") + 1 < 16 ** digits, F.lpad(F.lower(F.hex(F.col("slice") + 1)), digits, "0")).otherwise("g")
+    cuts = inside.withColumn("rank", F.col("start") + upto - F.col("n")).groupBy("label", "tenths").agg(
+        F.coalesce(F.min(F.when(F.col("rank") * 10 >= F.col("tenths") * F.col("total"), F.col("hash"))),
+                   F.max(after)).alias("cut"))
+    cuts = cuts.groupBy(F.col("label").alias("cut_label")).agg(
+        F.max(F.when(F.col("tenths") == opts.train_tenths, F.col("cut"))).alias("train_cut"),
+        F.max(F.when(F.col("tenths") != opts.train_tenths, F.col("cut"))).alias("val_cut"))
     part = (
-        F.when(tenths < opts.train_tenths * F.col("group_rows"), "train")
-        .when(tenths < (opts.train_tenths + opts.val_tenths) * F.col("group_rows"), "val")
-        .otherwise("test")
+        F.when(h < F.coalesce("train_cut", F.lit("g")), "train")
+        .when(h < F.coalesce("val_cut", F.lit("g")), "val").otherwise("test")
     )
-    return ranked.withColumn("part", part).drop("split_hash", "rank", "group_rows")
+    return rows.join(F.broadcast(cuts), F.col("label").eqNullSafe(F.col("cut_label")), "left").withColumn(
+        "part", part).drop("cut_label", "train_cut", "val_cut")
 
 
 def class_weight(train: DataFrame) -> DataFrame:
