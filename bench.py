@@ -16,7 +16,7 @@ from txrisk.operators import features, scoring, training  # noqa: E402
 from txrisk.options import TrainingOptions  # noqa: E402
 from txrisk.plans import catalog  # noqa: E402
 from txrisk.session import local_session  # noqa: E402
-from txrisk.sources import adapters  # noqa: E402
+from txrisk.sources import adapters, tables  # noqa: E402
 from txrisk.streaming import queries as live  # noqa: E402
 
 
@@ -55,7 +55,7 @@ def main() -> None:
         live.use_rocksdb(spark)
         adapters.raw_messages(adapters.read_events(spark, folder)).repartitionByRange(1, "offset").write.parquet(f"{work}/messages")
         start = time.perf_counter()
-        live.write_features(live.feature_stream(live.message_stream(spark, f"{work}/messages")),
+        live.write_features(live.feature_stream(tables.message_stream(spark, f"{work}/messages")),
                             f"{work}/out", f"{work}/checkpoint").awaitTermination()
         seconds["feature_stream"] = round(time.perf_counter() - start, 3)
     print(json.dumps({

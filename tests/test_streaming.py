@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import DAY, HOUR, SF, values
 from test_training import SMALL
-from txrisk.operators import features, ingest, scoring, training
+from txrisk.operators import features, ingest, training
 from txrisk.options import FeatureOptions, MonitorOptions
 from txrisk.sources import adapters, tables
 from txrisk.streaming import queries as Q
@@ -37,7 +37,7 @@ def pipeline(spark, tmp_path_factory):
     rates = adapters.sparse_merchant_rates(adapters.transactions(adapters.read_events(spark, SF)))
     for part in ("offset < 600", "offset >= 600"):
         put(raw.filter(part), d / "in")
-        stream = Q.feature_stream(Q.message_stream(spark, str(d / "in")), rates)
+        stream = Q.feature_stream(tables.message_stream(spark, str(d / "in")), rates)
         run(Q.write_features(stream, str(d / "features"), str(d / "ck_features")))
     return d, raw, rates
 
@@ -52,7 +52,7 @@ def test_stream_equals_batch_across_a_restart(spark, pipeline):
 
 def test_dead_letters_and_counters(spark, pipeline):
     d, raw, _ = pipeline
-    q = run(Q.write_dead_letters(Q.message_stream(spark, str(d / "in"), 10), str(d / "dlq"), str(d / "ck_dlq")))
+    q = run(Q.write_dead_letters(tables.message_stream(spark, str(d / "in"), 10), str(d / "dlq"), str(d / "ck_dlq")))
     letters = spark.read.parquet(str(d / "dlq"))
     want = ingest.dead_letters(ingest.parse_messages(raw))
     assert values(letters, "offset", "offset") == values(want, "offset", "offset")
@@ -137,6 +137,18 @@ def test_stream_state(spark, make_tx, tmp_path, bucket_s):
         assert [r[column] for r in mine] == expected, name
 
 
+def test_repeated_ids_can_be_dropped(spark, make_tx, tmp_path):
+    tx = make_tx([(0, {"transaction_id": "a"}), (60, {"transaction_id": "a"}), (70, {"transaction_id": "b"})])
+    tx.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(tx.schema).parquet(str(tmp_path / "in"))
+    run(Q._to_files(Q.without_replays(stream, "1 hour"), str(tmp_path / "out"), str(tmp_path / "ck"), {}))
+    assert values(spark.read.parquet(str(tmp_path / "out")), "transaction_id") == ["a", "b"]
+
+
+def test_topic_options():
+    assert tables.topic_sink("t")["kafka.compression.type"] == "snappy"
+
+
 def test_monitor_limits():
     assert tables.monitor_limits(None) == {}
     assert tables.monitor_limits(MonitorOptions()) == {

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from txrisk.operators.prefix import exact_quantiles, running_totals
+from txrisk.schemas import FEATURE_LATENCY_BOUNDS
 
 
 def quality_metrics(scored: DataFrame, keys: list[str], label: str = "label", p: str = "probability",
@@ -65,7 +66,7 @@ def quality_metrics(scored: DataFrame, keys: list[str], label: str = "label", p:
     return joined.na.fill(0, ["rows_unlabelled", "rows_unscored"])
 
 
-def latency_histogram(rows: DataFrame, keys: list[str], value: str, bounds: list[float]) -> DataFrame:
+def latency_histogram(rows: DataFrame, keys: list[str], value: str, bounds: list[float] = FEATURE_LATENCY_BOUNDS) -> DataFrame:
     """Cumulative bucket counts: per group one row per upper bound `le`, the last one +Inf."""
     per_bound = [F.sum(F.when(F.col(value) <= b, 1).otherwise(0)).alias(f"b{i}") for i, b in enumerate(bounds)]
     wide = rows.filter(F.col(value).isNotNull()).groupBy(*keys).agg(*per_bound, F.count("*").alias("all"))

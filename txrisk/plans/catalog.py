@@ -482,7 +482,7 @@ def soft_vote(spark, sf):
                 THEN 'Production' ELSE 'Archived' END AS stage FROM flagged""")
 def promotion_history(spark, sf):
     """A model per merchant with a run per day; days of few transactions have no metric."""
-    day = F.date_format(F.timestamp_micros("ts_us"), "yyyy-MM-dd")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("ts_us") / 86_400_000_000).cast("int")).cast("string")
     runs = _tx(spark, sf).groupBy(F.col("merchant_id").alias("model_name"), day.alias("run_id")).agg(
         F.when(F.count("*") > 2, F.sum(F.round(F.col("amount") * 100).cast("bigint")) / F.count("*") / 20000).alias("gate_metric"))
     runs = runs.withColumn("created_at", F.to_timestamp("run_id", "yyyy-MM-dd"))
@@ -500,7 +500,7 @@ def promotion_history(spark, sf):
 def prediction_join(spark, sf):
     """The store as seen on 2024-01-20 with a lifetime of seven days."""
     e = A.read_events(spark, sf)
-    as_of = F.lit("2024-01-20 00:00:00").cast("timestamp")
+    as_of = F.timestamp_seconds(F.lit(1_705_708_800))
     joined = scoring.join_predictions(A.transactions(e), A.predictions(e), as_of, 7 * 86400)
     return joined.select("transaction_id", "prediction", "prediction_missing")
 

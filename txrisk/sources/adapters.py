@@ -1,7 +1,7 @@
 """Views of an `events` table (event_id, ts, user_id, event_type, value, props) as the inputs of
 the risk operators: typed transactions, raw messages, merchant rates, predictions, request log."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from txrisk.functions import scalar as S
 
@@ -13,9 +13,17 @@ def read_events(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/events.parquet")
 
 
+def _utc(events: DataFrame) -> Column:
+    """`ts` as an instant; a time without zone is meant in UTC, whatever the session's zone is."""
+    instant = F.col("ts").cast("timestamp")
+    if events.schema["ts"].dataType == T.TimestampNTZType():
+        return F.from_utc_timestamp(instant, F.current_timezone())
+    return instant
+
+
 def transactions(events: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
-    ts_us = F.unix_micros(F.col("ts").cast("timestamp"))
+    ts_us = F.unix_micros(_utc(events))
     return events.select(
         F.col("event_id").cast("string").alias("transaction_id"),
         F.concat(F.lit("user_"), F.col("user_id")).alias("user_id"),
@@ -72,7 +80,7 @@ def predictions(events: DataFrame) -> DataFrame:
         p.alias("probability"),
         S.decision(p).alias("decision"),
         F.lit("v1").alias("model_version"),
-        (F.col("ts").cast("timestamp") + F.expr("interval 5 minutes")).alias("scored_at"),
+        (_utc(events) + F.expr("interval 5 minutes")).alias("scored_at"),
     )
 
 

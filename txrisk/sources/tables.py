@@ -46,23 +46,31 @@ def monitor_limits(monitor: MonitorOptions | None) -> dict[str, str]:
     }
 
 
-def read_message_files(spark: SparkSession, folder: str, files_per_batch: int = 1) -> DataFrame:
+def message_stream(spark: SparkSession, folder: str, files_per_batch: int = 1) -> DataFrame:
     """Parquet files with the columns of a topic as a stream."""
     return (
         spark.readStream.schema(RAW_MESSAGE).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
     )
 
 
+def topic_sink(topic: str, opts: StreamOptions = StreamOptions()) -> dict[str, str]:
+    """Options of a topic as a sink."""
+    return {
+        "kafka.bootstrap.servers": opts.bootstrap_servers,
+        "kafka.linger.ms": str(opts.linger_ms),
+        "kafka.compression.type": opts.compression,
+        "topic": topic,
+    }
+
+
 def write_topic(messages: DataFrame, topic: str, opts: StreamOptions = StreamOptions()) -> None:
     """Append a batch of (key, value) rows to a topic; used inside `foreachBatch`."""
-    (
-        messages.write.format("kafka")
-        .option("kafka.bootstrap.servers", opts.bootstrap_servers)
-        .option("kafka.linger.ms", str(opts.linger_ms))
-        .option("kafka.compression.type", opts.compression)
-        .option("topic", topic)
-        .save()
-    )
+    messages.write.format("kafka").options(**topic_sink(topic, opts)).save()
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """A small summary, such as one of latencies, as JSON lines."""
+    df.write.mode("overwrite").json(path)
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:

@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from txrisk.operators import drift, features, ingest, scoring
-from txrisk.options import FeatureOptions, MonitorOptions, ScoringOptions
-from txrisk.schemas import FEATURE_VECTOR, PREDICTION, RAW_MESSAGE
-from txrisk.sources.tables import write_batch
+from txrisk.options import FeatureOptions, MonitorOptions, ScoringOptions, StreamOptions
+from txrisk.schemas import FEATURE_VECTOR, PREDICTION
+from txrisk.sources.tables import topic_sink, write_batch
 from txrisk.streaming.history import history_stream
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -19,10 +19,6 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def message_stream(spark: SparkSession, folder: str, files_per_batch: int = 1) -> DataFrame:
-    return spark.readStream.schema(RAW_MESSAGE).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
-
-
 def feature_stream(raw: DataFrame, rates: DataFrame | None = None, opts: FeatureOptions = FeatureOptions(),
                    order: tuple[str, ...] = ("offset",)) -> DataFrame:
     """Feature vectors of the good messages of a stream."""
@@ -59,6 +55,20 @@ def _to_files(df: DataFrame, path: str, checkpoint: str, trigger: dict) -> Strea
     )
 
 
+def publish(messages: DataFrame, topic: str, checkpoint: str, opts: StreamOptions = StreamOptions(), **trigger) -> StreamingQuery:
+    """(key, value) rows of a stream to a topic, such as feature messages or dead-letter messages."""
+    return (
+        messages.writeStream.format("kafka").options(**topic_sink(topic, opts)).option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True})).start()
+    )
+
+
+def without_replays(tx: DataFrame, within: str) -> DataFrame:
+    """Drop repeated transaction ids that come within a delay of each other in event time."""
+    timed = tx.withColumn("event_time", F.timestamp_micros("ts_us")).withWatermark("event_time", within)
+    return timed.dropDuplicatesWithinWatermark(["transaction_id"]).drop("event_time")
+
+
 def read_features(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
     """The feature table as a stream."""
     return spark.readStream.schema(FEATURE_VECTOR).option("maxFilesPerTrigger", files_per_batch).parquet(path)
