@@ -34,7 +34,7 @@ def pipeline(spark, tmp_path_factory):
     """Messages in two files through the feature query, which is stopped and restarted in between."""
     d = tmp_path_factory.mktemp("live")
     raw = adapters.raw_messages(adapters.read_events(spark, SF))
-    rates = adapters.sparse_merchant_rates(adapters.transactions(adapters.read_events(spark, SF)))
+    rates = adapters.risky_merchant_rates(adapters.transactions(adapters.read_events(spark, SF)))
     for part in ("offset < 600", "offset >= 600"):
         put(raw.filter(part), d / "in")
         stream = Q.feature_stream(tables.message_stream(spark, str(d / "in")), rates)

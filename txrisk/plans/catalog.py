@@ -75,7 +75,8 @@ stats AS (
 
 RATES_SQL = """
 rates AS (
-  SELECT merchant_id, CAST(sum(label) AS DOUBLE) / count(*) AS fraud_rate FROM tx WHERE k % 2 = 0 GROUP BY 1)
+  SELECT merchant_id, CAST(sum(label) AS DOUBLE) / count(*) AS fraud_rate FROM tx GROUP BY 1
+  HAVING CAST(sum(label) AS DOUBLE) / count(*) >= 0.07)
 """
 
 FEATURES_SQL = f"""
@@ -203,7 +204,7 @@ def merchant_rates(spark, sf):
     round(coalesce(fraud_rate, 0.0), 6) AS merchant_fraud_rate_30d FROM tx LEFT JOIN rates USING (merchant_id)""")
 def merchant_rate_join(spark, sf):
     tx = _tx(spark, sf)
-    joined = features.with_merchant_rate(tx, A.sparse_merchant_rates(tx))
+    joined = features.with_merchant_rate(tx, A.risky_merchant_rates(tx))
     return _rounded(joined.select("transaction_id", "merchant_id", "merchant_fraud_rate_30d"), "merchant_fraud_rate_30d")
 
 
@@ -217,7 +218,7 @@ def calendar_features(spark, sf):
 
 def _vector(spark, sf, opts=FeatureOptions()):
     tx = _tx(spark, sf)
-    return features.feature_vector(tx, A.sparse_merchant_rates(tx), opts)
+    return features.feature_vector(tx, A.risky_merchant_rates(tx), opts)
 
 
 ROUNDED = ("amount_log", "amount_zscore", "merchant_fraud_rate_30d", "user_chargeback_rate")
@@ -241,7 +242,7 @@ def _parsed(spark, sf):
 
 
 STAGE_SQL = """staged AS (
-  SELECT *, CASE WHEN event_id % 97 = 0 THEN 'deserialize' WHEN event_id % 89 = 0 THEN 'transform' END AS stage FROM tx)"""
+  SELECT *, CASE WHEN amount < 1 THEN 'deserialize' WHEN amount >= 200 THEN 'transform' END AS stage FROM tx)"""
 
 
 @query(f"""WITH {TX}, {STAGE_SQL} SELECT transaction_id, user_id, merchant_id, amount, currency, "timestamp", ts_us,
@@ -266,13 +267,13 @@ def dlq_stage_counts(spark, sf):
 
 @query(f"""WITH {TX}, {STAGE_SQL} SELECT stage IS NOT NULL AS is_corrupt, count(*) AS messages,
     CAST(sum(CASE WHEN stage IS NULL THEN cents ELSE 0 END) AS BIGINT) AS cents FROM (
-      SELECT CASE WHEN event_id % 97 = 0 THEN 'x' END AS stage, cents FROM tx) GROUP BY 1""")
+      SELECT CASE WHEN amount < 1 THEN 'x' END AS stage, cents FROM tx) GROUP BY 1""")
 def feature_event_parse(spark, sf):
     """The monitor's lenient parse over feature messages of which some are cut in half."""
     events = A.read_events(spark, sf)
     tx = A.transactions(events)
     msgs = ingest.feature_messages(features.to_feature_vector(_with_missing_features(tx)))
-    cut = F.get_json_object("value", "$.transaction_id").cast("bigint") % 97 == 0
+    cut = F.get_json_object("value", "$.amount").cast("double") < 1
     half = F.expr("substring(value, 1, cast(length(value) / 2 as int))")
     raw = msgs.withColumn("value", F.when(cut, half).otherwise(F.col("value")))
     parsed = ingest.parse_feature_events(raw)
@@ -286,6 +287,18 @@ def _with_missing_features(df: DataFrame) -> DataFrame:
     return df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in FEATURE_VECTOR.fields if f.name not in df.columns})
 
 
+@query(f"""WITH {TX}, {STAGE_SQL}, good AS (SELECT * FROM staged WHERE stage IS NULL)
+    SELECT transaction_id, CAST(count(*) OVER h AS INTEGER) AS tx_count_1h, CAST(count(*) OVER d AS INTEGER) AS tx_count_24h,
+           CAST(sum(cents) OVER d / 100.0 AS DOUBLE) AS tx_sum_24h
+    FROM good
+    WINDOW h AS (PARTITION BY user_id ORDER BY ts_us RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW),
+           d AS (PARTITION BY user_id ORDER BY ts_us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW)""")
+def messages_to_velocity(spark, sf):
+    """From raw messages to features: failed messages take no part in a user's history."""
+    good = ingest.good_transactions(_parsed(spark, sf))
+    return features.velocity_features(good).select("transaction_id", "tx_count_1h", "tx_count_24h", "tx_sum_24h")
+
+
 # --- scoring ----------------------------------------------------------------------------------
 
 def _raw_scores(spark, sf):
@@ -492,7 +505,7 @@ def promotion_history(spark, sf):
 # --- monitoring -------------------------------------------------------------------------------
 
 @query(f"""WITH {TX}, p AS (SELECT CAST(event_id AS VARCHAR) AS transaction_id, (event_id * 37 % 1000) / 1000.0 AS probability,
-      ts + INTERVAL 5 MINUTE AS scored_at FROM events WHERE event_id % 10 <> 0),
+      ts + INTERVAL 5 MINUTE AS scored_at FROM events WHERE event_type <> 'view'),
     alive AS (SELECT * FROM p WHERE scored_at <= TIMESTAMP '2024-01-20 00:00:00'
       AND TIMESTAMP '2024-01-20 00:00:00' <= scored_at + INTERVAL 7 DAY)
     SELECT transaction_id, CAST(coalesce(probability, 0.0) AS DOUBLE) AS prediction, probability IS NULL AS prediction_missing
@@ -505,6 +518,17 @@ def prediction_join(spark, sf):
     return joined.select("transaction_id", "prediction", "prediction_missing")
 
 
+@query("""SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS rows,
+    CAST(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS BIGINT) AS prediction_misses FROM events GROUP BY 1""")
+def prediction_misses(spark, sf):
+    """Rows without a stored prediction per day, over a store that keeps everything."""
+    e = A.read_events(spark, sf)
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("ts_us") / 86_400_000_000).cast("int")).cast("string")
+    joined = scoring.join_predictions(A.transactions(e), A.predictions(e), F.timestamp_seconds(F.lit(1_706_745_600)), 60 * 86400)
+    return joined.groupBy(day.alias("day")).agg(
+        F.count("*").alias("rows"), F.sum(F.col("prediction_missing").cast("bigint")).alias("prediction_misses"))
+
+
 @query(f"""WITH {TX} SELECT transaction_id, CAST((row_number() OVER (ORDER BY ts_us, transaction_id) - 1) // 2000 AS BIGINT) AS report_id FROM tx""")
 def report_slices(spark, sf):
     tx = _tx(spark, sf).withColumn("source", F.lit("transactions.features"))
@@ -519,7 +543,7 @@ FRAMES_SQL = f"""WITH {TX}, frames AS (
          ln(1 + amount) AS amount_log, CASE WHEN ts < TIMESTAMP '2024-01-16' THEN amount ELSE amount * 2 END AS doubled,
          CAST(hour(ts) AS DOUBLE) AS hour_of_day, CAST(card_present AS VARCHAR) AS card_present, merchant_category,
          CAST(isodow(ts) - 1 AS VARCHAR) AS day_of_week, label,
-         CASE WHEN event_id % 10 <> 0 THEN (event_id * 37 % 1000) / 1000.0::DOUBLE ELSE 0.0 END AS prediction
+         CASE WHEN merchant_category <> 'view' THEN (event_id * 37 % 1000) / 1000.0::DOUBLE ELSE 0.0 END AS prediction
   FROM tx),
 num AS (
   {" UNION ALL ".join(f"SELECT frame, '{c}' AS col, CAST({c} AS DOUBLE) AS v FROM frames" for c in DRIFT_NUM)}),
@@ -532,7 +556,8 @@ def _frames(spark, sf):
     e = A.read_events(spark, sf)
     tx = features.with_calendar(A.transactions(e))
     id_ = F.col("transaction_id").cast("bigint")
-    tx = tx.withColumn("prediction", F.when(id_ % 10 != 0, id_ * 37 % 1000 / 1000).otherwise(0.0))
+    scored = F.col("merchant_category") != "view"
+    tx = tx.withColumn("prediction", F.when(scored, id_ * 37 % 1000 / 1000).otherwise(0.0))
     cut = 1_705_363_200_000_000
     return (tx.filter(F.col("ts_us") < cut).withColumn("doubled", F.col("amount")),
             tx.filter(F.col("ts_us") >= cut).withColumn("doubled", F.col("amount") * 2))
@@ -587,6 +612,19 @@ def drift_categorical(spark, sf):
                     "jensen_shannon", "chi_square")
 
 
+@query(f"""{FRAMES_SQL}, {DISTANCE_NUM_SQL}, lambdas AS (
+      SELECT *, (sqrt(n_ref * n_cur / (n_ref + n_cur)::DOUBLE) + 0.12 + 0.11 / sqrt(n_ref * n_cur / (n_ref + n_cur)::DOUBLE)) * ks AS x FROM w1),
+    terms AS (SELECT col, x, 2 * (CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * i * i * x * x) AS term FROM lambdas, range(1, 101) t(i))
+    SELECT col AS "column", round(CASE WHEN x < 0.2 THEN 1.0 ELSE least(greatest(sum(term), 0.0), 1.0) END, 6) AS p_value,
+           CASE WHEN x < 0.2 THEN 1.0 ELSE least(greatest(sum(term), 0.0), 1.0) END < 0.05 AS drifted
+    FROM terms GROUP BY col, x""")
+def drift_p_values(spark, sf):
+    """The KS test of each numerical column, whatever the size of the baseline."""
+    d = drift.numeric_distances(*_frames(spark, sf), DRIFT_NUM)
+    p = drift.ks_p_value(F.col("ks"), F.col("n_ref"), F.col("n_cur"))
+    return d.select("column", F.round(p, 6).alias("p_value"), (p < drift.P_VALUE_THRESHOLD).alias("drifted"))
+
+
 COLUMNS_SQL = f"""{FRAMES_SQL}, {DISTANCE_NUM_SQL}, {DISTANCE_CAT_SQL}, scored AS (
     SELECT col, 'num' AS kind, CASE WHEN n_values > 5 THEN 'wasserstein' ELSE 'jensen_shannon' END AS method,
            CASE WHEN n_values > 5 THEN w / greatest(sd, 0.001) ELSE js END AS score FROM w1 JOIN sd USING (col) JOIN js_num USING (col)
