@@ -79,6 +79,8 @@ def test_missing_values(spark):
     ref = frame(spark, [1, 2, None, float("nan")], c=["a", None, "a", "b"])
     r = drift.numeric_distances(ref, ref, ["x"]).first()
     assert r.n_ref == 2
+    empty = {r.column: r for r in drift.data_quality(frame(spark, [None, None]), [], ["x"], ["x"]).collect() if r.kind == "num"}["x"]
+    assert (empty.rows, empty.nulls, empty.distinct_values, empty.mean, empty.p50, empty.most_common) == (2, 2, 0, None, None, None)
     q = {r.column: r for r in drift.data_quality(ref, [], ["x"], ["c"]).collect()}
     assert (q["x"].rows, q["x"].nulls, q["x"].distinct_values, q["x"].mean, q["x"].std, q["x"].p50) == (4, 2, 2, 1.5, 0.5, 1.5)
     assert (q["c"].rows, q["c"].nulls, q["c"].distinct_values, q["c"].most_common, q["c"].most_common_rows) == (4, 1, 2, "a", 2)

@@ -29,6 +29,7 @@ def test_edge_groups(spark):
     rows = [
         ("ties", 0, 0.5), ("ties", 1, 0.5),
         ("one class", 0, 0.2), ("one class", 0, 0.9),
+        ("nothing", None, 0.5), ("nothing", 1, None),
         ("gaps", None, 0.5), ("gaps", 1, None), ("gaps", 1, float("nan")), ("gaps", 1, 0.9), ("gaps", 0, 0.1),
     ]
     r = quality(spark, rows, ["g"])
@@ -36,6 +37,8 @@ def test_edge_groups(spark):
     # the threshold is strict
     assert (r[("ties",)].tp, r[("ties",)].f1) == (0, 0.0)
     assert r[("one class",)].roc_auc is None and r[("one class",)].pr_auc is None
+    nothing = r[("nothing",)]
+    assert (nothing.rows, nothing.rows_unlabelled, nothing.rows_unscored, nothing.roc_auc, nothing.log_loss) == (0, 1, 1, None, None)
     gaps = r[("gaps",)]
     assert (gaps.rows, gaps.rows_unlabelled, gaps.rows_unscored) == (2, 1, 2)
     assert gaps.roc_auc == 1.0

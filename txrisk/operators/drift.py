@@ -190,27 +190,32 @@ def data_quality(frames: DataFrame, keys: list[str], numerical: list[str] = NUME
     """Per group and column: rows, nulls, distinct values, mean, deviation, quartiles, mode."""
     def long(columns: list[str], kind: str) -> DataFrame:
         cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast(kind).alias("value")) for c in columns]
-        return frames.select(*keys, F.inline(F.array(*cells))).groupBy(*keys, "column", "value").agg(
-            F.count("*").alias("n"))
+        value = F.when(~F.isnan("value"), F.col("value")) if kind == "double" else F.col("value")
+        return frames.select(*keys, F.inline(F.array(*cells))).groupBy(*keys, "column", value.alias("value")).agg(
+            F.count("value").alias("n_value"), F.count("*").alias("n"))
 
     by = [*keys, "column"]
-    hist = long(numerical, "double").withColumn("value", F.when(~F.isnan("value"), F.col("value")))
-    hist = hist.groupBy(*by, "value").agg(F.sum("n").alias("n"))
-    counts = hist.groupBy(*by).agg(
-        F.sum("n").alias("rows"), F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("nulls"))
-    run = running_totals(hist.filter("value is not null").withColumn("nv", F.col("n") * F.col("value")), by, "value", ["n", "nv"])
-    off = F.col("value") - F.col("nv_total") / F.col("n_total")
-    stats = run.groupBy(*by).agg(
-        F.count("*").alias("distinct_values"),
-        F.max(F.col("nv_total") / F.col("n_total")).alias("mean"),
-        F.sqrt(F.sum(F.col("n") * off * off) / F.max("n_total")).alias("std"),
+    # missing values form a group that adds nothing to the sums over values
+    hist = long(numerical, "double").withColumns({
+        "n_value": F.when(F.col("value").isNull(), 0).otherwise(F.col("n_value")).cast("bigint"),
+        "nv": F.coalesce(F.col("n_value") * F.col("value"), F.lit(0.0)),
+    })
+    run = running_totals(hist, by, "value", ["n_value", "nv", "n"])
+    mean = F.when(F.col("n_value_total") > 0, F.col("nv_total") / F.col("n_value_total"))
+    off = F.col("value") - mean
+    present = F.col("value").isNotNull()
+    num = run.groupBy(*by).agg(
+        F.sum("n").alias("rows"),
+        F.sum(F.when(present, 0).otherwise(F.col("n"))).alias("nulls"),
+        F.count("value").alias("distinct_values"),
+        F.max(mean).alias("mean"),
+        F.sqrt(F.sum(F.col("n_value") * off * off / F.col("n_value_total"))).alias("std"),
         F.min("value").alias("min"),
-        *[v.alias(k) for k, v in exact_quantiles("value", "n", {"p25": 0.25, "p50": 0.5, "p75": 0.75}).items()],
+        *[v.alias(k) for k, v in exact_quantiles("value", "n_value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}).items()],
         F.max("value").alias("max"),
-        F.max_by(F.col("value").cast("string"), F.struct("n", -F.col("value"))).alias("most_common"),
-        F.max("n").alias("most_common_rows"),
-    )
-    num = counts.join(stats, by, "left").withColumn("kind", F.lit("num"))
+        F.max_by(F.col("value").cast("string"), F.when(present, F.struct("n", -F.col("value")))).alias("most_common"),
+        F.max(F.when(present, F.col("n"))).alias("most_common_rows"),
+    ).withColumn("kind", F.lit("num"))
     cat = long(categorical, "string").groupBy(*by).agg(
         F.sum("n").alias("rows"),
         F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("nulls"),

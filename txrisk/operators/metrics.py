@@ -15,15 +15,13 @@ def quality_metrics(scored: DataFrame, keys: list[str], label: str = "label", p:
     are left out and counted.
     """
     usable = F.col(label).isNotNull() & F.col(p).isNotNull() & ~F.isnan(p)
+    # unusable rows end up in groups without a score that add nothing to the sums
     per_score = (
         scored.select(*keys, F.when(usable, -F.col(p)).alias("down"), F.when(usable, F.col(label)).alias("y"),
                       F.col(label).isNull().alias("no_label"))
         .groupBy(*keys, "down", "no_label")
-        .agg(F.sum("y").cast("bigint").alias("pos"), F.count("*").alias("n"))
-    )
-    left_out = per_score.filter("down is null").groupBy(*keys).agg(
-        F.sum(F.when(F.col("no_label"), F.col("n")).otherwise(0)).alias("rows_unlabelled"),
-        F.sum(F.when(~F.col("no_label"), F.col("n")).otherwise(0)).alias("rows_unscored"),
+        .agg(F.coalesce(F.sum("y"), F.lit(0)).cast("bigint").alias("pos"), F.count("down").alias("n"),
+             (F.count("*") - F.count("down")).alias("left"))
     )
     s, pos, n = -F.col("down"), F.col("pos"), F.col("n")
     neg = n - pos
@@ -32,38 +30,39 @@ def quality_metrics(scored: DataFrame, keys: list[str], label: str = "label", p:
     eps = 2.220446049250313e-16
     safe = F.least(F.greatest(s, F.lit(eps)), F.lit(1 - eps))
     above = s > threshold
-    sums = running_totals(per_score.filter("down is not null").drop("no_label"), keys, "down", ["pos", "n"]).groupBy(*keys).agg(
+    sums = running_totals(per_score, keys, "down", ["pos", "n", "left"]).groupBy(*keys).agg(
         F.sum("n").alias("rows"),
         F.sum("pos").alias("positives"),
         F.sum(ordered).alias("ordered"),
-        F.sum(pos * F.col("pos_upto") / F.col("n_upto")).alias("ap"),
+        F.sum(F.when(n > 0, pos * F.col("pos_upto") / F.col("n_upto"))).alias("ap"),
         F.sum(F.when(above, pos).otherwise(0)).alias("tp"),
         F.sum(F.when(above, neg).otherwise(0)).alias("fp"),
         F.sum(pos * (s - 1) * (s - 1) + neg * s * s).alias("brier"),
         F.sum(-pos * F.log(safe) - neg * F.log(1 - safe)).alias("loss"),
+        F.sum(F.when(F.col("no_label"), F.col("left")).otherwise(0)).alias("rows_unlabelled"),
+        F.sum(F.when(~F.col("no_label"), F.col("left")).otherwise(0)).alias("rows_unscored"),
     )
     rows, positives, tp, fp = F.col("rows"), F.col("positives"), F.col("tp"), F.col("fp")
     negatives = rows - positives
     fn, tn = positives - tp, negatives - fp
+    two_classes = (positives > 0) & (negatives > 0)
 
     def ratio(top, bottom):
         return F.when(bottom > 0, top / bottom).otherwise(0.0)
 
-    result = sums.select(
+    return sums.select(
         *keys, "rows", "positives",
-        F.when((positives > 0) & (negatives > 0),
-               F.col("ordered").cast("double") / 2 / positives / negatives).alias("roc_auc"),
-        F.when((positives > 0) & (negatives > 0), F.col("ap") / positives).alias("pr_auc"),
+        F.when(two_classes, F.col("ordered").cast("double") / 2 / positives / negatives).alias("roc_auc"),
+        F.when(two_classes, F.col("ap") / positives).alias("pr_auc"),
         ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
         ratio(tp, tp + fp).alias("precision"),
         ratio(tp, positives).alias("recall"),
-        (F.col("brier") / rows).alias("brier_score_loss"),
-        (F.col("loss") / rows).alias("log_loss"),
-        ((tp + tn) / rows).alias("accuracy"),
+        F.when(rows > 0, F.col("brier") / rows).alias("brier_score_loss"),
+        F.when(rows > 0, F.col("loss") / rows).alias("log_loss"),
+        F.when(rows > 0, (tp + tn) / rows).alias("accuracy"),
         tp.alias("tp"), fp.alias("fp"), tn.alias("tn"), fn.alias("fn"),
+        "rows_unlabelled", "rows_unscored",
     )
-    joined = result.join(left_out, keys, "left") if keys else result.join(left_out, how="left")
-    return joined.na.fill(0, ["rows_unlabelled", "rows_unscored"])
 
 
 def latency_histogram(rows: DataFrame, keys: list[str], value: str, bounds: list[float] = FEATURE_LATENCY_BOUNDS) -> DataFrame:
@@ -86,7 +85,7 @@ def latency_summary(log: DataFrame, keys: list[str], latency: str = "latency_ms"
     per_value = log.groupBy(*keys, value.alias("value")).agg(
         F.count("*").alias("n"), F.sum(F.when(F.col(ok), 1).otherwise(0)).alias("n_ok"))
     quantiles = exact_quantiles("value", "n", {"p50": 0.5, "p95": 0.95, "p99": 0.99, "p99_9": 0.999})
-    agg = running_totals(per_value, keys, "value", ["n"]).groupBy(*keys).agg(
+    agg = running_totals(per_value, keys, "value", ["n", "n_ok"]).groupBy(*keys).agg(
         F.sum("n_ok").alias("requests_ok"),
         (F.sum("n") - F.sum("n_ok")).alias("errors"),
         (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
