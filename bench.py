@@ -38,7 +38,7 @@ def main() -> None:
         if only and name not in only:
             continue
         timed(lambda: query(spark, folder))
-        seconds[name] = min(timed(lambda: query(spark, folder)) for _ in range(2))
+        seconds[name] = timed(lambda: query(spark, folder))
     rows = adapters.read_events(spark, folder).count()
     if not only:
         work = tempfile.mkdtemp(prefix="run-bench-", dir="/tmp")
