@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from txrisk.llm import minhash, mixing, urls
+from txrisk.llm import minhash, mixing, pieces, toxicity, urls
 from txrisk.llm import text as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,12 @@ def query(f: Query) -> Query:
     return f
 
 
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = T.table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.learn(docs, T.table(spark, sf_dir, "labels")))
+
+
 @query
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(T.table(spark, sf_dir, "documents"))
@@ -28,6 +34,11 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(T.table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+@query
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(T.table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(T.table(spark, sf_dir, "documents"))
