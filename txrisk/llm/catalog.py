@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from txrisk.llm import minhash, mixing, pieces, toxicity, urls
+from txrisk.llm import minhash, mixing, pieces, pii, toxicity, urls
 from txrisk.llm import text as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.learn(docs, T.table(spark, sf_dir, "labels")))
 
 
+@query
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(T.table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(T.table(spark, sf_dir, "documents"))

@@ -17,6 +17,8 @@ WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 #: Hash keys have 60 bits; their top bits number the slice.
 KEY_DIGITS, SLICE_BITS = 15, 12
+#: Parts that each source is dealt over when its cut is looked up.
+SALTS = 64
 
 
 def size_of(text: Column) -> Column:
@@ -85,6 +87,12 @@ def cuts(sized: DataFrame) -> DataFrame:
     return goals.join(found, "name", "left")
 
 
+def _with_cuts(rows: DataFrame, ends: DataFrame) -> DataFrame:
+    """Rows with the cut of their source. Every source is dealt over SALTS parts by hash key, the hot one too."""
+    salted = ends.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("part", F.pmod("key", F.lit(SALTS)).cast("int")).join(salted, ["name", "part"]).drop("part")
+
+
 def _taken() -> Column:
     """Words that the mix takes of a document joined with its source's cut."""
     earlier = (F.col("key") < F.col("cut_key")) | ((F.col("key") == F.col("cut_key")) & F.coalesce(F.col("doc_id") < F.col("cut_id"), F.col("doc_id").isNull() & F.col("cut_id").isNotNull()))
@@ -100,7 +108,7 @@ def mixture(docs: DataFrame) -> DataFrame:
     nothing. Repeated rows are separate documents; where the cut falls on one, its repeats take the same part.
     """
     sized = sizes(docs)
-    return sized.join(cuts(sized), "name").select("doc_id", "size", "source_size", "target", _taken().alias("taken"))
+    return _with_cuts(sized, cuts(sized)).select("doc_id", "size", "source_size", "target", _taken().alias("taken"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
@@ -109,7 +117,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     sized = sizes(docs)
     work = _keyed(docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
                               F.col("source").cast("string").alias("source"), size_of(F.col("text").cast("string")).alias("size")))
-    taken = work.join(cuts(sized), "name").withColumn("taken", _taken())
+    taken = _with_cuts(work, cuts(sized)).withColumn("taken", _taken())
     part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(F.lit(0))
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(1)).cast("int")
     copies = F.concat(F.array_repeat(F.lit(0).cast("long"), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<long>")))
