@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from txrisk.llm import minhash, mixing, pieces, pii, toxicity, urls
+from txrisk.llm import minhash, mixing, phrases, pieces, pii, topk, toxicity, urls
 from txrisk.llm import text as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,11 @@ def query(f: Query) -> Query:
     return f
 
 
+@query
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.document_fingerprints(T.table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = T.table(spark, sf_dir, "documents")
@@ -29,6 +34,11 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(T.table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_products(T.table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(T.table(spark, sf_dir, "documents"))
