@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from txrisk.llm import minhash, mixing, phrases, pieces, pii, topk, toxicity, urls
+from txrisk.llm import contextmix, minhash, mixing, phrases, pieces, pii, topk, toxicity, urls
 from txrisk.llm import text as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,11 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(T.table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contextmix.scored(T.table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(T.table(spark, sf_dir, "documents"))
