@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from txrisk.llm import contextmix, minhash, mixing, phrases, pieces, pii, topk, toxicity, urls
+from txrisk.llm import contextmix, minhash, mixing, phrases, pieces, pii, substrings, topk, toxicity, urls
 from txrisk.llm import text as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,11 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.document_fingerprints(T.table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_paragraphs(T.table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = T.table(spark, sf_dir, "documents")

@@ -266,9 +266,11 @@ def near_classes(rows: DataFrame, how: Banding) -> DataFrame:
     tagged = full.join(classes, ["h1", "h2", "n"])
     names = [f"s{j}" for j in range(how.longs)]
     nodes = tagged.filter("id = node").dropDuplicates(["node", "h1", "h2"])
-    keyed = nodes.select("node", F.explode("keys").alias("key"), *names)
+    # band keys travel alone; most are a single node's, and only the others meet their signatures again
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
     size = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    shared = checkpointed(keyed.join(size, "key"))
+    signs = nodes.select("node", *names)
+    shared = checkpointed(keyed.join(size, "key").join(signs, "node"))
 
     alone = shared.withColumn("component", F.col("node"))
     first = checkpointed(_block_rows(alone).mapInArrow(_look(how), LOOK))
