@@ -31,7 +31,7 @@ def test_distances_against_brute_force(spark):
 def test_identical_frames_do_not_drift(spark):
     xs, c = list(range(50)), ["a", "b"] * 25
     f = frame(spark, xs, c=c)
-    for method in ("auto", "distance", "p_value"):
+    for method in ("distance", "p_value", "z"):
         columns = drift.drift_columns(f, f, ["x"], ["c"], method)
         assert [r.drifted for r in columns.collect()] == [False, False]
         verdict = drift.dataset_drift(columns).first()
@@ -41,21 +41,44 @@ def test_identical_frames_do_not_drift(spark):
 def test_shifted_frames_drift(spark):
     ref = frame(spark, range(100), c=["a"] * 50 + ["b"] * 50)
     cur = frame(spark, range(60, 160), c=["a"] * 95 + ["b"] * 5)
-    for method, names in (("distance", {"wasserstein", "jensen_shannon"}), ("p_value", {"ks", "z"})):
+    for method, names in (("distance", {"wasserstein", "jensen_shannon"}), ("p_value", {"ks", "chi_square"}), ("z", {"ks", "z"})):
         rows = drift.drift_columns(ref, cur, ["x"], ["c"], method).collect()
         assert {r.method for r in rows} == names and all(r.drifted for r in rows)
     assert drift.dataset_drift(drift.drift_columns(ref, cur, ["x"], ["c"])).first().dataset_drift
 
 
-def test_choice_of_test(spark):
-    big = frame(spark, [i % 7 for i in range(1200)], c=["a", "b", "c"] * 400)
-    few = frame(spark, [i % 3 for i in range(1200)], c=["a", "b", "c"] * 400)
-    small = frame(spark, [i % 7 for i in range(90)], c=["a", "b", "c"] * 30)
-    def methods(ref, cur):
-        return {r.column: r.method for r in drift.drift_columns(ref, cur, ["x"], ["c"]).collect()}
-    assert methods(big, small) == {"x": "wasserstein", "c": "jensen_shannon"}
-    assert methods(few, few) == {"x": "jensen_shannon", "c": "jensen_shannon"}
-    assert methods(small, big) == {"x": "ks", "c": "chi_square"}
+def test_method_does_not_depend_on_the_frames(spark):
+    few = frame(spark, [i % 3 for i in range(12)], c=["a", "b"] * 6)
+    many = frame(spark, [i % 700 for i in range(1400)], c=["a", "b", "c", "d"] * 350)
+    for ref, cur in ((few, many), (many, few)):
+        assert {r.column: r.method for r in drift.drift_columns(ref, cur, ["x"], ["c"]).collect()} == {"x": "wasserstein", "c": "jensen_shannon"}
+
+
+def test_columns_without_values_stay(spark):
+    ref = frame(spark, [1, 2, 3], c=["a", "b", "a"])
+    cur = frame(spark, [None, None, float("inf")], c=[None, None, None])
+    rows = {r.column: r for r in drift.drift_columns(ref, cur, ["x"], ["c"]).collect()}
+    assert (rows["x"].drifted, rows["x"].score, rows["x"].n_cur, rows["x"].left_cur) == (True, None, 0, 1)
+    assert (rows["c"].drifted, rows["c"].score) == (True, None)
+    assert drift.dataset_drift(drift.drift_columns(ref, cur, ["x"], ["c"])).first().n_columns == 2
+    assert not any(r.drifted for r in drift.drift_columns(cur.limit(0), cur.limit(0), ["x"], ["c"]).collect())
+
+
+def test_empty_column_lists(spark):
+    f = frame(spark, [1, 2], c=["a", "b"])
+    assert [r.column for r in drift.drift_columns(f, f, [], ["c"]).collect()] == ["c"]
+    assert [r.column for r in drift.drift_columns(f, f, ["x"], []).collect()] == ["x"]
+    assert drift.drift_columns(f, f, [], []).count() == 0
+    assert [r.column for r in drift.data_quality(f, [], [], ["c"]).collect()] == ["c"]
+
+
+@pytest.mark.parametrize("dof", [1, 2, 3, 10, 1489, 2000, 100_000])
+def test_chi_square_tail_near_its_mean(dof):
+    # Wilson and Hilferty's cube root is within 1e-3 of the tail there
+    for x in (dof, dof * 1.05):
+        z = ((x / dof) ** (1 / 3) - (1 - 2 / (9 * dof))) / math.sqrt(2 / (9 * dof))
+        assert drift.gamma_tail(dof / 2, x / 2) == pytest.approx(math.erfc(z / math.sqrt(2)) / 2, abs=1e-2 if dof < 3 else 2e-3)
+    assert drift.gamma_tail(0.5, 3.841458820694124 / 2) == pytest.approx(0.05)
 
 
 def test_p_values(spark):

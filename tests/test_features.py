@@ -61,7 +61,9 @@ CASES = {
     "replays are part of the moments": ([(0, SAME), (60, SAME), (120, {})], "prior_count", [0, 1, 2]),
     "replay at the same instant": ([(0, SAME), (0, SAME), (1, {})], "tx_count_1h", [1, 1, 2]),
     "a late row sees its own window": ([(0, {}), (1800, {}), (2 * HOUR, {})], "tx_count_1h", [1, 2, 1]),
-    "amounts with many decimals": ([(0, {"amount": 0.1234567}), (1, {"amount": 0.2})], "tx_sum_1h", [0.123457, 0.323457]),
+    "amounts with many decimals": ([(0, {"amount": 0.1234567}), (1, {"amount": 0.2})], "tx_sum_1h", [0.1234567, 0.3234567]),
+    "amounts that differ past the sixth decimal": ([(0, {"transaction_id": "f", "amount": 0.1}), (1, {"transaction_id": "f", "amount": 0.10000001})], "tx_count_1h", [1, 2]),
+    "tiny and huge amounts": ([(0, {"amount": 1e-7}), (1, {"amount": 3e15}), (HOUR + 1, {"amount": 2.0})], "tx_sum_1h", [1e-7, 3e15, 3e15 + 2.0]),
 }
 
 

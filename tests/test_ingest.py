@@ -39,7 +39,6 @@ CASES = [
     (text(amount="12"), "transform", "amount has the wrong type"),
     (text(amount=True), "transform", "amount has the wrong type"),
     (text(amount=-1), "transform", "amount is out of range"),
-    (text(amount=1e13), "transform", "amount is out of range"),
     (text(timestamp=1e15), "transform", "timestamp is out of range"),
     (text(user_id=5), "transform", "user_id has the wrong type"),
     (text(merchant_id={"a": 1}), "transform", "merchant_id has the wrong type"),

@@ -9,13 +9,13 @@ def con():
     return oracle.connect(SF)
 
 
-@pytest.mark.parametrize("name", list(oracle.entry_module.queries()))
+@pytest.mark.parametrize("name", list(oracle.entry_module.catalog.SQL))
 def test_query_equals_sql(spark, con, name):
     assert oracle.compare(spark, con, SF, name) is None
 
 
 def test_every_query_has_sql():
-    assert set(oracle.entry_module.oracle_sql()) == set(oracle.entry_module.queries())
+    assert set(oracle.entry_module.catalog.SQL) == set(oracle.entry_module.catalog.QUERIES)
 
 
 def test_entry_has_rows(spark):

@@ -5,19 +5,10 @@ from pyspark.sql import Column, functions as F
 UNITS = 1_000_000
 
 
-def units(amount: Column) -> Column:
-    """Amount in millionths: running sums are exact, as the service keeps six decimals."""
-    return F.round(amount * UNITS).cast("bigint")
-
-
 def epoch_micros(seconds: Column) -> Column:
     return F.round(seconds * 1_000_000).cast("bigint")
 
 
-def event_time(ts_us: Column) -> Column:
-    return F.timestamp_micros(ts_us)
-
-
 def amount_log(amount: Column) -> Column:
     return F.log1p(amount)
 

@@ -14,9 +14,7 @@ from txrisk.operators.metrics import quality_metrics
 from txrisk.operators.prefix import exact_quantiles, global_rank, running_totals, slice_of, slice_widths, within_limit
 from txrisk.schemas import CATEGORICAL_FEATURES, NUMERICAL_FEATURES
 
-# Limits of the default choice of test and the thresholds of each test.
-SMALL_BASELINE = 1000
-FEW_VALUES = 5
+# The thresholds of each test.
 DISTANCE_THRESHOLD = 0.1
 P_VALUE_THRESHOLD = 0.05
 
@@ -34,25 +32,39 @@ def _long(df: DataFrame, columns: list[str], kind: str) -> DataFrame:
 
 
 def _histogram(baseline: DataFrame, current: DataFrame, columns: list[str], kind: str) -> DataFrame:
-    """(column, value, n_ref, n_cur) over the non-null values of both frames."""
+    """(column, value, n_ref, n_cur, left_ref, left_cur) of both frames.
+
+    Nulls and numbers that are not finite share the row of value NULL; the numbers among them are counted as left out.
+    """
     both = _long(baseline, columns, kind).withColumn("ref", F.lit(1)).unionByName(
         _long(current, columns, kind).withColumn("ref", F.lit(0)))
-    present = F.col("value").isNotNull()
+    value = F.col("value")
     if kind == "double":
-        present = present & ~F.isnan("value") & (F.abs("value") != float("inf"))
-    return both.filter(present).groupBy("column", "value").agg(
-        F.sum("ref").alias("n_ref"), F.sum(1 - F.col("ref")).alias("n_cur"))
+        value = F.when(~F.isnan("value") & (F.abs("value") != float("inf")), F.col("value"))
+    left = (F.col("value").isNotNull() & F.col("clean").isNull()).cast("bigint")
+    present = F.col("clean").isNotNull().cast("bigint")
+    return both.withColumn("clean", value).groupBy("column", F.col("clean").alias("value")).agg(
+        F.sum(present * F.col("ref")).alias("n_ref"), F.sum(present * (1 - F.col("ref"))).alias("n_cur"),
+        F.sum(left * F.col("ref")).alias("left_ref"), F.sum(left * (1 - F.col("ref"))).alias("left_cur"))
+
+
+def _per_column(hist: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
+    """One row for each asked column with its counts; the distances are NULL where a frame has no value."""
+    names = hist.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    counts = hist.groupBy("column").agg(*[F.sum(c).alias(c) for c in ("n_ref", "n_cur", "left_ref", "left_cur")])
+    return names.join(counts, "column", "left").na.fill(0, ["n_ref", "n_cur", "left_ref", "left_cur"]).join(found, "column", "left")
 
 
 def numeric_distances(baseline: DataFrame, current: DataFrame, columns: list[str] = NUMERICAL_FEATURES) -> DataFrame:
     """Per column: Wasserstein-1 distance over the baseline deviation, KS statistic, Jensen-Shannon distance."""
-    hist = _histogram(baseline, current, columns, "double").withColumn("sum_ref", F.col("n_ref") * F.col("value"))
+    every = _histogram(baseline, current, columns, "double")
+    hist = every.filter("value is not null").withColumn("sum_ref", F.col("n_ref") * F.col("value"))
     run = running_totals(hist, ["column"], "value", ["n_ref", "n_cur", "sum_ref"])
     n_ref, n_cur = F.col("n_ref_total"), F.col("n_cur_total")
     below = F.abs((F.col("n_ref_upto") - F.col("n_ref")) / n_ref - (F.col("n_cur_upto") - F.col("n_cur")) / n_cur)
     off = F.col("value") - F.col("sum_ref_total") / n_ref
     agg = run.filter((n_ref > 0) & (n_cur > 0)).groupBy("column").agg(
-        F.max(n_ref).alias("n_ref"), F.max(n_cur).alias("n_cur"), F.count("*").alias("n_values"),
+        F.count("*").alias("n_values"),
         F.sum(F.coalesce(below * (F.col("value") - F.col("prev_value")), F.lit(0.0))).alias("w"),
         F.sqrt(F.sum(F.col("n_ref") * off * off) / F.max(n_ref)).alias("std"),
         F.max(F.abs(F.col("n_ref_upto") / n_ref - F.col("n_cur_upto") / n_cur)).alias("ks"),
@@ -61,28 +73,31 @@ def numeric_distances(baseline: DataFrame, current: DataFrame, columns: list[str
         F.min(F.when(F.col("prev_value").isNull(), F.col("n_ref") / n_ref)).alias("first_ref"),
         F.min(F.when(F.col("prev_value").isNull(), F.col("n_cur") / n_cur)).alias("first_cur"),
     )
-    return agg.select(
-        "column", "n_ref", "n_cur", "n_values",
+    found = agg.select(
+        "column", "n_values",
         (F.col("w") / F.greatest("std", F.lit(0.001))).alias("wasserstein"),
         "ks", F.sqrt(F.greatest("js", F.lit(0.0)) / 2).alias("jensen_shannon"), "chi_square", "first_ref", "first_cur",
     )
+    return _per_column(every, found, columns)
 
 
 def categorical_distances(baseline: DataFrame, current: DataFrame,
                           columns: list[str] = CATEGORICAL_FEATURES) -> DataFrame:
     """Per column: Jensen-Shannon distance (natural log) and the chi-square statistic."""
-    hist = _histogram(baseline, current, columns, "string")
+    every = _histogram(baseline, current, columns, "string")
+    hist = every.filter("value is not null").drop("left_ref", "left_cur")
     totals = hist.groupBy("column").agg(F.sum("n_ref").alias("t_ref"), F.sum("n_cur").alias("t_cur"))
     t_ref, t_cur = F.col("t_ref"), F.col("t_cur")
     agg = hist.join(totals, "column").filter((t_ref > 0) & (t_cur > 0)).groupBy("column").agg(
-        F.max(t_ref).alias("n_ref"), F.max(t_cur).alias("n_cur"), F.count("*").alias("n_values"),
+        F.count("*").alias("n_values"),
         F.sum(_js_share(F.col("n_ref") / t_ref, F.col("n_cur") / t_cur)).alias("js"),
         F.sum(_chi_share(F.col("n_ref"), F.col("n_cur"), t_ref, t_cur)).alias("chi_square"),
         F.min_by(F.col("n_ref") / t_ref, "value").alias("first_ref"),
         F.min_by(F.col("n_cur") / t_cur, "value").alias("first_cur"),
     )
-    return agg.select("column", "n_ref", "n_cur", "n_values",
-                      F.sqrt(F.greatest("js", F.lit(0.0)) / 2).alias("jensen_shannon"), "chi_square", "first_ref", "first_cur")
+    found = agg.select("column", "n_values", F.sqrt(F.greatest("js", F.lit(0.0)) / 2).alias("jensen_shannon"),
+                       "chi_square", "first_ref", "first_cur")
+    return _per_column(every, found, columns)
 
 
 def _js_share(p: Column, q: Column) -> Column:
@@ -106,27 +121,42 @@ def ks_p_value(d: Column, n: Column, m: Column) -> Column:
     return F.when(x < 0.2, 1.0).otherwise(F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0)))
 
 
-@pandas_udf(T.DoubleType())
-def chi_square_p_value(x: pd.Series, dof: pd.Series) -> pd.Series:
-    """Upper tail of the chi-square distribution for a whole number of degrees of freedom."""
-
-    def tail(value: float, k: int) -> float:
-        if math.isinf(value):
-            return 0.0
-        h = value / 2
-        if k % 2 == 0:
-            term, total = math.exp(-h), 0.0
-            for i in range(k // 2):
-                total += term
-                term *= h / (i + 1)
-            return total
-        total, term = math.erfc(math.sqrt(h)), math.exp(-h) * math.sqrt(h) / math.gamma(1.5)
-        for i in range(1, (k + 1) // 2):
+def gamma_tail(a: float, x: float) -> float:
+    """Upper regularised incomplete gamma function, by its series or its continued fraction, in log space."""
+    if x <= 0:
+        return 1.0
+    if math.isinf(x):
+        return 0.0
+    scale = a * math.log(x) - x - math.lgamma(a)
+    if x < a + 1:
+        term = total = 1.0 / a
+        n = a
+        while abs(term) > total * 1e-16:
+            n += 1
+            term *= x / n
             total += term
-            term *= h / (i + 0.5)
-        return total
+        return max(0.0, 1.0 - math.exp(scale + math.log(total)))
+    tiny = 1e-300
+    b = x + 1 - a
+    c, d = 1 / tiny, 1 / b
+    h, i, change = d, 0, 0.0
+    while abs(change - 1) > 1e-14 and i < 1_000_000:
+        i += 1
+        step = -i * (i - a)
+        b += 2
+        d = step * d + b
+        d = 1 / (d if abs(d) > tiny else tiny)
+        c = b + step / c
+        c = c if abs(c) > tiny else tiny
+        change = d * c
+        h *= change
+    return math.exp(scale + math.log(h))
 
-    return pd.Series([tail(v, int(k)) if pd.notna(v) and pd.notna(k) else None for v, k in zip(x, dof)], dtype="float64")
+
+@pandas_udf(T.DoubleType())
+def chi_square_p_value(x: pd.Series, dof: pd.Series) -> pd.Series:
+    """Upper tail of the chi-square distribution."""
+    return pd.Series([gamma_tail(k / 2, v / 2) if pd.notna(v) and pd.notna(k) else None for v, k in zip(x, dof)], dtype="float64")
 
 
 @pandas_udf(T.DoubleType())
@@ -135,43 +165,54 @@ def normal_p_value(z: pd.Series) -> pd.Series:
     return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)) if pd.notna(v) else None).astype("float64")
 
 
+# The tests of each method, for numbers and for categories.
+METHODS = {"distance": ("wasserstein", "jensen_shannon"), "p_value": ("ks", "chi_square"), "z": ("ks", "z")}
+
+
 def drift_columns(baseline: DataFrame, current: DataFrame, numerical: list[str] = NUMERICAL_FEATURES,
-                  categorical: list[str] = CATEGORICAL_FEATURES, method: str = "auto") -> DataFrame:
-    """One row per column: the test used, its score, its threshold and whether the column drifted.
+                  categorical: list[str] = CATEGORICAL_FEATURES, method: str = "distance") -> DataFrame:
+    """One row per asked column: the test used, its score, its threshold and whether the column drifted.
 
-    `auto` takes distances for a baseline of more than 1000 rows (Wasserstein for numbers with more
-    than 5 distinct values, else Jensen-Shannon) and p-values below that (KS, chi-square, or a z-test
-    for two values). `distance` and `p_value` fix the family.
+    `method` names the tests, whatever the frames hold: `distance` takes Wasserstein and Jensen-Shannon distances,
+    `p_value` KS and chi-square tests, `z` KS and a z-test of the share of the first of two categories. A column with values in one
+    frame only has drifted, without a score; one without values in either has not. Numbers that are not finite are
+    left out and counted.
     """
-    num = numeric_distances(baseline, current, numerical).withColumn("kind", F.lit("num"))
-    cat = categorical_distances(baseline, current, categorical).withColumn("kind", F.lit("cat"))
-    both = num.unionByName(cat, allowMissingColumns=True)
-    if method == "auto":
-        far = F.col("n_ref") > SMALL_BASELINE
-    else:
-        far = F.lit(method == "distance")
-    many = (F.col("kind") == "num") & (F.col("n_values") > FEW_VALUES)
-    test = (
-        F.when(far & many, "wasserstein").when(far, "jensen_shannon")
-        .when(many, "ks").when(F.col("n_values") > 2, "chi_square").otherwise("z")
-    )
+    by_kind = dict(zip(("num", "cat"), METHODS[method]))
+    parts = []
+    if numerical:
+        parts.append(numeric_distances(baseline, current, numerical).withColumn("kind", F.lit("num")))
+    if categorical:
+        parts.append(categorical_distances(baseline, current, categorical).withColumn("kind", F.lit("cat")))
+    if not parts:
+        return baseline.sparkSession.createDataFrame([], "column string, kind string, method string, score double, threshold double, "
+                                                     "drifted boolean, n_ref bigint, n_cur bigint, left_ref bigint, left_cur bigint")
+    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+    for name in ("wasserstein", "ks"):
+        if name not in both.columns:
+            both = both.withColumn(name, F.lit(None).cast("double"))
     pooled = (F.col("first_ref") * F.col("n_ref") + F.col("first_cur") * F.col("n_cur")) / (F.col("n_ref") + F.col("n_cur"))
     spread = F.sqrt(pooled * (1 - pooled) * (1 / F.col("n_ref") + 1 / F.col("n_cur")))
     z = F.when(spread > 0, (F.col("first_ref") - F.col("first_cur")) / spread).otherwise(0.0)
-    scored = both.withColumn("method", test).withColumns({
+    scored = both.withColumn("method", F.when(F.col("kind") == "num", by_kind["num"]).otherwise(by_kind["cat"])).withColumns({
         "chi_p": chi_square_p_value("chi_square", F.greatest(F.col("n_values") - 1, F.lit(1)).cast("double")),
         "z_p": normal_p_value(z),
-    }).withColumn("score", F.when(F.col("method") == "wasserstein", F.col("wasserstein"))
-                  .when(F.col("method") == "jensen_shannon", F.col("jensen_shannon"))
-                  .when(F.col("method") == "ks", ks_p_value(F.col("ks"), F.col("n_ref"), F.col("n_cur")))
-                  .when(F.col("method") == "chi_square", F.col("chi_p"))
-                  .otherwise(F.col("z_p")))
+    })
+    full = (F.col("n_ref") > 0) & (F.col("n_cur") > 0)
+    score = (
+        F.when(F.col("method") == "wasserstein", F.col("wasserstein"))
+        .when(F.col("method") == "jensen_shannon", F.col("jensen_shannon"))
+        .when(F.col("method") == "ks", ks_p_value(F.col("ks"), F.col("n_ref"), F.col("n_cur")))
+        .when(F.col("method") == "chi_square", F.col("chi_p"))
+        .otherwise(F.col("z_p"))
+    )
     distance = F.col("method").isin("wasserstein", "jensen_shannon")
-    return scored.select(
+    drifted = F.when(distance, F.col("score") >= DISTANCE_THRESHOLD).otherwise(F.col("score") < P_VALUE_THRESHOLD)
+    return scored.withColumn("score", F.when(full, score)).select(
         "column", "kind", "method", "score",
         F.when(distance, DISTANCE_THRESHOLD).otherwise(P_VALUE_THRESHOLD).alias("threshold"),
-        F.when(distance, F.col("score") >= DISTANCE_THRESHOLD).otherwise(F.col("score") < P_VALUE_THRESHOLD).alias("drifted"),
-        "n_ref", "n_cur",
+        F.when(full, drifted).otherwise((F.col("n_ref") > 0) | (F.col("n_cur") > 0)).alias("drifted"),
+        "n_ref", "n_cur", "left_ref", "left_cur",
     )
 
 
@@ -195,6 +236,19 @@ def data_quality(frames: DataFrame, keys: list[str], numerical: list[str] = NUME
             F.count("value").alias("n_value"), F.count("*").alias("n"))
 
     by = [*keys, "column"]
+    if not numerical and not categorical:
+        raise ValueError("data_quality needs a column")
+    cat = None
+    if categorical:
+        cat = long(categorical, "string").groupBy(*by).agg(
+            F.sum("n").alias("rows"),
+            F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("nulls"),
+            F.count("value").alias("distinct_values"),
+            F.max_by("value", F.when(F.col("value").isNotNull(), F.struct("n", "value"))).alias("most_common"),
+            F.max(F.when(F.col("value").isNotNull(), F.col("n"))).alias("most_common_rows"),
+        ).withColumn("kind", F.lit("cat"))
+    if not numerical:
+        return cat
     # missing values form a group that adds nothing to the sums over values
     hist = long(numerical, "double").withColumns({
         "n_value": F.when(F.col("value").isNull(), 0).otherwise(F.col("n_value")).cast("bigint"),
@@ -216,14 +270,7 @@ def data_quality(frames: DataFrame, keys: list[str], numerical: list[str] = NUME
         F.max_by(F.col("value").cast("string"), F.when(present, F.struct("n", -F.col("value")))).alias("most_common"),
         F.max(F.when(present, F.col("n"))).alias("most_common_rows"),
     ).withColumn("kind", F.lit("num"))
-    cat = long(categorical, "string").groupBy(*by).agg(
-        F.sum("n").alias("rows"),
-        F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("nulls"),
-        F.count("value").alias("distinct_values"),
-        F.max_by("value", F.when(F.col("value").isNotNull(), F.struct("n", "value"))).alias("most_common"),
-        F.max(F.when(F.col("value").isNotNull(), F.col("n"))).alias("most_common_rows"),
-    ).withColumn("kind", F.lit("cat"))
-    return num.unionByName(cat, allowMissingColumns=True)
+    return num if cat is None else num.unionByName(cat, allowMissingColumns=True)
 
 
 def classification_quality(baseline: DataFrame, current: DataFrame) -> DataFrame:

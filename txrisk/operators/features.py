@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from txrisk.functions import scalar as S
 from txrisk.operators.history import history_features
-from txrisk.operators.prefix import lookup_join
 from txrisk.options import US, FeatureOptions
 from txrisk.schemas import FEATURE_VECTOR
 
@@ -30,8 +29,8 @@ def with_amount_stats(moments: DataFrame) -> DataFrame:
     The deviation is the population one, never below 1; without history the mean is the amount.
     """
     n = F.col("prior_count")
-    mean = F.when(n > 0, F.col("prior_sum").cast("double") / S.UNITS / n).otherwise(F.col("amount"))
-    square = F.col("prior_sumsq").cast("double") / (float(S.UNITS) * S.UNITS) / n
+    mean = F.when(n > 0, F.col("prior_sum") / n).otherwise(F.col("amount"))
+    square = F.col("prior_sumsq") / n
     std = F.when(n > 0, F.greatest(F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))), F.lit(1.0))).otherwise(1.0)
     return moments.withColumns({
         "amount_zscore": (F.col("amount") - mean) / std,
@@ -47,12 +46,13 @@ def merchant_rates(tx: DataFrame, until_us: int | None = None, window_s: int = 3
     return rows.groupBy("merchant_id").agg((F.sum("label") / F.count("*")).alias("fraud_rate"))
 
 
-def with_merchant_rate(tx: DataFrame, rates: DataFrame | None, opts: FeatureOptions = FeatureOptions()) -> DataFrame:
+def with_merchant_rate(tx: DataFrame, rates: DataFrame | None) -> DataFrame:
     """`merchant_fraud_rate_30d` by lookup; merchants without a rate get 0."""
     if rates is None:
         return tx.withColumn("merchant_fraud_rate_30d", F.lit(0.0))
     unique = rates.groupBy("merchant_id").agg(F.max("fraud_rate").alias("fraud_rate"))
-    joined = lookup_join(tx, unique, "merchant_id", opts.broadcast_rows, bound=rates)
+    # adaptive execution broadcasts the rates if they are small, and else splits the partitions of hot merchants
+    joined = tx.join(unique, "merchant_id", "left")
     return joined.withColumn("merchant_fraud_rate_30d", F.coalesce("fraud_rate", F.lit(0.0))).drop("fraud_rate")
 
 
@@ -70,7 +70,7 @@ def feature_vector(tx: DataFrame, rates: DataFrame | None = None, opts: FeatureO
                    arrival: str | None = None) -> DataFrame:
     """The 20 columns of a feature event, in their fixed order."""
     return to_feature_vector(with_merchant_rate(
-        with_calendar(with_amount_stats(history_features(tx, opts, arrival=arrival))), rates, opts))
+        with_calendar(with_amount_stats(history_features(tx, opts, arrival=arrival))), rates))
 
 
 def to_feature_vector(df: DataFrame) -> DataFrame:

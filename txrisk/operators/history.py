@@ -21,6 +21,9 @@ GROUPS = ("velocity", "distinct", "moments")
 CARRY, EXPIRY, TX = -1, 0, 1
 
 EXACT = "decimal(38,0)"
+# Sums are exact for amounts below these sizes, at 16 digits behind the point in windows and at 6 in the
+# moments; larger amounts, of any size, are added up as doubles beside them.
+WINDOW_EXACT, MOMENTS_EXACT = 1e12, 1e9
 
 
 def history_features(tx: DataFrame, opts: FeatureOptions = FeatureOptions(),
@@ -32,11 +35,11 @@ def history_features(tx: DataFrame, opts: FeatureOptions = FeatureOptions(),
 
     velocity: tx_count_1h, tx_count_24h, tx_sum_1h, tx_sum_24h
     distinct: unique_merchants_24h, unique_countries_7d
-    moments:  prior_count, prior_sum, prior_sumsq, prior_fraud (in units of a millionth)
+    moments:  prior_count, prior_sum, prior_sumsq, prior_fraud
     """
     payload = tx.columns
     rows = tx.withColumns({
-        "units": S.units(F.col("amount")),
+        **_window_parts(F.col("amount")),
         "seq": F.col(arrival) if arrival else F.col("transaction_id"),
     })
     hot = hot_users(tx, opts)
@@ -75,7 +78,7 @@ def _members(opts: FeatureOptions, groups: tuple[str, ...]) -> dict[str, list[st
     """What is looked up in the user's past and future, per group of features."""
     members = {}
     if "velocity" in groups:
-        members["same"] = ["units", "transaction_id"]
+        members["same"] = ["amount", "transaction_id"]
     if "distinct" in groups:
         members["merchant"] = ["merchant_id"]
         members["country"] = ["country"]
@@ -125,7 +128,7 @@ def _entries(rows: DataFrame, extra: list[str], opts: FeatureOptions, groups: tu
     zero = F.lit(0).cast("bigint")
     ts = F.col("ts_us")
     keep = [c for c in payload if c != "user_id"]
-    carried = [c for c in ("units", "prev_merchant", "prev_country") if c in rows.columns]
+    carried = [c for c in ("exact", "big", "prev_merchant", "prev_country") if c in rows.columns]
 
     def entry(kind: int, at: Column, deltas: dict[str, Column], full: bool) -> Column:
         body = F.struct(*[F.col(c) for c in keep])
@@ -164,9 +167,10 @@ def _windows(entries: DataFrame, keys: list[str], opts: FeatureOptions, groups:
     if "velocity" in groups:
         for name, delta in (("1h", "in_short"), ("24h", "in_long")):
             first[f"n_{name}"] = F.sum(delta).over(upto)
-            first[f"u_{name}"] = F.sum(F.coalesce(carry(f"{delta}_units"), F.col(delta) * F.col("units"))).over(upto)
+            for part in ("exact", "big"):
+                first[f"{part}_{name}"] = F.sum(F.coalesce(carry(f"{delta}_{part}"), _signed(delta, part))).over(upto)
             out[f"tx_count_{name}"] = F.col(f"n_{name}").cast("int")
-            out[f"tx_sum_{name}"] = F.col(f"u_{name}") / S.UNITS
+            out[f"tx_sum_{name}"] = F.col(f"exact_{name}").cast("double") + F.col(f"big_{name}")
     if "distinct" in groups:
         if opts.distinct_mode == "sliding":
             first["n_merchants"] = F.sum("in_merchants").over(upto)
@@ -182,7 +186,7 @@ def _windows(entries: DataFrame, keys: list[str], opts: FeatureOptions, groups:
     if ttls:
         first["prev_tx"] = F.last(F.when(F.col("kind") != EXPIRY, F.col("at")), ignorenulls=True).over(before)
     if "moments" in groups:
-        entries = entries.withColumn("label", F.col("body.label"))
+        entries = entries.withColumns({"label": F.col("body.label"), "amount": F.col("body.amount")})
     df = entries.withColumns(first)
 
     def starts(ttl: int) -> Column:
@@ -194,6 +198,8 @@ def _windows(entries: DataFrame, keys: list[str], opts: FeatureOptions, groups:
         df = df.withColumn("base", F.last(F.when(starts(ttls["moments"]), base), ignorenulls=True).over(upto))
         for n in own:
             out[f"prior_{n}"] = F.col(f"c_{n}") - own[n] - F.coalesce(F.col(f"base.{n}"), F.lit(0))
+        out["prior_sum"] = out["prior_sum"].cast("double") / S.UNITS + out.pop("prior_bigsum")
+        out["prior_sumsq"] = out["prior_sumsq"].cast("double") / (float(S.UNITS) * S.UNITS) + out.pop("prior_bigsq")
     distinct = {m: n for m, n in (("merchant", "n_merchants"), ("country", "n_countries")) if m in ttls}
     if distinct:
         df = df.withColumns({
@@ -216,13 +222,29 @@ def _windows(entries: DataFrame, keys: list[str], opts: FeatureOptions, groups:
     return df.filter(is_tx).select(*fields, *[v.alias(k) for k, v in out.items()])
 
 
+def _window_parts(amount: Column) -> dict[str, Column]:
+    """An amount as an exact part and a part that only a double can hold; one of them is 0."""
+    small = F.abs(amount) < WINDOW_EXACT
+    return {"exact": F.when(small, amount).otherwise(0.0).cast("decimal(28,16)"), "big": F.when(small, 0.0).otherwise(amount)}
+
+
+def _signed(delta: str, part: str) -> Column:
+    """What an entry adds to a window's sum; its delta is 1, 0 or -1."""
+    value, zero = F.col(part), F.lit(0).cast("decimal(28,16)") if part == "exact" else F.lit(0.0)
+    return F.when(F.col(delta) > 0, value).when(F.col(delta) < 0, -value).otherwise(zero)
+
+
 def _moments() -> dict[str, Column]:
     """A transaction's own share of the running moments; a missing fraud flag counts as 0."""
-    exact = F.col("units").cast("decimal(18,0)")
+    amount = F.col("amount")
+    small = F.abs(amount) < MOMENTS_EXACT
+    units = F.round(F.when(small, amount).otherwise(0.0) * S.UNITS).cast("decimal(16,0)")
     return {
         "count": F.lit(1).cast("bigint"),
-        "sum": exact.cast(EXACT),
-        "sumsq": (exact * exact).cast(EXACT),
+        "sum": units.cast(EXACT),
+        "sumsq": (units * units).cast(EXACT),
+        "bigsum": F.when(small, 0.0).otherwise(amount),
+        "bigsq": F.when(small, 0.0).otherwise(amount * amount),
         "fraud": F.coalesce(F.col("label"), F.lit(0)).cast("bigint"),
     }
 
@@ -235,12 +257,12 @@ def _carry(entries: DataFrame, hot_rows: DataFrame, opts: FeatureOptions, groups
     is_tx = F.col("kind") == TX
     deltas = [c for c in ("in_short", "in_long", "in_merchants", "in_countries") if c in entries.columns]
     sums = {d: F.sum(d) for d in deltas}
-    sums |= {f"{d}_units": F.sum(F.col(d) * F.col("units")) for d in deltas if d in ("in_short", "in_long")}
+    sums |= {f"{d}_{part}": F.sum(_signed(d, part)) for d in deltas if d in ("in_short", "in_long") for part in ("exact", "big")}
     parts = entries
     own = {}
     if "moments" in groups:
         own = _moments()
-        parts = parts.withColumn("label", F.col("body.label"))
+        parts = parts.withColumns({"label": F.col("body.label"), "amount": F.col("body.amount")})
     totals = parts.groupBy("user_id", "slice").agg(
         F.min(F.when(is_tx, F.col("at"))).alias("lo"), F.max(F.when(is_tx, F.col("at"))).alias("hi"),
         *[v.alias(k) for k, v in sums.items()],

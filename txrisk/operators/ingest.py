@@ -7,10 +7,8 @@ from txrisk.schemas import FEATURE_VECTOR, REQUIRED_FIELDS, TRANSACTION
 
 MESSAGE_COLS = ["key", "value", "topic", "partition", "offset"]
 
-# The first and the last second that a calendar date can show, and the amount bound
-# below which millionths fit a bigint.
+# The first and the last second that a calendar date can show.
 FIRST_SECOND, LAST_SECOND = -62_135_596_800, 253_402_300_799
-AMOUNT_BOUND = 1e12
 
 
 def parse_messages(raw: DataFrame) -> DataFrame:
@@ -31,7 +29,8 @@ def parse_messages(raw: DataFrame) -> DataFrame:
     tidy = F.trim(text)
     # one object that closes with its first brace has nothing after it
     whole = tidy.startswith("{") & (F.instr(tidy, "}") == F.length(tidy))
-    plain = ~F.col("quick.user_id").rlike(r"^([-\d{\[]|true$|false$)")
+    # a user id must have come as text: a number, literal or nested value would follow its name without a quote
+    plain = ~text.rlike(r'"user_id"\s*:\s*[^"\s]') & ~F.col("quick.user_id").rlike(r"^([{\[]|true$|false$)")
     for name in ("transaction_id", "merchant_id", "country", "merchant_category"):
         plain = plain & ~F.col(f"quick.{name}").rlike(r"^([{\[]|true$|false$)")
     sure = whole & plain & F.col("quick._corrupt").isNull()
@@ -88,7 +87,7 @@ def _in_range() -> Column:
     no_flag = F.col("sure") | F.col("types").contains("_is_fraud: VOID")
     return (
         F.col("tx.timestamp").between(FIRST_SECOND, LAST_SECOND)
-        & (F.col("tx.amount") > -1) & (F.col("tx.amount") < AMOUNT_BOUND)
+        & (F.col("tx.amount") > -1) & (F.col("tx.amount") < float("inf"))
         & (no_flag | F.col("tx._is_fraud").isNotNull())
     )
 
@@ -100,7 +99,7 @@ def _error_text() -> Column:
         F.when(F.col("value").isNull(), "no payload")
         .when(~F.is_valid_utf8(text), "payload is not UTF-8")
         .when(F.col("stage") == "deserialize", "payload is not JSON")
-        .when((F.col("tx.amount") <= -1) | (F.col("tx.amount") >= AMOUNT_BOUND), "amount is out of range")
+        .when((F.col("tx.amount") <= -1) | (F.col("tx.amount") == float("inf")), "amount is out of range")
         .when(~F.col("tx.timestamp").between(FIRST_SECOND, LAST_SECOND), "timestamp is out of range")
         .when(types.isNull(), "message is not an object")
     )

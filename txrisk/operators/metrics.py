@@ -78,16 +78,18 @@ def latency_summary(log: DataFrame, keys: list[str], latency: str = "latency_ms"
                     target_ms: float = 50.0) -> DataFrame:
     """Counts, mean, p50, p95, p99, p99.9 and max; failed requests are part of the latencies.
 
+    Requests without a latency count as requests only.
+
     Percentiles interpolate linearly and are exact: they come from prefix sums over the distinct
     latencies, so no task holds a group's values.
     """
     value = F.col(latency)
     per_value = log.groupBy(*keys, value.alias("value")).agg(
-        F.count("*").alias("n"), F.sum(F.when(F.col(ok), 1).otherwise(0)).alias("n_ok"))
+        F.count(value).alias("n"), F.count("*").alias("n_all"), F.sum(F.when(F.col(ok), 1).otherwise(0)).alias("n_ok"))
     quantiles = exact_quantiles("value", "n", {"p50": 0.5, "p95": 0.95, "p99": 0.99, "p99_9": 0.999})
     agg = running_totals(per_value, keys, "value", ["n", "n_ok"]).groupBy(*keys).agg(
         F.sum("n_ok").alias("requests_ok"),
-        (F.sum("n") - F.sum("n_ok")).alias("errors"),
+        (F.sum("n_all") - F.sum("n_ok")).alias("errors"),
         (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
         *[v.alias(k) for k, v in quantiles.items()],
         F.max("value").alias("max"),

@@ -115,16 +115,3 @@ def global_rank(rows: DataFrame, keys: list[str], order: list[str], slice_by: Co
 def within_limit(df: DataFrame, limit: int) -> bool:
     """Whether `df` has at most `limit` rows; no more than limit + 1 rows are produced to tell."""
     return df.limit(limit + 1).count() <= limit
-
-
-def lookup_join(rows: DataFrame, table: DataFrame, key: str, broadcast_rows: int,
-                bound: DataFrame | None = None) -> DataFrame:
-    """Left join with a table that is unique on `key`.
-
-    The table is broadcast when `bound` (a table with at least as many rows that is cheap to count;
-    by default the table itself) has at most `broadcast_rows` rows. Beyond that it is a shuffle
-    join, in which adaptive execution splits the partitions of hot keys of `rows`.
-    """
-    if within_limit(table if bound is None else bound, broadcast_rows):
-        return rows.join(F.broadcast(table), key, "left")
-    return rows.join(table, key, "left")

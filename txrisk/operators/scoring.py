@@ -5,8 +5,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from txrisk.functions import scalar as S
-from txrisk.operators.prefix import lookup_join
-from txrisk.options import FeatureOptions, ScoringOptions
+from txrisk.options import ScoringOptions
 from txrisk.schemas import FEATURE_COLS, FEATURE_VECTOR
 
 REQUEST_COLS = ["transaction_id", *FEATURE_COLS]
@@ -34,6 +33,12 @@ def valid_rows(checked: DataFrame) -> DataFrame:
     return checked.filter("reject_reason is null").drop("reject_reason")
 
 
+def rejected_rows(checked: DataFrame, at: Column | None = None) -> DataFrame:
+    """(transaction_id, reject_reason, rejected_at) of the rows that cannot be scored."""
+    return checked.filter("reject_reason is not null").select(
+        "transaction_id", "reject_reason", (F.current_timestamp() if at is None else at).alias("rejected_at"))
+
+
 def model_input(rows: DataFrame) -> DataFrame:
     """The 15 model columns in their fixed order, as doubles, after the id."""
     return rows.select("transaction_id", *[F.col(c).cast("double").alias(c) for c in FEATURE_COLS])
@@ -98,11 +103,10 @@ def latest_predictions(predictions: DataFrame, as_of: Column, lifetime_s: int =
         "transaction_id", F.col("p.probability").alias("stored_probability"), F.col("p.decision").alias("stored_decision"))
 
 
-def join_predictions(features: DataFrame, predictions: DataFrame, as_of: Column, lifetime_s: int = 3600,
-                     opts: FeatureOptions = FeatureOptions()) -> DataFrame:
+def join_predictions(features: DataFrame, predictions: DataFrame, as_of: Column, lifetime_s: int = 3600) -> DataFrame:
     """`prediction` (0.0 where the store has none) and `prediction_missing`."""
     found = latest_predictions(predictions, as_of, lifetime_s)
-    joined = lookup_join(features, found, "transaction_id", opts.broadcast_rows, bound=predictions)
+    joined = features.join(found, "transaction_id", "left")
     return joined.withColumns({
         "prediction": F.coalesce("stored_probability", F.lit(0.0)),
         "prediction_missing": F.col("stored_probability").isNull(),
@@ -113,5 +117,13 @@ def decision_counts(scored: DataFrame) -> DataFrame:
     return scored.groupBy("decision").agg(F.count("*").alias("requests"))
 
 
+def error_counts(checked: DataFrame, model_available: bool = True) -> DataFrame:
+    """Requests that get no decision, by type: `validation`, and `model_unavailable` for valid ones without a model."""
+    kind = F.when(F.col("reject_reason").isNotNull(), "validation")
+    if not model_available:
+        kind = kind.otherwise("model_unavailable")
+    return checked.select(kind.alias("error")).filter("error is not null").groupBy("error").agg(F.count("*").alias("requests"))
+
+
 def reject_counts(checked: DataFrame) -> DataFrame:
     return checked.filter("reject_reason is not null").groupBy("reject_reason").agg(F.count("*").alias("requests"))

@@ -65,5 +65,6 @@ class StreamOptions:
     features_topic: str = "transactions.features"
     dead_letter_topic: str = "transactions.raw.dlq"
     starting_offsets: str = "latest"
+    rows_per_trigger: int = 1_000_000
     linger_ms: int = 2
     compression: str = "snappy"

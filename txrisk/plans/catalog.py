@@ -20,7 +20,7 @@ tx AS (
   SELECT CAST(event_id AS VARCHAR) AS transaction_id, 'user_' || user_id AS user_id,
          'merchant_' || k AS merchant_id, value AS amount, 'USD' AS currency,
          epoch_us(ts) / 1e6 AS "timestamp", epoch_us(ts) AS ts_us, event_type AS merchant_category,
-         (['US','CA','GB','DE','FR','NG','RU','CN'])[k % 8 + 1] AS country,
+         'C' || (k % 8) AS country,
          event_id % 3 <> 0 AS card_present, k, event_id, ts,
          CAST(event_type = 'error' AND value >= 50 AS INTEGER) AS label,
          CAST(round(value * 100) AS BIGINT) AS cents
@@ -75,8 +75,8 @@ stats AS (
 
 RATES_SQL = """
 rates AS (
-  SELECT merchant_id, CAST(sum(label) AS DOUBLE) / count(*) AS fraud_rate FROM tx GROUP BY 1
-  HAVING CAST(sum(label) AS DOUBLE) / count(*) >= 0.07)
+  SELECT merchant_id, CAST(sum(label) AS DOUBLE) / count(*) AS fraud_rate FROM tx
+  WHERE k % 2 = 0 AND ts_us < 1705363200000000 AND ts_us >= 1705363200000000 - 30 * 86400000000 GROUP BY 1)
 """
 
 FEATURES_SQL = f"""
@@ -175,8 +175,7 @@ def distinct_sliding(spark, sf):
 def user_moments(spark, sf):
     m = features.user_moments(_tx(spark, sf))
     return m.select("transaction_id", "prior_count",
-                    (F.col("prior_sum").cast("double") / 1e6).alias("prior_sum"),
-                    F.round(F.col("prior_sumsq").cast("double") / 1e12, 4).alias("prior_sumsq"), "prior_fraud")
+                    "prior_sum", F.round("prior_sumsq", 4).alias("prior_sumsq"), "prior_fraud")
 
 
 @query(f"""WITH {TX}, {SESSIONS_SQL}, {MOMENTS_SQL} SELECT transaction_id, round(z, 6) AS amount_zscore FROM stats""")
@@ -204,7 +203,7 @@ def merchant_rates(spark, sf):
     round(coalesce(fraud_rate, 0.0), 6) AS merchant_fraud_rate_30d FROM tx LEFT JOIN rates USING (merchant_id)""")
 def merchant_rate_join(spark, sf):
     tx = _tx(spark, sf)
-    joined = features.with_merchant_rate(tx, A.risky_merchant_rates(tx))
+    joined = features.with_merchant_rate(tx, A.known_merchant_rates(tx))
     return _rounded(joined.select("transaction_id", "merchant_id", "merchant_fraud_rate_30d"), "merchant_fraud_rate_30d")
 
 
@@ -218,7 +217,7 @@ def calendar_features(spark, sf):
 
 def _vector(spark, sf, opts=FeatureOptions()):
     tx = _tx(spark, sf)
-    return features.feature_vector(tx, A.risky_merchant_rates(tx), opts)
+    return features.feature_vector(tx, A.known_merchant_rates(tx), opts)
 
 
 ROUNDED = ("amount_log", "amount_zscore", "merchant_fraud_rate_30d", "user_chargeback_rate")
@@ -626,15 +625,15 @@ def drift_p_values(spark, sf):
 
 
 COLUMNS_SQL = f"""{FRAMES_SQL}, {DISTANCE_NUM_SQL}, {DISTANCE_CAT_SQL}, scored AS (
-    SELECT col, 'num' AS kind, CASE WHEN n_values > 5 THEN 'wasserstein' ELSE 'jensen_shannon' END AS method,
-           CASE WHEN n_values > 5 THEN w / greatest(sd, 0.001) ELSE js END AS score FROM w1 JOIN sd USING (col) JOIN js_num USING (col)
+    SELECT col, 'num' AS kind, 'wasserstein' AS method,
+           w / greatest(sd, 0.001) AS score FROM w1 JOIN sd USING (col)
     UNION ALL SELECT col, 'cat', 'jensen_shannon', js FROM js_cat)"""
 
 
 @query(f"""{COLUMNS_SQL} SELECT col AS "column", kind, method, round(score, 6) AS score, 0.1::DOUBLE AS threshold,
     score >= 0.1 AS drifted FROM scored""")
 def drift_columns(spark, sf):
-    d = drift.drift_columns(*_frames(spark, sf), DRIFT_NUM, DRIFT_CAT, method="distance")
+    d = drift.drift_columns(*_frames(spark, sf), DRIFT_NUM, DRIFT_CAT)
     return _rounded(d.select("column", "kind", "method", "score", "threshold", "drifted"), "score")
 
 
@@ -642,7 +641,7 @@ def drift_columns(spark, sf):
     round(avg(CASE WHEN score >= 0.1 THEN 1.0 ELSE 0.0 END), 6) AS share_of_drifted_columns, 0.3::DOUBLE AS drift_share_threshold,
     avg(CASE WHEN score >= 0.1 THEN 1.0 ELSE 0.0 END) >= 0.3 AS dataset_drift FROM scored""")
 def dataset_drift(spark, sf):
-    columns = drift.drift_columns(*_frames(spark, sf), DRIFT_NUM, DRIFT_CAT, method="distance")
+    columns = drift.drift_columns(*_frames(spark, sf), DRIFT_NUM, DRIFT_CAT)
     return _rounded(drift.dataset_drift(columns), "share_of_drifted_columns")
 
 
@@ -671,3 +670,145 @@ def data_quality(spark, sf):
 def classification_quality(spark, sf):
     m = drift.classification_quality(*_frames(spark, sf))
     return _rounded(m.select("frame", *QUALITY_COLS), *QUALITY_COLS[2:])
+
+
+# --- sizes, gaps and faults that the events themselves do not have -----------------------------
+
+@query(f"""WITH {TX}, {SESSIONS_SQL}, {MOMENTS_SQL}, {VELOCITY_SQL}
+    SELECT transaction_id, CAST(tx_count_24h AS INTEGER) AS tx_count_24h, round(CAST(tx_sum_24h AS DOUBLE), 2) AS tx_sum_24h,
+           CAST(n AS BIGINT) AS prior_count, round(s / 100.0, 2) AS prior_sum
+    FROM velocity JOIN moments USING (transaction_id)""")
+def large_amounts(spark, sf):
+    """Amounts times 10^10, many of them beyond the exact sums; results are scaled back."""
+    tx = _tx(spark, sf).withColumn("amount", F.col("amount") * 1e10)
+    out = features.history_features(tx, groups=("velocity", "moments"))
+    return out.select("transaction_id", "tx_count_24h", F.round(F.col("tx_sum_24h") / 1e10, 2).alias("tx_sum_24h"), "prior_count",
+                      F.round(F.col("prior_sum") / 1e10, 2).alias("prior_sum"))
+
+
+@query(f"""WITH {TX}, replayed AS (
+      SELECT user_id, transaction_id, copy, cents * 1000000 + CASE WHEN copy = 2 THEN 1 ELSE 0 END AS tiny, ts_us + copy * 60000000 AS ts_us
+      FROM tx, (SELECT unnest([0, 1, 2]) AS copy)),
+    pairs AS (
+      SELECT DISTINCT a.transaction_id, a.copy, b.transaction_id AS other, b.tiny
+      FROM replayed a JOIN replayed b ON a.user_id = b.user_id AND b.ts_us BETWEEN a.ts_us - 86400000000 AND a.ts_us)
+    SELECT transaction_id, CAST(copy AS INTEGER) AS copy, CAST(count(*) AS INTEGER) AS tx_count_24h,
+           round(CAST(sum(tiny) AS DOUBLE) / 1e8, 8) AS tx_sum_24h FROM pairs GROUP BY 1, 2""")
+def fine_amounts(spark, sf):
+    """Each row comes again a minute later, and once more with an amount that differs in the eighth decimal."""
+    tx = _tx(spark, sf).select("transaction_id", "user_id", "amount", "ts_us").withColumn("copy", F.explode(F.array(*[F.lit(k) for k in range(3)])))
+    tx = tx.withColumns({"amount": F.when(F.col("copy") == 2, F.round(F.col("amount") + 1e-8, 8)).otherwise(F.col("amount")),
+                         "ts_us": F.col("ts_us") + F.col("copy") * F.lit(60_000_000)})
+    out = features.velocity_features(tx)
+    return out.select("transaction_id", "copy", "tx_count_24h", F.round("tx_sum_24h", 8).alias("tx_sum_24h"))
+
+
+STRETCHED = TX.replace("epoch_us(ts) AS ts_us", "1704067200000000 + (epoch_us(ts) - 1704067200000000) * 60 AS ts_us")
+
+
+@query(f"""WITH {STRETCHED}, {SESSIONS_SQL}, {DISTINCT_SQL}, {MOMENTS_SQL}
+    SELECT transaction_id, CAST(unique_countries_7d AS INTEGER) AS unique_countries_7d, CAST(n AS BIGINT) AS prior_count,
+           CAST(f AS BIGINT) AS prior_fraud FROM distinct_ttl JOIN moments USING (transaction_id)""")
+def idle_resets(spark, sf):
+    """Times stretched sixtyfold, so that gaps of more than a week and a month end sessions."""
+    start = F.lit(1_704_067_200_000_000)
+    tx = _tx(spark, sf).withColumn("ts_us", start + (F.col("ts_us") - start) * 60)
+    return features.history_features(tx, groups=("distinct", "moments")).select(
+        "transaction_id", "unique_countries_7d", "prior_count", "prior_fraud")
+
+
+@query(f"""WITH {TX}, {STAGE_SQL} SELECT transaction_id, CAST(event_id AS VARCHAR) || 'u' AS user_id, amount FROM staged WHERE stage IS NULL""")
+def duplicate_keys(spark, sf):
+    """Records whose first amount is out of range: the last value of a key counts, also where ids begin with digits."""
+    raw = A.raw_messages(A.read_events(spark, sf))
+    text = F.regexp_replace(F.col("value").cast("string"), F.lit('"user_id":"[^"]*"'), F.concat(F.lit('"user_id":"'), F.col("offset"), F.lit('u"')))
+    raw = raw.withColumn("value", F.concat(F.lit('{"amount":-5,'), F.substring(text, F.lit(2), F.length(text))).cast("binary"))
+    whole = raw.filter(F.col("value").cast("string").rlike('"amount":[0-9].*}$'))
+    return ingest.good_transactions(ingest.parse_messages(whole)).select("transaction_id", "user_id", "amount")
+
+
+@query("""SELECT error, 'transform' AS stage, count(*) AS messages FROM (
+      SELECT CASE event_type WHEN 'click' THEN 'amount has the wrong type' WHEN 'view' THEN 'card_present has the wrong type'
+             WHEN 'error' THEN 'amount is out of range' ELSE '''country''' END AS error FROM events) GROUP BY 1, 2""")
+def typed_failures(spark, sf):
+    """Text as amount, a number as flag, an amount below the domain, a missing country."""
+    kind = F.col("merchant_category")
+    tx = _tx(spark, sf)
+    text = F.to_json(F.struct(
+        "transaction_id", "user_id", "merchant_id", F.when(kind == "error", F.lit(-3.0)).otherwise(F.col("amount")).alias("amount"), "timestamp",
+        "merchant_category", F.when(kind.isin("click", "view", "error"), F.col("country")).alias("country"), "card_present"))
+    text = F.when(kind == "click", F.regexp_replace(text, '"amount":([0-9.E-]+)', '"amount":"$1"')).when(
+        kind == "view", F.regexp_replace(text, '"card_present":(true|false)', '"card_present":1')).otherwise(text)
+    raw = tx.select(F.col("user_id").cast("binary").alias("key"), text.cast("binary").alias("value"), F.lit("transactions.raw").alias("topic"),
+                    F.lit(0).alias("partition"), F.col("transaction_id").cast("bigint").alias("offset"))
+    return ingest.dead_letters(ingest.parse_messages(raw)).groupBy("error", "stage").agg(F.count("*").alias("messages"))
+
+
+@query(f"""WITH {TX}, {STAGE_SQL} SELECT event_id AS "offset", '2024-02-03T04:05:06.000007+00:00' AS ts_utc, user_id AS message_key,
+    stage, CAST(NULL AS VARCHAR) AS original_payload_base64 FROM staged WHERE stage IS NOT NULL""")
+def dead_letter_json(spark, sf):
+    """Dead letters as topic messages and back, at a fixed instant."""
+    letters = ingest.dead_letters(_parsed(spark, sf), F.to_timestamp(F.lit("2024-02-03T04:05:06.000007Z")))
+    fields = "offset bigint, ts_utc string, message_key string, stage string, original_payload_base64 string"
+    return ingest.dead_letter_messages(letters).select(F.from_json("value", fields).alias("v")).select("v.*")
+
+
+@query(f"""WITH {TX} SELECT transaction_id, CASE WHEN event_id % 2 = 0 THEN 'USD' ELSE 'EUR' END AS currency,
+    CASE WHEN event_id % 3 = 0 THEN 1706745600.0::DOUBLE ELSE "timestamp" END AS "timestamp" FROM tx""")
+def defaults(spark, sf):
+    """Missing currencies and times take their defaults."""
+    odd, third = F.col("transaction_id").cast("bigint") % 2 == 1, F.col("transaction_id").cast("bigint") % 3 == 0
+    tx = _tx(spark, sf).withColumns({"currency": F.when(odd, "EUR"), "timestamp": F.when(~third, F.col("timestamp"))})
+    return ingest.with_defaults(tx, F.to_timestamp(F.lit("2024-02-01T00:00:00Z"))).select("transaction_id", "currency", "timestamp")
+
+
+@query("""SELECT CAST(event_id AS VARCHAR) AS transaction_id, round((event_id * 7919 % 1000003) / 1000003.0::DOUBLE, 4) AS fraud_probability
+    FROM events""")
+def decision_rounding(spark, sf):
+    rows = A.read_events(spark, sf).select(F.col("event_id").cast("string").alias("transaction_id"), (F.col("event_id") * 7919 % 1000003 / 1000003).alias("p"))
+    return scoring.with_decision(rows, F.col("p")).select("transaction_id", "fraud_probability")
+
+
+@query(f"""WITH v AS ({FEATURES_SQL}) SELECT transaction_id, CAST(tx_count_1h AS DOUBLE) AS tx_count_1h, CAST(is_weekend AS DOUBLE) AS is_weekend,
+    CAST(card_present AS DOUBLE) AS card_present, CAST(day_of_week AS DOUBLE) AS day_of_week, tx_sum_24h FROM v""")
+def model_input(spark, sf):
+    return scoring.model_input(_vector(spark, sf)).select("transaction_id", "tx_count_1h", "is_weekend", "card_present", "day_of_week", "tx_sum_24h")
+
+
+@query("""SELECT CASE WHEN event_type = 'error' THEN 'validation' ELSE 'model_unavailable' END AS error, count(*) AS requests
+    FROM events GROUP BY 1""")
+def scoring_errors(spark, sf):
+    """Without a model: rows without an amount are invalid, all others are refused."""
+    e = A.read_events(spark, sf)
+    full = {c: F.lit(1) for c in FEATURE_COLS} | {"amount": F.when(F.col("event_type") != "error", F.col("value"))}
+    rows = e.select(F.col("event_id").cast("string").alias("transaction_id"), *[v.alias(k) for k, v in full.items()])
+    return scoring.error_counts(scoring.with_reject_reason(rows), model_available=False)
+
+
+@query(f"""{COLUMNS_SQL} SELECT col AS "column", CASE WHEN col = 'doubled' THEN NULL ELSE round(score, 6) END AS score,
+    CASE WHEN col = 'doubled' THEN true ELSE score >= 0.1 END AS drifted, CASE WHEN col = 'doubled' THEN 0 ELSE n_cur END AS n_cur
+    FROM scored JOIN (SELECT col, CAST(n_cur AS BIGINT) AS n_cur FROM w1 UNION ALL SELECT col, CAST(n_cur AS BIGINT) FROM js_cat) USING (col)""")
+def drift_missing_column(spark, sf):
+    """A column that is empty in the current frame stays in the report, as drifted."""
+    ref, cur = _frames(spark, sf)
+    d = drift.drift_columns(ref, cur.withColumn("doubled", F.lit(None).cast("double")), DRIFT_NUM, DRIFT_CAT)
+    return _rounded(d.select("column", "score", "drifted", "n_cur"), "score")
+
+
+@query("""WITH n AS (SELECT event_type, count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-16') AS r, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-16') AS c
+      FROM events GROUP BY 1),
+    chi AS (SELECT sum((c - r * tc / tr) * (c - r * tc / tr) / (r * tc / tr)) / 2 AS h FROM n, (SELECT sum(r)::DOUBLE AS tr, sum(c)::DOUBLE AS tc FROM n))
+    SELECT 'merchant_category' AS "column", 'chi_square' AS method, round(exp(-h) * (1 + h), 6) AS score FROM chi""")
+def drift_chi_square(spark, sf):
+    """Five categories, so four degrees of freedom, for which the tail has a short form."""
+    d = drift.drift_columns(*_frames(spark, sf), [], ["merchant_category"], method="p_value")
+    return _rounded(d.select("column", "method", "score"), "score")
+
+
+@query(f"""{FRAMES_SQL} SELECT frame, count(*) AS rows, round(avg(CAST(label AS DOUBLE)), 6) AS prediction FROM frames GROUP BY 1""")
+def baseline_quality(spark, sf):
+    """Frames without predictions take the labels."""
+    ref, cur = _frames(spark, sf)
+    both = [drift.baseline_with_prediction(f.drop("prediction")).withColumn("frame", F.lit(n)) for n, f in (("reference", ref), ("current", cur))]
+    out = both[0].unionByName(both[1]).groupBy("frame").agg(F.count("*").alias("rows"), F.avg("prediction").alias("prediction"))
+    return _rounded(out, "prediction")

@@ -18,9 +18,8 @@ REQUIRED_FIELDS = [
     "merchant_id", "country", "card_present", "merchant_category",
 ]
 
-# Bucket bounds of the latency histograms, in seconds.
+# Bucket bounds of the latency histogram, in seconds.
 FEATURE_LATENCY_BOUNDS = [0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 1.0, 5.0]
-REPORT_DURATION_BOUNDS = [0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0]
 
 RAW_MESSAGE = T.StructType([
     T.StructField("key", T.BinaryType()),

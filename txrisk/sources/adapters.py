@@ -4,9 +4,10 @@ the risk operators: typed transactions, raw messages, merchant rates, prediction
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from txrisk.functions import scalar as S
+from txrisk.operators.features import merchant_rates
 
-# The countries that stand for k % 8.
-COUNTRIES = ["US", "CA", "GB", "DE", "FR", "NG", "RU", "CN"]
+#: The instant as of which merchant rates are known: 2024-01-16.
+RATES_UNTIL_US = 1_705_363_200_000_000
 
 
 def read_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,7 +34,7 @@ def transactions(events: DataFrame) -> DataFrame:
         (ts_us / 1e6).alias("timestamp"),
         ts_us.alias("ts_us"),
         F.col("event_type").alias("merchant_category"),
-        F.get(F.array(*[F.lit(c) for c in COUNTRIES]), F.pmod(k, F.lit(8))).alias("country"),
+        F.concat(F.lit("C"), F.pmod(k, F.lit(8))).alias("country"),
         (F.col("event_id") % 3 != 0).alias("card_present"),
         F.lit(None).cast("string").alias("device_fingerprint"),
         ((F.col("event_type") == "error") & (F.col("value") >= 50)).cast("int").alias("label"),
@@ -63,10 +64,10 @@ def raw_messages(events: DataFrame) -> DataFrame:
     )
 
 
-def risky_merchant_rates(tx: DataFrame) -> DataFrame:
-    """A rate table of merchants with a rate of 7 % or more; the others take the lookup's default."""
-    rates = tx.groupBy("merchant_id").agg((F.sum("label") / F.count("*")).alias("fraud_rate"))
-    return rates.filter(F.col("fraud_rate") >= 0.07)
+def known_merchant_rates(tx: DataFrame) -> DataFrame:
+    """A rate table of merchants with an even number, as of RATES_UNTIL_US; the others take the lookup's default."""
+    rates = merchant_rates(tx, until_us=RATES_UNTIL_US)
+    return rates.filter(F.regexp_extract("merchant_id", r"(\d+)$", 1).cast("int") % 2 == 0)
 
 
 def predictions(events: DataFrame) -> DataFrame:

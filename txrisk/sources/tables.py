@@ -17,20 +17,16 @@ def read_baseline(spark: SparkSession, path: str) -> DataFrame:
     return baseline_with_prediction(spark.read.parquet(path))
 
 
-def write_table(df: DataFrame, path: str, mode: str = "append") -> None:
-    df.write.mode(mode).parquet(path)
-
-
 def read_topic(spark: SparkSession, topic: str, opts: StreamOptions = StreamOptions(),
                monitor: MonitorOptions | None = None) -> DataFrame:
-    """A topic as a stream; for the monitor, batches wait for its thresholds."""
+    """A topic as a stream of bounded micro-batches; for the monitor, batches wait for its thresholds."""
     reader = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", opts.bootstrap_servers)
         .option("subscribe", topic)
         .option("startingOffsets", opts.starting_offsets)
     )
-    for name, value in monitor_limits(monitor).items():
+    for name, value in ({"maxOffsetsPerTrigger": str(opts.rows_per_trigger)} | monitor_limits(monitor)).items():
         reader = reader.option(name, value)
     return reader.load()
 
@@ -63,16 +59,6 @@ def topic_sink(topic: str, opts: StreamOptions = StreamOptions()) -> dict[str, s
     }
 
 
-def write_topic(messages: DataFrame, topic: str, opts: StreamOptions = StreamOptions()) -> None:
-    """Append a batch of (key, value) rows to a topic; used inside `foreachBatch`."""
-    messages.write.format("kafka").options(**topic_sink(topic, opts)).save()
-
-
-def write_json(df: DataFrame, path: str) -> None:
-    """A small summary, such as one of latencies, as JSON lines."""
-    df.write.mode("overwrite").json(path)
-
-
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     """Write a micro-batch to its own folder, so that a replayed batch replaces its first try."""
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")

@@ -3,15 +3,19 @@
 The state keeps what the batch operators derive from a user's past: totals per time bucket with the
 rows of each bucket, the members seen since the last idle gap, and the running moments. A row is
 answered from bucket totals plus the two buckets at the edges of its window.
+
+A row sees the rows of its window that are less than the retention older than the user's latest row so
+far. That depends on the rows alone; when the state drops older ones, and how rows are cut into micro-batches, changes no result.
 """
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from decimal import Decimal
+from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import DataFrame, Row, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from txrisk.operators.history import MOMENTS_EXACT, WINDOW_EXACT
 from txrisk.options import US, FeatureOptions
 
 HISTORY_FIELDS = [
@@ -22,64 +26,91 @@ HISTORY_FIELDS = [
     T.StructField("unique_merchants_24h", T.IntegerType()),
     T.StructField("unique_countries_7d", T.IntegerType()),
     T.StructField("prior_count", T.LongType()),
-    T.StructField("prior_sum", T.DecimalType(38, 0)),
-    T.StructField("prior_sumsq", T.DecimalType(38, 0)),
+    T.StructField("prior_sum", T.DoubleType()),
+    T.StructField("prior_sumsq", T.DoubleType()),
     T.StructField("prior_fraud", T.LongType()),
 ]
 
-LONGS = T.ArrayType(T.LongType())
+LONGS, DOUBLES, TEXTS = (T.ArrayType(t) for t in (T.LongType(), T.DoubleType(), T.StringType()))
 USER_STATE = T.StructType([
     T.StructField("last_us", T.LongType()),
     T.StructField("count", T.LongType()),
     T.StructField("sum", T.StringType()),
     T.StructField("sumsq", T.StringType()),
+    T.StructField("bigsum", T.DoubleType()),
+    T.StructField("bigsq", T.DoubleType()),
     T.StructField("fraud", T.LongType()),
     T.StructField("merchants", T.LongType()),
     T.StructField("countries", T.LongType()),
     T.StructField("buckets", LONGS),
     T.StructField("bucket_rows", LONGS),
-    T.StructField("bucket_units", LONGS),
-])
-BUCKET_STATE = T.StructType([
-    T.StructField("ts", LONGS), T.StructField("units", LONGS), T.StructField("ids", T.ArrayType(T.StringType())),
+    T.StructField("bucket_exact", TEXTS),
+    T.StructField("bucket_big", DOUBLES),
+    T.StructField("expires_ms", T.LongType()),
 ])
+BUCKET_STATE = T.StructType([T.StructField("ts", LONGS), T.StructField("amounts", DOUBLES), T.StructField("ids", TEXTS)])
 TEXT_KEY = T.StructType([T.StructField("key", T.StringType())])
 LONG_KEY = T.StructType([T.StructField("key", T.LongType())])
 LONG_VALUE = T.StructType([T.StructField("value", T.LongType())])
 
 
+# Exact sums are whole numbers of 10^-16.
+SCALE = 16
+
+
+def window_parts(amount: float) -> tuple[int, float]:
+    """An amount as the batch operators add it up: an exact part and one that only a double holds."""
+    if abs(amount) >= WINDOW_EXACT:
+        return 0, amount
+    return int(Decimal(repr(amount)).scaleb(SCALE).to_integral_value(ROUND_HALF_UP)), 0.0
+
+
+def moment_parts(amount: float) -> tuple[int, float]:
+    """The same for the moments, in millionths."""
+    if abs(amount) >= MOMENTS_EXACT:
+        return 0, amount
+    return int(Decimal(repr(amount * US)).to_integral_value(ROUND_HALF_UP)), 0.0
+
+
+def _as_double(exact: int, scale: int) -> float:
+    return float(Decimal(exact).scaleb(-scale))
+
+
 class _Bucket:
-    """Rows of one time bucket in time order, with prefix sums of their units."""
+    """Rows of one time bucket in time order, with prefix sums of their amounts."""
 
-    def __init__(self, ts: list[int], units: list[int], ids: list[str]):
-        self.ts, self.units, self.ids, self.changed = ts, units, ids, False
-        self.prefix = [0]
-        for u in units:
-            self.prefix.append(self.prefix[-1] + u)
+    def __init__(self, ts: list[int], amounts: list[float], ids: list[str]):
+        self.ts, self.amounts, self.ids, self.changed = ts, amounts, ids, False
+        self.prefix: list[tuple[int, float]] = [(0, 0.0)]
+        self._extend(amounts)
 
-    def add(self, ts: int, units: int, tx_id: str) -> None:
+    def _extend(self, amounts: list[float]) -> None:
+        for amount in amounts:
+            (e, g), (exact, big) = self.prefix[-1], window_parts(amount)
+            self.prefix.append((e + exact, g + big))
+
+    def add(self, ts: int, amount: float, tx_id: str) -> None:
         i = bisect_right(self.ts, ts)
         self.ts.insert(i, ts)
-        self.units.insert(i, units)
+        self.amounts.insert(i, amount)
         self.ids.insert(i, tx_id)
         self._reprefix(i)
 
-    def remove(self, ts: int, units: int, tx_id: str) -> None:
+    def remove(self, ts: int, amount: float, tx_id: str) -> None:
         i = bisect_left(self.ts, ts)
-        while (self.ids[i], self.units[i]) != (tx_id, units):
+        while (self.ids[i], self.amounts[i]) != (tx_id, amount):
             i += 1
-        del self.ts[i], self.units[i], self.ids[i]
+        del self.ts[i], self.amounts[i], self.ids[i]
         self._reprefix(i)
 
     def _reprefix(self, start: int) -> None:
         self.changed = True
         del self.prefix[start + 1:]
-        for u in self.units[start:]:
-            self.prefix.append(self.prefix[-1] + u)
+        self._extend(self.amounts[start:])
 
-    def between(self, lo: int, hi: int) -> tuple[int, int]:
+    def between(self, lo: int, hi: int) -> tuple[int, int, float]:
         a, b = bisect_left(self.ts, lo), bisect_right(self.ts, hi)
-        return b - a, self.prefix[b] - self.prefix[a]
+        return b - a, self.prefix[b][0] - self.prefix[a][0], self.prefix[b][1] - self.prefix[a][1]
 
 
 class _Keys:
@@ -119,67 +150,78 @@ class _Keys:
 class HistoryProcessor(StatefulProcessor):
     """Rows of a user are taken in the order of `order`; a row sees the state before it and itself."""
 
-    OPEN_LIMIT = 64
-
     def __init__(self, opts: FeatureOptions, payload: list[str], order: list[str], bucket_s: int,
-                 retention_s: int, state_ttl_ms: int | None):
+                 retention_s: int, idle_s: int | None):
         self.opts, self.payload, self.order = opts, payload, order
-        self.bucket_us, self.retention_us, self.state_ttl_ms = bucket_s * US, retention_s * US, state_ttl_ms
+        self.bucket_us, self.retention_us = bucket_s * US, retention_s * US
+        self.idle_ms = None if idle_s is None else idle_s * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        ttl = self.state_ttl_ms
+        self.handle = handle
         self.output = Row(*self.payload, *[f.name for f in HISTORY_FIELDS])
-        self.user = handle.getValueState("user", USER_STATE, ttl)
-        self.rows = handle.getMapState("rows", LONG_KEY, BUCKET_STATE, ttl)
-        self.members = handle.getMapState("members", TEXT_KEY, LONG_VALUE, ttl)
-        self.merchants = handle.getMapState("merchants", TEXT_KEY, LONG_VALUE, ttl)
-        self.countries = handle.getMapState("countries", TEXT_KEY, LONG_VALUE, ttl)
+        self.user = handle.getValueState("user", USER_STATE)
+        self.rows = handle.getMapState("rows", LONG_KEY, BUCKET_STATE)
+        self.members = handle.getMapState("members", TEXT_KEY, LONG_VALUE)
+        self.merchants = handle.getMapState("merchants", TEXT_KEY, LONG_VALUE)
+        self.countries = handle.getMapState("countries", TEXT_KEY, LONG_VALUE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         known = self.user.get()
         if known is None:
-            last, n, s, ss, f, n_merchants, n_countries = None, 0, 0, 0, 0, 0, 0
-            totals: dict[int, list[int]] = {}
+            last, n, s, ss, g, gg, f, n_merchants, n_countries, expires = None, 0, 0, 0, 0.0, 0.0, 0, 0, 0, None
+            totals: dict[int, list] = {}
         else:
-            last, n, s, ss, f, n_merchants, n_countries = known[0], known[1], int(known[2]), int(known[3]), *known[4:7]
-            totals = {b: [c, u] for b, c, u in zip(known[7], known[8], known[9])}
+            last, n, s, ss, expires = known[0], known[1], int(known[2]), int(known[3]), known[13]
+            g, gg, f, n_merchants, n_countries = known[4:9]
+            totals = {b: [c, int(e), big] for b, c, e, big in zip(*known[9:13])}
         open_buckets: dict[int, _Bucket] = {}
         members, merchants, countries = (
             _Keys(state, known is None) for state in (self.members, self.merchants, self.countries))
         opts = self.opts
         # the rows of one user in one micro-batch; their number is bounded by the trigger's limit
         for r in sorted(rows, key=lambda row: tuple(row[c] for c in self.order)):
-            ts, units, tx_id = r.ts_us, round(r.amount * US), r.transaction_id
+            ts, amount, tx_id = r.ts_us, r.amount, r.transaction_id
             gap = None if last is None else ts - last
-            member = f"{units}:{tx_id}"
+            last = ts if last is None else max(last, ts)
+            member = f"{amount!r}:{tx_id}"
             old = members.get(member)
-            if old is not None:
-                self._bucket(open_buckets, totals, old).remove(old, units, tx_id)
-                self._count(totals, old, -1, -units)
+            if old is not None and old // self.bucket_us in totals:
+                self._bucket(open_buckets, totals, old).remove(old, amount, tx_id)
+                self._count(totals, old, -1, amount)
             members.put(member, ts)
-            self._bucket(open_buckets, totals, ts).add(ts, units, tx_id)
-            self._count(totals, ts, 1, units)
-            n_1h, u_1h = self._window(open_buckets, totals, ts, opts.short_window_s * US)
-            n_24h, u_24h = self._window(open_buckets, totals, ts, opts.long_window_s * US)
+            self._bucket(open_buckets, totals, ts).add(ts, amount, tx_id)
+            self._count(totals, ts, 1, amount)
+            oldest = last - self.retention_us + 1
+            n_1h, u_1h = self._window(open_buckets, totals, max(ts - opts.short_window_s * US, oldest), ts)
+            n_24h, u_24h = self._window(open_buckets, totals, max(ts - opts.long_window_s * US, oldest), ts)
             n_merchants = self._seen(merchants, n_merchants, r.merchant_id, gap, opts.merchant_ttl_s)
             n_countries = self._seen(countries, n_countries, r.country, gap, opts.country_ttl_s)
             if gap is not None and gap > opts.moments_ttl_s * US:
-                n, s, ss, f = 0, 0, 0, 0
-            yield self.output(*[r[c] for c in self.payload], n_1h, n_24h, u_1h / US, u_24h / US,
-                              n_merchants, n_countries, n, Decimal(s), Decimal(ss), f)
-            n, s, ss, f = n + 1, s + units, ss + units * units, f + (r.label or 0)
-            last = ts if last is None else max(last, ts)
-            if len(open_buckets) > self.OPEN_LIMIT:
-                self._prune(open_buckets, totals, members, last - self.retention_us)
+                n, s, ss, g, gg, f = 0, 0, 0, 0.0, 0.0, 0
+            yield self.output(*[r[c] for c in self.payload], n_1h, n_24h, u_1h, u_24h, n_merchants, n_countries,
+                              n, float(s) / US + g, float(ss) / (float(US) * US) + gg, f)
+            units, big = moment_parts(amount)
+            n, s, ss, g, gg, f = n + 1, s + units, ss + units * units, g + big, gg + big * big, f + (r.label or 0)
         self._prune(open_buckets, totals, members, last - self.retention_us)
         for keys in (members, merchants, countries):
             keys.flush()
         for b, bucket in open_buckets.items():
             if bucket.changed and b in totals:
-                self.rows.updateValue((b,), (bucket.ts, bucket.units, bucket.ids))
+                self.rows.updateValue((b,), (bucket.ts, bucket.amounts, bucket.ids))
+        if self.idle_ms is not None:
+            if expires is not None:
+                self.handle.deleteTimer(expires)
+            expires = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
+            self.handle.registerTimer(expires)
         kept = sorted(totals)
-        self.user.update((last, n, str(s), str(ss), f, n_merchants, n_countries, kept,
-                          [totals[b][0] for b in kept], [totals[b][1] for b in kept]))
+        self.user.update((last, n, str(s), str(ss), g, gg, f, n_merchants, n_countries, kept,
+                          [totals[b][0] for b in kept], [str(totals[b][1]) for b in kept], [totals[b][2] for b in kept], expires))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        """A user who stayed away is forgotten."""
+        for state in (self.user, self.rows, self.members, self.merchants, self.countries):
+            state.clear()
+        return iter([])
 
     def _bucket(self, open_buckets, totals, ts: int) -> _Bucket:
         b = ts // self.bucket_us
@@ -188,23 +230,27 @@ class HistoryProcessor(StatefulProcessor):
             open_buckets[b] = _Bucket(*[list(x) for x in stored]) if stored else _Bucket([], [], [])
         return open_buckets[b]
 
-    def _count(self, totals, ts: int, rows: int, units: int) -> None:
-        total = totals.setdefault(ts // self.bucket_us, [0, 0])
+    def _count(self, totals, ts: int, rows: int, amount: float) -> None:
+        exact, big = window_parts(amount)
+        total = totals.setdefault(ts // self.bucket_us, [0, 0, 0.0])
         total[0] += rows
-        total[1] += units
+        total[1] += rows * exact
+        total[2] += rows * big
 
-    def _window(self, open_buckets, totals, ts: int, width: int) -> tuple[int, int]:
-        lo = ts - width
+    def _window(self, open_buckets, totals, lo: int, ts: int) -> tuple[int, float]:
+        """Count and sum over [lo, ts]."""
         first, last = lo // self.bucket_us, ts // self.bucket_us
-        count = units = 0
-        for b, (n, u) in totals.items():
-            if first < b < last:
-                count, units = count + n, units + u
+        count, exact, big = 0, 0, 0.0
+        between = range(first + 1, last)
+        for b in between if len(between) < len(totals) else totals:
+            if b in between and b in totals:
+                n, e, g = totals[b]
+                count, exact, big = count + n, exact + e, big + g
         for b in {first, last}:
             if b in totals:
-                n, u = self._bucket(open_buckets, totals, b * self.bucket_us).between(lo, ts)
-                count, units = count + n, units + u
-        return count, units
+                n, e, g = self._bucket(open_buckets, totals, b * self.bucket_us).between(lo, ts)
+                count, exact, big = count + n, exact + e, big + g
+        return count, _as_double(exact, SCALE) + big
 
     def _seen(self, keys: _Keys, count: int, member: str, gap: int | None, ttl_s: int) -> int:
         if gap is not None and gap > ttl_s * US:
@@ -218,8 +264,8 @@ class HistoryProcessor(StatefulProcessor):
     def _prune(self, open_buckets, totals, members: _Keys, before: int) -> None:
         for b in [b for b in totals if (b + 1) * self.bucket_us <= before]:
             bucket = self._bucket(open_buckets, totals, b * self.bucket_us)
-            for units, tx_id in zip(bucket.units, bucket.ids):
-                members.put(f"{units}:{tx_id}", None)
+            for amount, tx_id in zip(bucket.amounts, bucket.ids):
+                members.put(f"{amount!r}:{tx_id}", None)
             if not members.fresh and self.rows.containsKey((b,)):
                 self.rows.removeKey((b,))
             del totals[b], open_buckets[b]
@@ -229,17 +275,16 @@ class HistoryProcessor(StatefulProcessor):
 
 
 def history_stream(tx: DataFrame, opts: FeatureOptions = FeatureOptions(), order: tuple[str, ...] = ("ts_us", "transaction_id"),
-                   bucket_s: int = 3600, retention_s: int = 7 * 86400, state_ttl_s: int | None = None) -> DataFrame:
+                   bucket_s: int = 3600, retention_s: int = 7 * 86400, idle_s: int | None = 30 * 86400) -> DataFrame:
     """The columns of `history_features` on a stream; needs the RocksDB state store.
 
     `order` sorts a user's rows within a micro-batch: by time, or by ("offset",) for the order
-    of arrival, as a user's messages share a partition. No row is ever dropped for being late. With `state_ttl_s` the state of users
-    that stay away is dropped after that much processing time.
+    of arrival, as a user's messages share a partition. No row is dropped for being late; its window holds what is
+    less than `retention_s` older than the user's latest row. A user without rows for `idle_s` of processing time is
+    forgotten; None keeps all users.
     """
     payload = tx.columns
     schema = T.StructType([tx.schema[c] for c in payload] + HISTORY_FIELDS)
-    processor = HistoryProcessor(opts, payload, list(order), bucket_s, retention_s,
-                                 None if state_ttl_s is None else state_ttl_s * 1000)
     return tx.groupBy("user_id").transformWithState(
-        statefulProcessor=processor, outputStructType=schema, outputMode="Append",
-        timeMode="none" if state_ttl_s is None else "ProcessingTime")
+        statefulProcessor=HistoryProcessor(opts, payload, list(order), bucket_s, retention_s, idle_s),
+        outputStructType=schema, outputMode="Append", timeMode="none" if idle_s is None else "ProcessingTime")

@@ -3,7 +3,9 @@
 Each query owns a checkpoint, which holds its offsets and its state together.
 """
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from datetime import datetime, timezone
+
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from txrisk.operators import drift, features, ingest, scoring
@@ -16,7 +18,10 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def use_rocksdb(spark: SparkSession) -> None:
+    """The state store of the history, whose timers fire with micro-batches that have data: batches without any
+    would run for ever where a query is to end with its input."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
 
 
 def feature_stream(raw: DataFrame, rates: DataFrame | None = None, opts: FeatureOptions = FeatureOptions(),
@@ -25,7 +30,7 @@ def feature_stream(raw: DataFrame, rates: DataFrame | None = None, opts: Feature
     tx = ingest.good_transactions(ingest.parse_messages(raw))
     history = history_stream(tx, opts, order)
     return features.to_feature_vector(features.with_merchant_rate(
-        features.with_calendar(features.with_amount_stats(history)), rates, opts))
+        features.with_calendar(features.with_amount_stats(history)), rates))
 
 
 def with_counters(parsed: DataFrame, name: str = "ingest") -> DataFrame:
@@ -79,13 +84,19 @@ def write_predictions(vectors: DataFrame, runs_path: str, model_name: str, path:
     """Score feature rows with the champion of the moment and store the predictions.
 
     The champion is looked up for every micro-batch. Without one the batch fails and is tried again,
-    as does a batch whose predictions cannot be stored.
+    as does a batch whose predictions cannot be stored. Rows that cannot be scored go to `<path>_rejects` with their
+    reason, so rows in = predictions + rejects. All predictions of a batch have one instant, and lie in the folder of its hour.
     """
     def score_batch(batch: DataFrame, batch_id: int) -> None:
         model, version, serve = scoring.load_champion(batch.sparkSession, runs_path, model_name)
-        checked = scoring.with_reject_reason(batch)
-        scored = scoring.score(scoring.valid_rows(checked), model, version, opts, serve)
-        write_batch(scoring.to_predictions(scored), path, batch_id)
+        instant = datetime.now(timezone.utc)
+        checked = scoring.with_reject_reason(batch).persist()
+        try:
+            scored = scoring.score(scoring.valid_rows(checked), model, version, opts, serve)
+            write_batch(scoring.to_predictions(scored, F.lit(instant)), f"{path}/scored_hour={int(instant.timestamp()) // 3600}", batch_id)
+            write_batch(scoring.rejected_rows(checked, F.lit(instant)), f"{path}_rejects", batch_id)
+        finally:
+            checked.unpersist()
 
     return (
         vectors.writeStream.foreachBatch(score_batch).option("checkpointLocation", checkpoint)
@@ -93,20 +104,27 @@ def write_predictions(vectors: DataFrame, runs_path: str, model_name: str, path:
     )
 
 
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PREDICTION).option("recursiveFileLookup", "true").parquet(path)
+def read_predictions(spark: SparkSession, path: str, as_of: datetime | None = None,
+                     lifetime_s: int = ScoringOptions.prediction_lifetime_s) -> DataFrame:
+    """The stored predictions; with `as_of` only the hours that may hold one that is alive then are read."""
+    stored = spark.read.schema(T.StructType([*PREDICTION.fields, T.StructField("scored_hour", T.LongType())])).option("basePath", path).parquet(path)
+    if as_of is not None:
+        now = int(as_of.timestamp())
+        stored = stored.filter(F.col("scored_hour").between((now - lifetime_s) // 3600, now // 3600))
+    return stored.select(*PREDICTION.names)
 
 
 def write_reports(vectors: DataFrame, baseline: DataFrame, predictions_path: str, reports_path: str, checkpoint: str,
-                  opts: MonitorOptions = MonitorOptions(), lifetime_s: int = 3600, **trigger) -> StreamingQuery:
+                  opts: MonitorOptions = MonitorOptions(), lifetime_s: int = ScoringOptions.prediction_lifetime_s, **trigger) -> StreamingQuery:
     """One report per micro-batch of feature rows: drift, quality of the predictions and of the data.
 
     Tables: drift_reports (one row per report), drift_columns, classification_quality, data_quality.
     """
     def report(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        now = F.current_timestamp()
-        joined = scoring.join_predictions(batch, read_predictions(spark, predictions_path), now, lifetime_s).persist()
+        instant = datetime.now(timezone.utc)
+        now = F.lit(instant)
+        joined = scoring.join_predictions(batch, read_predictions(spark, predictions_path, instant, lifetime_s), now, lifetime_s).persist()
         try:
             size = joined.agg(F.count("*").alias("rows"),
                               F.sum(F.col("prediction_missing").cast("bigint")).alias("missing")).first()
