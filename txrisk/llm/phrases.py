@@ -152,7 +152,7 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = [pa.array([v], t) for v, t in zip([doc_id, *nothing[1:]], (pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()))]
         return pa.RecordBatch.from_arrays([*row, pa.array([kind], pa.int32()), pa.array([text], pa.string())], names=[*_names(), "edge", "text"])
 
-    for batch in batches:
+    for batch in T.slices(batches, 1 << 21):
         ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
         for lo in range(0, len(ids), 512):
             own_ids, own = ids[lo:lo + 512], texts[lo:lo + 512]

@@ -5,9 +5,11 @@ it works on the UTF-8 bytes of an Arrow column, so no Python string is made for
 """
 
 from collections.abc import Iterator
+import ctypes
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 U64 = np.uint64
@@ -21,6 +23,33 @@ _ODD = U64(0x9E3779B97F4A7C15)
 _powers = np.cumprod(np.full(64, _ODD), dtype=U64)
 
 
+def keep_memory_low() -> None:
+    """Let freed arrays go back to the system at once: by default the C library keeps more and more of them, and a
+    worker process lives as long as its executor. Without that library nothing changes."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # arrays from 1 MB on are mapped, and unmapped when freed
+        libc.mallopt(-8, 2)        # two arenas
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+    pa.default_memory_pool().release_unused()
+
+
+def slices(batches: Iterator[pa.RecordBatch], limit: int = 1 << 23, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about `limit` bytes of text, or one row."""
+    keep_memory_low()
+    for batch in batches:
+        texts = batch.column(column)
+        ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + limit, "right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+        keep_memory_low()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -126,6 +155,7 @@ def strings(values: list[str]) -> pa.Array:
 
 def in_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """One table per run of rows with equal `keys`, from rows that come sorted by them."""
+    keep_memory_low()
     rest = None
     for batch in batches:
         now = pa.Table.from_batches([batch])
