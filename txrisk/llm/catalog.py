@@ -67,3 +67,59 @@ def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(T.table(spark, sf_dir, "documents"))
+
+
+WORDS = r"[^\x20\x09-\x0D]+"
+
+SQL["op5_exact_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM scores)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM ranked WHERE n <= 5
+"""
+
+SQL["op6_mix_sources"] = f"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce('=' || source, '') AS name, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORDS}')) AS BIGINT) AS size,
+         CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS key FROM documents),
+sources AS (
+  SELECT name, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight
+  FROM sized GROUP BY name, source),
+weighed AS (
+  SELECT *, source_size * 3 / weight::DOUBLE AS ratio, CAST(sum(source_size) OVER () AS BIGINT)
+           - CAST(coalesce(sum(source_size * 3) OVER (ORDER BY source_size * 3 / weight::DOUBLE, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS rest_of_all,
+         CAST(sum(weight) OVER (ORDER BY source_size * 3 / weight::DOUBLE, name ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS weights
+  FROM sources),
+stopped AS (SELECT *, (source_size * 3)::DOUBLE * weights <= weight * rest_of_all AS stops FROM weighed),
+share AS (SELECT rest_of_all AS open_rest, weights AS open_weights FROM stopped WHERE NOT stops ORDER BY ratio, name LIMIT 1),
+goals AS (
+  SELECT name, source_size, CASE WHEN stops OR open_weights IS NULL THEN (source_size * 3)::DOUBLE ELSE (weight * open_rest)::DOUBLE / open_weights END AS target
+  FROM stopped LEFT JOIN share ON true),
+budgets AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(floor(target + 0.5) / source_size) AS BIGINT) ELSE 0 END AS epochs, CAST(floor(target + 0.5) AS BIGINT) AS budget FROM goals),
+ordered AS (
+  SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY name ORDER BY key, doc_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ahead FROM sized)
+SELECT doc_id, size, source_size, target,
+       CAST(epochs * size + greatest(0, least(size, budget - epochs * source_size - ahead)) AS BIGINT) AS taken
+FROM ordered JOIN budgets USING (name)
+"""
+
+SQL["op10_minhash_near_dedup"] = f"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM split),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach AS (SELECT DISTINCT a AS x, a AS y FROM links UNION SELECT reach.x, links.b FROM reach JOIN links ON reach.y = links.a),
+least_of AS (SELECT x, min(y) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept
+FROM split LEFT JOIN sizes USING (doc_id) LEFT JOIN least_of ON x = doc_id
+"""
