@@ -62,7 +62,7 @@ def _signatures(how: Banding):
     factors = how.factors()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in T.slices(batches):
             ids = batch.column("id")
             for lo, hi, data, off in T.runs(batch.column("text")):
                 sets, ends = T.shingles(*T.words(data, off), how.width)
@@ -165,7 +165,7 @@ def _packed(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, packed) of the texts of `nodes`, compressed before they are shuffled."""
     def run(batches):
         codec = pa.Codec("zstd", compression_level=1)
-        for batch in batches:
+        for batch in T.slices(batches):
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64())],

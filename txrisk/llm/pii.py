@@ -183,7 +183,7 @@ def _worth(column: pa.Array) -> np.ndarray:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in T.slices(batches):
         texts = batch.column("text")
         base: list = [[] for _ in range(len(texts))]
         seen: list = [[] for _ in range(len(texts))]

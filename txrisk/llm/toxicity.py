@@ -83,7 +83,7 @@ def _sample(ids: DataFrame, size: int) -> DataFrame:
 
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct word hashes of each document."""
-    for batch in batches:
+    for batch in T.slices(batches):
         for _, _, data, off in T.runs(batch.column("text")):
             h, first = T.words(data, off)
             own = [np.unique(h[a:b]) for a, b in zip(first[:-1], first[1:])]
@@ -95,7 +95,7 @@ def _frequencies(words: np.ndarray):
     """Documents of a task that have each of `words`; one row per word and task. -1 counts the documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, docs = np.zeros(len(words), np.int64), 0
-        for batch in batches:
+        for batch in T.slices(batches):
             docs += batch.num_rows
             for _, _, data, off in T.runs(batch.column("text")):
                 counts += np.bincount(_features(*T.words(data, off), words)[1], minlength=len(words))
@@ -106,7 +106,7 @@ def _frequencies(words: np.ndarray):
 
 def _examples(words: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in T.slices(batches):
             for lo, hi, data, off in T.runs(batch.column("text")):
                 rows, cols = _features(*T.words(data, off), words)
                 ends = np.searchsorted(rows, np.arange(hi - lo + 1)).astype(np.int32)
