@@ -181,19 +181,20 @@ def _windows(entries: DataFrame, keys: list[str], opts: FeatureOptions, groups:
         out["unique_countries_7d"] = F.col("n_countries").cast("int")
     if "moments" in groups:
         ttls["moments"] = opts.moments_ttl_s
-        for name, value in _moments().items():
-            first[f"c_{name}"] = F.sum(F.coalesce(carry(f"m_{name}"), F.when(is_tx, value))).over(upto)
+        # a row's own share is computed once, below the windows
+        entries = entries.withColumns({"label": F.col("body.label"), "amount": F.col("body.amount")})
+        entries = entries.withColumns({f"own_{name}": value for name, value in _moments().items()})
+        for name in _moments():
+            first[f"c_{name}"] = F.sum(F.coalesce(carry(f"m_{name}"), F.when(is_tx, F.col(f"own_{name}")))).over(upto)
     if ttls:
         first["prev_tx"] = F.last(F.when(F.col("kind") != EXPIRY, F.col("at")), ignorenulls=True).over(before)
-    if "moments" in groups:
-        entries = entries.withColumns({"label": F.col("body.label"), "amount": F.col("body.amount")})
     df = entries.withColumns(first)
 
     def starts(ttl: int) -> Column:
         return is_tx & (F.col("prev_tx").isNull() | (F.col("at") - F.col("prev_tx") > ttl * US))
 
     if "moments" in ttls:
-        own = _moments()
+        own = {n: F.col(f"own_{n}") for n in _moments()}
         base = F.struct(*[(F.col(f"c_{n}") - own[n]).alias(n) for n in own])
         df = df.withColumn("base", F.last(F.when(starts(ttls["moments"]), base), ignorenulls=True).over(upto))
         for n in own:

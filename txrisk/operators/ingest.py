@@ -149,11 +149,9 @@ def dead_letter_messages(letters: DataFrame) -> DataFrame:
 
 def feature_messages(features: DataFrame) -> DataFrame:
     """Feature events as topic messages, keyed by user so that a user's events stay in order."""
-    body = F.struct(*FEATURE_VECTOR.names)
-    return features.select(
-        F.col("user_id").alias("key"),
-        F.to_json(body, {"ignoreNullFields": "false"}).alias("value"),
-    )
+    value = F.to_json(F.struct(*FEATURE_VECTOR.names), {"ignoreNullFields": "false"})
+    # the generator keeps later filters above it, so they do not take the features' expressions with them
+    return features.select(F.inline(F.array(F.struct(F.col("user_id").alias("key"), value.alias("value")))))
 
 
 def parse_feature_events(raw: DataFrame) -> DataFrame:
