@@ -268,7 +268,7 @@ def _encode(model):
     """(doc_id, text) to doc_id, ids and whether the ids decode to the text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model.value)
-        for batch in batches:
+        for batch in T.slices(batches):
             texts = batch.column("text").fill_null("").to_pylist()
             ends, lo = np.cumsum(np.array([len(t) for t in texts], np.int64)), 0
             while lo < len(texts):
@@ -280,70 +280,114 @@ def _encode(model):
     return run
 
 
-class Chunk:
-    """One chunk of a giant document: characters from its begin to its longest reach into the next one."""
+#: What a chunk leaves after its first pass: its transfer matrix, the pieces between its first and last border, and the
+#: text before and behind them, which is segmented when its states are known; `lead` characters of the tail are its own.
+PASSED = "row string, idx long, matrix binary, body binary, head string, tail string, lead int"
+
+
+class ChunkRun:
+    """Chunks of giant documents, each from its begin to its longest reach into the next one, worked on together."""
 
-    def __init__(self, v: Vocabulary, text: str, size: int, first: bool, last: bool):
-        self.solver, self.v = Solver(v), v
-        self.points, _ = self.solver.characters([text])
+    def __init__(self, v: Vocabulary, texts: list[str], sizes: list[int], idx: list[int], last: list[bool]):
+        self.v, self.solver, self.texts, self.sizes = v, Solver(v), texts, sizes
+        self.points, self.off = self.solver.characters(texts)
         self.codes = v.chars[self.points]
-        self.size = size
-        reach = v.longest
-        self.ins = [0] if first else list(range(min(reach, size + 1)))
-        self.outs = [0] if last else list(range(min(reach, len(self.points) - size + 1)))
         borders = np.flatnonzero(self.solver.borders(self.points, self.codes))
-        middle = borders[(borders >= self.ins[-1]) & (borders <= size) & (borders > 0)]
-        self.middle = middle if len(middle) else None
-
-    def _weights(self, spans: list[tuple[int, int]]) -> np.ndarray:
-        """Best weight of each stretch; an empty one weighs nothing."""
-        starts, ends = (np.array([s[k] for s in spans], np.int64) for k in (0, 1))
-        full, out = np.flatnonzero(ends > starts), np.zeros(len(spans), np.int64)
-        out[full] = self.solver.solve(self.points, self.codes, starts[full], (ends - starts)[full], pieces=False)[0]
-        return out
-
-    def matrix(self) -> np.ndarray:
+        reach = v.longest
+        self.ins = [1 if k == 0 else min(reach, n + 1) for k, n in zip(idx, sizes)]
+        self.outs = [1 if end else min(reach, len(t) - n + 1) for t, n, end in zip(texts, sizes, last)]
+        #: per chunk the borders at which all paths meet, from behind the last in-state up to the chunk's end
+        self.middle = []
+        for c, n in enumerate(sizes):
+            at = self.off[c]
+            lo, hi = np.searchsorted(borders, (at + max(self.ins[c] - 1, 1), at + n + 1))
+            self.middle.append(borders[lo:hi])
+
+    def passed(self) -> Iterator[tuple[bytes, bytes, str, str, int]]:
+        """Matrix, body, head, tail and lead of each chunk."""
         reach = self.v.longest
-        out = np.full((reach, reach), NEVER, np.int64)
-        if self.middle is None:  # no border to meet at: every state with every other
-            pairs = [(i, j) for i in self.ins for j in self.outs if i <= self.size + j]
-            for (i, j), w in zip(pairs, self._weights([(i, self.size + j) for i, j in pairs])):
-                out[i, j] = w
-            return out
-        a, b = int(self.middle[0]), int(self.middle[-1])
-        heads = self._weights([(i, a) for i in self.ins])
-        tails = self._weights([(b, self.size + j) for j in self.outs])
-        body = int(self._weights([(int(s), int(e)) for s, e in zip(self.middle[:-1], self.middle[1:])]).sum()) if b > a else 0
-        out[np.ix_(self.ins, self.outs)] = heads[:, None] + body + tails[None, :]
-        return out
-
-    def pieces(self, i: int, j: int) -> np.ndarray:
-        """The chunk's own pieces, between its two states."""
-        cuts = [i, self.size + j] if self.middle is None else [i, *self.middle.tolist(), self.size + j]
-        spans = np.array([(s, e) for s, e in zip(cuts[:-1], cuts[1:]) if e > s], np.int64).reshape(-1, 2)
-        _, ids, sizes, which = self.solver.solve(self.points, self.codes, spans[:, 0], spans[:, 1] - spans[:, 0])
-        return _gather(ids, sizes, which)[0] if len(spans) else np.zeros(0, np.int32)
-
-
-def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """(max, +) product of two transfer matrices; NEVER stays below any sum of real weights."""
-    return np.maximum((a[:, :, None] + b[None, :, :]).max(1), NEVER)
+        spans, bodies = [], []
+        for c, n in enumerate(self.sizes):
+            at, m = self.off[c], self.middle[c]
+            ins, outs = at + np.arange(self.ins[c]), at + n + np.arange(self.outs[c])
+            if len(m):
+                spans.append((np.concatenate((ins, np.full(len(outs), m[-1]))), np.concatenate((np.full(len(ins), m[0]), outs))))
+                bodies.append((m[:-1], m[1:]))
+            else:  # no border to meet at: every state with every other
+                i, j = np.repeat(ins, len(outs)), np.tile(outs, len(ins))
+                spans.append((i, np.maximum(i, j)))
+                bodies.append((m, m))
+        starts, ends = (np.concatenate([x[k] for x in spans]) for k in (0, 1))
+        weights, full = np.zeros(len(starts), np.int64), np.flatnonzero(ends > starts)
+        weights[full] = self.solver.solve(self.points, self.codes, starts[full], (ends - starts)[full], pieces=False)[0]
+        starts, ends = (np.concatenate([x[k] for x in bodies]) for k in (0, 1))
+        own, ids, lengths, which = self.solver.solve(self.points, self.codes, starts, ends - starts)
+        flat, counts = _gather(ids, lengths, which) if len(starts) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        places = np.concatenate(([0], np.cumsum(counts)))
+        first = first_body = 0
+        for c, n in enumerate(self.sizes):
+            rows, cols, m, text = self.ins[c], self.outs[c], self.middle[c], self.texts[c]
+            out = np.full((reach, reach), NEVER, np.int64)
+            stop = first_body + max(len(m) - 1, 0)
+            if len(m):
+                heads, tails = np.split(weights[first:first + rows + cols], [rows])
+                out[:rows, :cols] = heads[:, None] + int(own[first_body:stop].sum()) + tails[None, :]
+                first += rows + cols
+                a, b = int(m[0] - self.off[c]), int(m[-1] - self.off[c])
+                head, tail, lead = text[:a], text[b:], n - b
+            else:
+                i, j = np.arange(rows)[:, None], n + np.arange(cols)[None, :]
+                out[:rows, :cols] = np.where(i <= j, weights[first:first + rows * cols].reshape(rows, cols), NEVER)
+                first += rows * cols
+                head, tail, lead = text, None, n
+            yield out.tobytes(), flat[places[first_body]:places[stop]].astype(np.int32).tobytes(), head, tail, lead
+            first_body = stop
+
+
+def _first_pass(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(model.value)
+        for batch in T.slices(batches):
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                c = {n: part.column(n).to_pylist() for n in ("text", "size", "idx", "last")}
+                out = list(ChunkRun(v, c["text"], c["size"], c["idx"], c["last"]).passed())
+                kinds = (pa.binary(), pa.binary(), pa.string(), pa.string(), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("idx"), *[pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)]],
+                                                 names=["row", "idx", "matrix", "body", "head", "tail", "lead"])
+    return run
 
 
-def _chunk_map(model, what: str):
+def _backtrace(model):
+    """Pieces of each chunk between its two states, independent of all other chunks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model.value)
+        solver = Solver(v)
         for batch in batches:
-            c = {n: batch.column(n).to_pylist() for n in batch.schema.names}
-            out = []
-            for k, text in enumerate(c["text"]):
-                chunk = Chunk(v, text, c["size"][k], c["idx"][k] == 0, c["last"][k])
-                out.append(chunk.matrix().tobytes() if what == "matrix" else chunk.pieces(c["i"][k], c["j"][k]).tolist())
-            kind = pa.binary() if what == "matrix" else pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("idx"), pa.array(out, kind)], names=["row", "idx", "out"])
+            c = {n: batch.column(n).to_pylist() for n in ("head", "tail", "lead", "i", "j", "body")}
+            parts = []
+            for head, tail, lead, i, j in zip(*[c[n] for n in ("head", "tail", "lead", "i", "j")]):
+                parts += [head[i:], tail[:lead + j]] if tail is not None else [head[i:lead + j], ""]
+            points, off = solver.characters(parts)
+            full = np.flatnonzero(off[1:] > off[:-1])
+            ids: list = [np.zeros(0, np.int32)] * len(parts)
+            if len(full):
+                _, found, lengths, which = solver.solve(points, v.chars[points], off[full], (off[1:] - off[:-1])[full])
+                flat, n = _gather(found, lengths, which)
+                for k, own in zip(full, np.split(flat, np.cumsum(n)[:-1])):
+                    ids[k] = own
+            whole = [np.concatenate((ids[2 * k], np.frombuffer(b, np.int32), ids[2 * k + 1])) for k, b in enumerate(c["body"])]
+            if whole:
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("idx"), _lists(np.concatenate(whole), np.concatenate(([0], np.cumsum([len(w) for w in whole]))))],
+                                                 names=["row", "idx", "out"])
     return run
 
 
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(max, +) product of two transfer matrices; NEVER stays below any sum of real weights."""
+    return np.maximum((a[:, :, None] + b[None, :, :]).max(1), NEVER)
+
+
 def _matrices(values, reach: int) -> np.ndarray:
     return np.stack([np.frombuffer(m, np.int64).reshape(reach, reach) for m in values])
 
@@ -387,8 +431,9 @@ def _decoded(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model.value)
         for batch in batches:
-            ids = batch.column("ids").to_pylist()
-            texts = [None if x is None else decode_ids(v, np.array(x, np.int64)) for x in ids]
+            ids = batch.column("ids")
+            off, flat, valid = np.concatenate(([0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy()))), ids.flatten().to_numpy(), ids.is_valid().to_pylist()
+            texts = [decode_ids(v, flat[off[k]:off[k + 1]]) if valid[k] else None for k in range(len(ids))]
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in batch.schema.names] + [pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
     return run
 
@@ -399,25 +444,22 @@ def _model(df: DataFrame, path: str):
 
 def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
     """(doc_id, ids, text): the texts that the ids stand for; null ids give a null text, no ids the empty text."""
-    rows = encoded.select("doc_id", "ids")
+    rows = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids"))
     return rows.mapInArrow(_decoded(_model(rows, model_path)), "doc_id long, ids array<int>, text string")
 
 
 def _giants(rows: DataFrame, model, longest: int, chunk: int) -> DataFrame:
     """(doc_id, ids, round_trip) of texts longer than `chunk` characters, by chunks."""
-    own = rows.withColumn("mark", F.xxhash64("text")).groupBy("doc_id", "mark", "text").agg(F.count("*").cast("int").alias("copies"))
-    marked = own.withColumns({
-        "row": F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.col("mark").cast("string")),
-        "whole": F.concat(F.lit(" "), F.col("text")), "n": F.length("text") + 1})
+    marked = rows.select("doc_id", "text", F.xxhash64("text").alias("mark"), (F.length("text") + 1).alias("n")).withColumn(
+        "row", F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.col("mark").cast("string")))
     last = F.floor((F.col("n") - 1) / chunk)
-    chunks = checkpointed(
-        marked.withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-        .select("row", "doc_id", "mark", "copies", "idx",
-                F.substring("whole", (F.col("idx") * chunk + 1).cast("int"), F.lit(chunk + longest)).alias("text"),
+    chunks = (
+        marked.withColumns({"idx": F.explode(F.sequence(F.lit(0).cast("long"), last)), "whole": F.concat(F.lit(" "), F.col("text"))})
+        .select("row", "idx", F.substring("whole", (F.col("idx") * chunk + 1).cast("int"), F.lit(chunk + longest)).alias("text"),
                 F.least(F.lit(chunk), F.col("n") - F.col("idx") * chunk).cast("int").alias("size"), (F.col("idx") == last).alias("last"))
-        .repartition(F.col("row"), F.col("idx")))
-    work = chunks.select("row", "idx", "text", "size", "last")
-    levels = [checkpointed(work.mapInArrow(_chunk_map(model, "matrix"), "row string, idx long, out binary").withColumnRenamed("out", "matrix"))]
+        .repartition(F.col("row"), F.col("idx")).dropDuplicates(["row", "idx"]))
+    passed = checkpointed(chunks.mapInArrow(_first_pass(model), PASSED))
+    levels = [passed.select("row", "idx", "matrix")]
     while levels[-1].filter("idx > 0").limit(1).count():
         up = _grouped(levels[-1].select("row", F.floor(F.col("idx") / FAN_IN).alias("idx"), F.col("idx").alias("child"), "matrix"))
         levels.append(checkpointed(up.mapInArrow(_up(longest), "row string, idx long, matrix binary")))
@@ -425,10 +467,10 @@ def _giants(rows: DataFrame, model, longest: int, chunk: int) -> DataFrame:
     for level in levels[-2::-1]:
         children = level.select("row", F.floor(F.col("idx") / FAN_IN).alias("idx"), F.col("idx").alias("child"), "matrix")
         states = checkpointed(_grouped(children.join(states, ["row", "idx"])).mapInArrow(_down(longest), "row string, idx long, i int, j int"))
-    done = work.join(states, ["row", "idx"]).mapInArrow(_chunk_map(model, "pieces"), "row string, idx long, out array<int>")
+    done = passed.drop("matrix").join(states, ["row", "idx"]).mapInArrow(_backtrace(model), "row string, idx long, out array<int>")
     ids = done.groupBy("row").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("idx", "out"))), lambda s: s["out"])).alias("ids"))
-    heads = chunks.filter("idx = 0").select("row", "doc_id", "mark", "copies")
-    found = heads.join(ids, "row").withColumn("doc_id", F.explode(F.expr("array_repeat(struct(doc_id, mark), copies)")))
+    # repeated rows are encoded once and returned each
+    found = marked.select("row", F.struct("doc_id", "mark").alias("doc_id")).join(ids, "row")
     texts = found.select("doc_id", "ids").mapInArrow(_decoded(model), "doc_id struct<doc_id: long, mark: long>, ids array<int>, text string")
     return texts.select(F.col("doc_id.doc_id").alias("doc_id"), "ids", (F.xxhash64("text") == F.col("doc_id.mark")).alias("round_trip"))
 
