@@ -48,6 +48,8 @@ class Vocabulary:
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         size = sp.get_piece_size()
         texts = [sp.id_to_piece(i) for i in range(size)]
+        #: the type that ids are kept in between two passes
+        self.packed = np.uint16 if size <= 1 << 16 else np.int32
         self.byte_ids = np.zeros(256, np.int32)
         self.bytes = [b""] * size
         ordinary = []
@@ -340,7 +342,7 @@ class ChunkRun:
                 out[:rows, :cols] = np.where(i <= j, weights[first:first + rows * cols].reshape(rows, cols), NEVER)
                 first += rows * cols
                 head, tail, lead = text, None, n
-            yield out.tobytes(), flat[places[first_body]:places[stop]].astype(np.int32).tobytes(), head, tail, lead
+            yield out.tobytes(), flat[places[first_body]:places[stop]].astype(self.v.packed).tobytes(), head, tail, lead
             first_body = stop
 
 
@@ -376,7 +378,7 @@ def _backtrace(model):
                 flat, n = _gather(found, lengths, which)
                 for k, own in zip(full, np.split(flat, np.cumsum(n)[:-1])):
                     ids[k] = own
-            whole = [np.concatenate((ids[2 * k], np.frombuffer(b, np.int32), ids[2 * k + 1])) for k, b in enumerate(c["body"])]
+            whole = [np.concatenate((ids[2 * k], np.frombuffer(b, v.packed).astype(np.int32), ids[2 * k + 1])) for k, b in enumerate(c["body"])]
             if whole:
                 yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("idx"), _lists(np.concatenate(whole), np.concatenate(([0], np.cumsum([len(w) for w in whole]))))],
                                                  names=["row", "idx", "out"])
