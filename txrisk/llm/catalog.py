@@ -25,7 +25,7 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.repeated_paragraphs(T.table(spark, sf_dir, "documents"))
+    return substrings.repeats(T.table(spark, sf_dir, "documents"))
 
 
 @query

@@ -1,9 +1,24 @@
-"""Substring dedup: near copies of paragraphs, found by MinHash bands and removed but for the first of each class."""
+"""Substring dedup: near copies of paragraphs, found by MinHash bands, and repeated passages of whole texts, wherever they begin.
 
-from pyspark.sql import Column, DataFrame, functions as F
+A passage is a run of words each of which lies in a stretch of PASSAGE words that the corpus has before, in order of
+doc_id and place. Each stretch has an anchor, the word run of ANCHOR words in it whose hash is least, so equal stretches
+have equal anchors, and a text has about one anchor in 14 words. Only anchors that occur again are looked at further:
+an anchor whose stretches are all those of an earlier one needs no look at the text, for the others the text is read
+again and every stretch is compared by itself. Paragraphs that go as near copies are no part of any stretch.
+"""
+
+from collections.abc import Iterator
+import re
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from txrisk.llm import text as T
 from txrisk.llm.near import Banding, near_classes
+from txrisk.session import checkpointed
+
+U64 = np.uint64
 
 #: 12 bands of 2 minima find a pair of likeness 0.8 with probability 1 - 5e-6.
 PARAGRAPHS = Banding(width=5, percent=80, bands=12, rows=2, bits=8)
@@ -12,6 +27,10 @@ LEAST_WORDS = 20
 #: A paragraph's id is its document's id, then its number in this many bits.
 PLACE_BITS = 24
 WORD = r"[^\x20\x09-\x0D]+"
+#: Words of the shortest passage that counts as a repeat, and of an anchor.
+PASSAGE, ANCHOR = 51, 25
+#: Stretches whose anchors are looked for at once.
+AT_ONCE = 1 << 14
 
 
 def paragraphs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -47,12 +66,170 @@ def repeated_paragraphs(docs: DataFrame, how: Banding = PARAGRAPHS, least_words:
         _place(F.col("component")).alias("class_paragraph"), (F.col("id") != F.col("component")).alias("removed"))
 
 
+_POWER = 0x9E3779B97F4A7C15
+_INVERSE = pow(_POWER, -1, 1 << 64)
+
+
+def _run_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of `width` neighbouring words."""
+    n = len(hashes)
+    up, down = (np.cumprod(np.concatenate((np.ones(1, U64), np.full(max(n - 1, 0), b, U64))), dtype=U64)[:n] for b in (_POWER, _INVERSE))
+    sums = np.concatenate((np.zeros(1, U64), np.cumsum(hashes * up, dtype=U64)))
+    return T.mix((sums[width:] - sums[:-width]) * down[:max(n - width + 1, 0)] + U64(width)) if n >= width else np.zeros(0, U64)
+
+
+def _stretches(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where each stretch of PASSAGE words begins that lies in one row, its row, its hash, and where its anchor begins."""
+    sizes = np.maximum(np.diff(first) - PASSAGE + 1, 0)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    begin = first[:-1][row] + np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row]
+    if not len(begin):
+        return begin, row, np.zeros(0, U64), begin
+    wide = np.lib.stride_tricks.sliding_window_view(_run_hashes(hashes, ANCHOR), PASSAGE - ANCHOR + 1)
+    least = [wide[lo:lo + AT_ONCE].argmin(1) for lo in range(0, len(wide), AT_ONCE)]
+    return begin, row, _run_hashes(hashes, PASSAGE)[begin], begin + np.concatenate(least)[begin]
+
+
+def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in T.slices(batches):
+        for lo, hi, data, off in T.runs(batch.column("text")):
+            kept, at, starts, first = T.word_bounds(data, off)
+            hashes = T.hash_words(kept, at)
+            begin, row, own, anchor = _stretches(hashes, first)
+            if not len(begin):
+                continue
+            heads = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+            n = np.diff(np.append(heads, len(begin)))
+            alike = T.mix(np.add.reduceat(T.mix(own ^ U64(0x2545F4914F6CDD1D)), heads) + n.astype(U64))
+            lines = np.concatenate(([0], np.cumsum(data == 10)))
+            r, b = row[heads], begin[heads]
+            line, last = (lines[starts[w]] - lines[off[r]] for w in (b, b + n + PASSAGE - 2))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id")[lo:hi].take(pa.array(r)), pa.array(_run_hashes(hashes, ANCHOR)[anchor[heads]].view(np.int64)), pa.array(alike.view(np.int64)),
+                 pa.array((b - first[r]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(line.astype(np.int32)), pa.array(last.astype(np.int32))],
+                names=["doc_id", "anchor", "alike", "place", "n", "line", "last"])
+
+
+_ANCHORS = "doc_id long, anchor long, alike long, place int, n int, line int, last int"
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    codec = pa.Codec("zstd", compression_level=1)
+    for batch in T.slices(batches):
+        texts = [t.encode() for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64())],
+            names=["doc_id", "packed", "raw"])
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, place, own): the stretches of the anchors in `open`, without those that touch a line of `gone`."""
+    codec = pa.Codec("zstd")
+    T.keep_memory_low()
+    for batch in batches:
+        for r in range(batch.num_rows):
+            size = batch.column("raw")[r].as_py()
+            data = np.frombuffer(codec.decompress(batch.column("packed")[r].as_py(), size, asbytes=True), np.uint8)
+            kept, at, starts, _ = T.word_bounds(data, np.array([0, size]))
+            asked = batch.column("open")[r].values
+            head, n = (asked.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("place", "n"))
+            place = np.repeat(head - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            own = _run_hashes(T.hash_words(kept, at), PASSAGE)
+            place = np.unique(place[place < len(own)])
+            if (gone := batch.column("gone")[r].as_py()) and len(place):
+                lines = np.cumsum(data == 10)[starts]
+                lost = np.concatenate(([0], np.cumsum(np.isin(lines, gone))))
+                place = place[lost[place + PASSAGE] == lost[place]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(place), batch.column("doc_id")[r].as_py(), np.int64)), pa.array(place.astype(np.int32)), pa.array(own[place].view(np.int64))],
+                names=["doc_id", "place", "own"])
+
+
+def repeated_passages(docs: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+    """(doc_id, first_word, n_words, class_doc_id, class_word) of each passage that the corpus has before.
+
+    Words are numbered from 0 in their text. The class is where the passage's first stretch occurs first. `gone`
+    (doc_id, paragraph) names lines that take no part. Repeated rows of one doc_id are one document; rows without
+    doc_id take no part.
+    """
+    rows = T.id_and_text(docs).filter("doc_id is not null and text is not null")
+    if gone is None:
+        gone = docs.sparkSession.createDataFrame([], "doc_id long, paragraph long")
+    gone = gone.groupBy("doc_id").agg(F.collect_set("paragraph").alias("gone"))
+    # anchors that occur once end here
+    anchors = rows.mapInArrow(_find_anchors, _ANCHORS)
+    again = anchors.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor")
+    # an anchor that lies in a line that is gone ends here, too; one beside such a line is compared by its stretches
+    touched = F.exists(F.coalesce("gone", F.array().cast("array<bigint>")), lambda k: k.between(F.col("line"), F.col("last")))
+    shared = checkpointed(anchors.join(again, "anchor").join(gone, "doc_id", "left").withColumn("part", touched)
+                          .filter("not (part and line = last)").drop("gone", "line", "last"))
+    whole = shared.filter("not part")
+    firsts = whole.groupBy("anchor", "alike").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.first("n").alias("n"))
+    several = shared.groupBy("anchor").agg((F.max("part") | (F.min("alike") != F.max("alike"))).alias("open")).filter("open").select("anchor")
+    same = whole.join(firsts.drop("n"), ["anchor", "alike"]).filter(F.struct("doc_id", "place") != F.col("first")).select(
+        "doc_id", "place", (F.col("place") + F.col("n") + (PASSAGE - 1)).alias("end"), F.col("first.doc_id").alias("class_doc_id"), F.col("first.place").alias("class_word"))
+
+    unsure = firsts.join(several, "anchor", "left_semi").select("first.doc_id", "first.place", "n").unionByName(shared.filter("part").select("doc_id", "place", "n"))
+    asked = unsure.groupBy("doc_id").agg(F.collect_set(F.struct("place", "n")).alias("open")).join(gone, "doc_id", "left")
+    packed = rows.mapInArrow(_pack, "doc_id long, packed binary, raw long")
+    stretches = checkpointed(packed.join(asked, "doc_id").mapInArrow(_compare, "doc_id long, place int, own long"))
+    earliest = stretches.groupBy("own").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
+    single = stretches.join(earliest, "own").filter(F.struct("doc_id", "place") != F.col("first")).select(
+        "doc_id", "place", (F.col("place") + PASSAGE).alias("end"), F.col("first.doc_id").alias("class_doc_id"), F.col("first.place").alias("class_word"))
+
+    order = Window.partitionBy("doc_id").orderBy("place", F.desc("end"), "class_doc_id", "class_word")
+    pieces = same.unionByName(single).withColumn("ahead", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    numbered = pieces.withColumn("run", F.sum(F.coalesce((F.col("place") > F.col("ahead")).cast("int"), F.lit(1))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("doc_id", "run").agg(
+        F.min("place").alias("first_word"), F.max("end").alias("end"),
+        F.min(F.struct("place", "class_doc_id", "class_word")).alias("from")).select(
+        "doc_id", F.col("first_word").cast("long").alias("first_word"), (F.col("end") - F.col("first_word")).cast("long").alias("n_words"),
+        F.col("from.class_doc_id").alias("class_doc_id"), F.col("from.class_word").cast("long").alias("class_word"))
+
+
+def repeats(docs: DataFrame, how: Banding = PARAGRAPHS, least_words: int = LEAST_WORDS) -> DataFrame:
+    """The rows of `repeated_paragraphs`, and below them those of `repeated_passages` in what is left, all removed.
+
+    Rows of paragraphs have no first_word, n_words and class_word, rows of passages no paragraph and class_paragraph.
+    """
+    lines = checkpointed(repeated_paragraphs(docs, how, least_words))
+    return lines.unionByName(repeated_passages(docs, lines.filter("removed")).withColumn("removed", F.lit(True)), allowMissingColumns=True)
+
+
+def cut(text: str, gone: list[int], runs: list[tuple[int, int]]) -> str:
+    """The text without the lines of `gone` and without runs of words (first, number); a line that loses its last word goes."""
+    gone, out, at = set(gone), [], 0
+    lost = {w for first, n in runs for w in range(first, first + n)}
+    for k, line in enumerate(text.split("\n")):
+        spans = [m.span() for m in re.finditer(WORD, line)]
+        own = [at + j in lost for j in range(len(spans))]
+        at += len(spans)
+        if k in gone or spans and all(own):
+            continue
+        kept, start = [], 0
+        for j, (s, e) in enumerate(spans):
+            if own[j]:
+                kept.append(line[start:s])
+                start = spans[j + 1][0] if j + 1 < len(spans) else e
+        out.append("".join([*kept, line[start:]]))
+    return "\n".join(out)
+
+
 def without_repeats(docs: DataFrame, how: Banding = PARAGRAPHS, least_words: int = LEAST_WORDS) -> DataFrame:
-    """The rows of `docs` without their removed paragraphs; `n_chars` follows. Every row stays, if need be with an empty text."""
-    gone = repeated_paragraphs(docs, how, least_words).filter("removed").groupBy(F.col("doc_id").alias("own_id")).agg(F.collect_set("paragraph").alias("gone"))
+    """The rows of `docs` without their removed paragraphs and passages; `n_chars` follows. Every row stays, if need be with an empty text."""
+    gone = repeats(docs, how, least_words).filter("removed").groupBy(F.col("doc_id").alias("own_id")).agg(
+        F.collect_set("paragraph").alias("gone"), F.collect_set(F.when(F.col("first_word").isNotNull(), F.struct("first_word", "n_words"))).alias("runs"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, k: ~F.array_contains(F.col("gone"), k.cast("long"))), "\n")
-    done = rows.join(gone, F.col("doc_id") == F.col("own_id"), "left").withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept))
+
+    @F.arrow_udf("string")
+    def left(texts: pa.Array, lines: pa.Array, runs: pa.Array) -> pa.Array:
+        out = texts.to_pylist()
+        for r, (k, w) in enumerate(zip(lines.to_pylist(), runs.to_pylist())):
+            if out[r] is not None and (k or w):
+                out[r] = cut(out[r], k, [(p["first_word"], p["n_words"]) for p in w])
+        return pa.array(out, pa.string())
+
+    done = rows.join(gone, F.col("doc_id") == F.col("own_id"), "left").withColumn("text", left("text", "gone", "runs"))
     own = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         own["n_chars"] = F.when(F.col("gone").isNull(), F.col("row.n_chars")).otherwise(F.length("text").cast("long"))
