@@ -1,8 +1,8 @@
 """Personal data: fixed patterns find seeds, whose contexts become patterns that find further identifiers.
 
 Base spans (email, ip, card, phone) come from one pass over the whole texts. The same pass notes every other token
-with a digit or an at-sign as a possible identifier, and the lexical patterns around both: the words before and
-after, and the word before with the token's shape, each for one coarse form of identifiers. Pattern and instance form a graph. Spark scores it in rounds:
+with a digit or an at-sign as a possible identifier (numbers in groups as one), and the lexical patterns around both: the
+words before and after, each for one coarse form of identifiers and for all, and the word before with the shape. Pattern and instance form a graph. Spark scores it in rounds:
 a pattern's confidence is the mean score of its distinct instances, an instance's score the best confidence of its
 patterns, seeds being certain. Possible identifiers of a pattern with enough confidence and enough distinct seeds become spans of
 the kind of its seeds. Edges are made distinct before they are joined, so a common word costs its distinct instances only.
@@ -24,8 +24,8 @@ KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
 #: A pattern is trusted from this confidence, n known instances of n + 1, and this many distinct seeds on.
 CONFIDENCE, SEEDS, ROUNDS = 0.8, 4, 3
-#: Characters of context in which neighbouring words are looked up, and the shortest possible identifier.
-CONTEXT, SHORTEST = 64, 6
+#: Characters of context in which neighbouring words are looked up, and the most digits of an identifier written in groups.
+CONTEXT, MOST_DIGITS = 64, 34
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -35,6 +35,8 @@ _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _SHAPE = re.compile(r"[0-9]+|[^\W\d_]+")
 _SPACES = frozenset(" \t\n\x0b\x0c\r")
 _EDGES = "\"'`([{<>}]),.;:!?|*"
+_NUMBER = re.compile(r"\+?[0-9][0-9()./-]*")
+_BETWEEN = frozenset((" ", ") ", " (", ") ("))
 
 
 def _luhn(digits: str) -> bool:
@@ -113,7 +115,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _possible(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Tokens with a digit or an at-sign, without marks at their edges, that touch no base span."""
+    """Tokens with a digit or an at-sign, without marks at their edges, that touch no base span; numbers in groups are one."""
     out, done, k = [], 0, 0
     taken = sorted(taken)
     for m in re.finditer(r"[0-9@]", text):
@@ -130,13 +132,31 @@ def _possible(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
         e = s + len(token.strip(_EDGES))
         while k < len(taken) and taken[k][1] <= s:
             k += 1
-        if e - s >= SHORTEST and not any(a < e for a, b in taken[k:k + 4] if b > s):
+        if e > s and not any(a < e for a, b in taken[k:k + 4] if b > s):
             out.append((s, e))
+    return _grouped(text, out)
+
+
+def _grouped(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Neighbouring numbers with one space between them as one; with more than MOST_DIGITS digits they stay single."""
+    out, k = [], 0
+    while k < len(tokens):
+        last = k
+        if _NUMBER.fullmatch(text, *tokens[k]):
+            while last + 1 < len(tokens) and text[tokens[last][1]:tokens[last + 1][0]] in _BETWEEN and _NUMBER.fullmatch(text, *tokens[last + 1]):
+                last += 1
+        s, e = tokens[k][0], tokens[last][1]
+        if last > k and sum("0" <= c <= "9" for c in text[s:e]) <= MOST_DIGITS:
+            surplus = text.count("(", s, e) - text.count(")", s, e)
+            out.append((s - (surplus < 0 and text[s - 1:s] == "("), e + (surplus > 0 and text[e:e + 1] == ")")))
+        else:
+            out += tokens[k:last + 1]
+        k = last + 1
     return out
 
 
 def _form(instance: str) -> str:
-    """Coarse form of an identifier; a pattern holds for one form, so an address is no sign of a number."""
+    """Coarse form of an identifier. A context is scored for this form and for all forms together."""
     if "@" in instance:
         return "@"
     if instance[0] == "+":
@@ -153,15 +173,16 @@ def _patterns(text: str, start: int, end: int) -> list[int]:
     inner = text[start:end] if end - start <= CONTEXT else text[start:start + CONTEXT]
     shape = _SHAPE.sub(lambda m: f"9{len(m[0])}" if m[0][0].isdigit() else "a", inner)
     form = _form(inner)
-    own = []
-    if before:
-        own += [f"l {form} {before[-1]}", f"s {shape} {before[-1]}"]
-    if len(before) > 1:
-        own.append(f"m {form} {before[0]} {before[1]}")
-    if after:
-        own.append(f"r {form} {after[0]}")
-    if before and after:
-        own.append(f"c {form} {before[-1]} {after[0]}")
+    own = [f"s {shape} {before[-1]}"] if before else []
+    for f in (form, "any"):
+        if before:
+            own.append(f"l {f} {before[-1]}")
+        if len(before) > 1:
+            own.append(f"m {f} {before[0]} {before[1]}")
+        if after:
+            own.append(f"r {f} {after[0]}")
+        if before and after:
+            own.append(f"c {f} {before[-1]} {after[0]}")
     return [xxhash.xxh3_64_intdigest(p) - (1 << 63) for p in own]
 
 
