@@ -71,8 +71,11 @@ class Vocabulary:
         scores = np.array([sp.get_score(i) for i in ordinary])
         order = T.mix(np.array(ordinary, U64) + U64(1)) >> U64(46)
         self.weights = np.zeros(size, np.int64)
-        self.weights[ordinary] = (np.maximum(scores, -(1 << 22)).astype(np.int64) << 20) - order.astype(np.int64)
-        self.fallback = np.int64(int(self.weights[ordinary].min()) - (1 << 20))
+        scores = np.maximum(scores, -(1 << 22))
+        # ranks keep 20 bits for the order of ties; log probabilities are small and take what 42 bits leave
+        bits = 20 if (scores == np.rint(scores)).all() else max(20, 41 - int(np.ceil(np.log2(np.abs(scores).max()))))
+        self.weights[ordinary] = np.rint(scores * 2.0 ** bits).astype(np.int64) - order.astype(np.int64)
+        self.fallback = np.int64(int(self.weights[ordinary].min()) - (1 << bits))
         self.longest = max(len(texts[i]) for i in ordinary)
         #: pairs[a, b]: some piece has character a right before b
         self.pairs = np.zeros((len(chars) + 2, len(chars) + 2), bool)
