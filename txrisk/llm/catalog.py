@@ -2,9 +2,10 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from txrisk.llm import contextmix, minhash, mixing, phrases, pieces, pii, substrings, topk, toxicity, urls
+from txrisk.llm import (alignment, contextmix, lines, merkle, minhash, mixing, phrases, pieces, pii, substrings, topk, toxicity,
+                        urls)
 from txrisk.llm import text as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +70,23 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(T.table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.aligned_tokens(T.table(spark, sf_dir, "documents"), digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
+@query
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.without_repeated_lines(T.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered_manifest(T.table(spark, sf_dir, "documents"))
+
+
 WORDS = r"[^\x20\x09-\x0D]+"
 
 SQL["op5_exact_top_k"] = """
@@ -123,3 +141,65 @@ least_of AS (SELECT x, min(y) AS component_id FROM reach GROUP BY 1)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept
 FROM split LEFT JOIN sizes USING (doc_id) LEFT JOIN least_of ON x = doc_id
 """
+
+SQL["op12_line_dedup"] = r"""
+WITH rows AS (SELECT *, row_number() OVER () AS r FROM documents),
+split AS (SELECT r, coalesce(doc_id, -9223372036854775808) AS doc, string_split(coalesce(text, ''), chr(10)) AS l FROM rows),
+lines AS (SELECT r, doc, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM split),
+keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines),
+repeated AS (SELECT key, max(doc) AS largest FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc) >= 3),
+marked AS (SELECT k.*, p.key IS NOT NULL AND k.doc < p.largest AS lost FROM keyed k LEFT JOIN repeated p USING (key)),
+joined AS (
+  SELECT r, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT lost), '') AS kept
+  FROM marked GROUP BY r)
+SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_dropped AS BIGINT) AS n_dropped, sha256(kept) AS kept_sha256 FROM rows JOIN joined USING (r)
+"""
+
+_TEXT_FIELD = "coalesce(CAST(octet_length(encode(CAST({0} AS VARCHAR))) AS VARCHAR) || ':' || {0}, '-')"
+_HEAD = " || ".join(_TEXT_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+
+SQL["op13_merkle_manifest"] = f"""
+WITH RECURSIVE marked AS (
+  SELECT *, coalesce('=' || source, '') AS name, coalesce(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda c, x: list_reduce(list_prepend(xor(c, x), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+      lambda d, y: xor(d >> 1, CASE WHEN d & 1 = 1 THEN 3988292384 ELSE 0 END + y))) & 1 = 1, false) AS tampered
+  FROM documents),
+leaves AS (
+  SELECT doc_id, name, sha256({_HEAD} || {_TEXT_FIELD.format("text")}) AS leaf,
+         CASE WHEN tampered THEN sha256({_HEAD} || {_TEXT_FIELD.format("replace(text, chr(10), '')")}) ELSE sha256({_HEAD} || {_TEXT_FIELD.format("text")}) END AS present
+  FROM marked),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY name ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY name) AS n,
+         row_number() OVER () AS r FROM leaves),
+nodes AS (
+  SELECT name, 0 AS level, pos, n, leaf AS digest FROM placed
+  UNION ALL
+  SELECT name, any_value(level) + 1, pos // 3, (any_value(n) + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY name, pos // 3),
+subroots AS (
+  SELECT name, digest AS subroot, row_number() OVER (ORDER BY name) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, pos, n, subroot AS digest FROM subroots
+  UNION ALL
+  SELECT any_value(level) + 1, pos // 3, (any_value(n) + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY pos // 3),
+root AS (SELECT digest AS root FROM tops WHERE n = 1),
+sides AS (
+  SELECT name, level, pos, CASE pos % 3 WHEN 0 THEN '' WHEN 1 THEN lag(digest) OVER run ELSE lag(digest, 2) OVER run || lag(digest) OVER run END AS lefts,
+         CASE pos % 3 WHEN 0 THEN coalesce(lead(digest) OVER run, '') || coalesce(lead(digest, 2) OVER run, '') WHEN 1 THEN coalesce(lead(digest) OVER run, '') ELSE '' END AS rights
+  FROM (SELECT name, level, pos, n, digest FROM nodes UNION ALL SELECT NULL, level, pos, n, digest FROM tops) WHERE n > 1
+  WINDOW run AS (PARTITION BY name, level, pos // 3 ORDER BY pos)),
+steps AS (
+  SELECT r, level AS k, lefts, rights FROM placed p JOIN sides s ON s.name = p.name AND s.pos = p.pos // CAST(power(3, level) AS BIGINT)
+  UNION ALL
+  SELECT r, 1000 + level, lefts, rights FROM placed p JOIN subroots t ON t.name = p.name JOIN sides s ON s.name IS NULL AND s.pos = t.pos // CAST(power(3, level) AS BIGINT)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY k) AS i FROM steps),
+proofs AS (SELECT r, sha256(string_agg(lefts || rights, '' ORDER BY i)) AS proof_sha256, max(i) AS many FROM numbered GROUP BY r),
+folds AS (
+  SELECT r, CAST(0 AS BIGINT) AS i, present AS digest FROM placed
+  UNION ALL
+  SELECT f.r, s.i, sha256(s.lefts || f.digest || s.rights) FROM folds f JOIN numbered s ON s.r = f.r AND s.i = f.i + 1)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, f.digest AS folded_root, f.digest = root AS verified
+FROM placed p JOIN subroots t USING (name) CROSS JOIN root LEFT JOIN proofs q USING (r) JOIN folds f ON f.r = p.r AND f.i = coalesce(q.many, 0)
+"""
