@@ -45,7 +45,7 @@ def main() -> None:
         tx = adapters.transactions(adapters.read_events(spark, folder))
         features.feature_vector(tx).write.parquet(f"{work}/vectors")
         vectors = spark.read.parquet(f"{work}/vectors")
-        opts = TrainingOptions(rounds=5, depth=4, forest_trees=10)
+        opts = TrainingOptions(rounds=5, depth=4, leaves=12, chunk=5)
         start = time.perf_counter()
         training.train(vectors, f"{work}/runs", f"{work}/models", opts)
         seconds["train_5_rounds"] = round(time.perf_counter() - start, 3)

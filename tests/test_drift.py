@@ -109,6 +109,35 @@ def test_missing_values(spark):
     assert (q["c"].rows, q["c"].nulls, q["c"].distinct_values, q["c"].most_common, q["c"].most_common_rows) == (4, 1, 2, "a", 2)
 
 
+def test_profiles_give_the_same_reports(spark):
+    """Profiles of parts, merged, against the frames themselves."""
+    rng = random.Random(4)
+    odd = [None, float("nan"), float("inf"), -0.0]
+    ref = frame(spark, [rng.choice([rng.randint(0, 30), *odd]) for _ in range(300)], c=[rng.choice(["a", "b", None]) for _ in range(300)])
+    cur = frame(spark, [rng.choice([rng.randint(5, 40), *odd]) for _ in range(200)], c=[rng.choice(["a", "d", None]) for _ in range(200)])
+    halves = ref.randomSplit([0.5, 0.5], 1)
+    profiled = drift.profile(halves[0], ["x"], ["c"]).merged(drift.profile(halves[1], ["x"], ["c"])), drift.profile(cur, ["x"], ["c"], keep=True)
+    for method in drift.METHODS:
+        want = drift.drift_columns(ref, cur, ["x"], ["c"], method).toPandas().round(9).sort_values("column")
+        got = drift.drift_columns(*profiled, ["x"], ["c"], method).toPandas().round(9).sort_values("column")
+        assert got.equals(want)
+    want = drift.data_quality(ref, [], ["x"], ["c"]).toPandas().round(9).sort_values("column").reset_index(drop=True)
+    got = drift.data_quality(profiled[0].rows, [], ["x"], ["c"], profiled=True).toPandas().round(9).sort_values("column").reset_index(drop=True)
+    assert got.equals(want)
+
+
+def test_each_frame_is_scanned_once_per_kind(spark, tmp_path):
+    for name in ("ref", "cur"):
+        frame(spark, range(20), c=["a", "b"] * 10).write.parquet(str(tmp_path / name))
+    frames = [spark.read.parquet(str(tmp_path / name)) for name in ("ref", "cur")]
+    columns = drift.drift_columns(*frames, ["x"], ["c"])
+    columns.collect()
+    plan = columns._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan parquet") <= 2 * 2
+    kept = [drift.profile(f, ["x"], ["c"], keep=True) for f in frames]
+    assert "FileScan" not in drift.drift_columns(*kept, ["x"], ["c"])._jdf.queryExecution().executedPlan().toString()
+
+
 def test_report_slices(spark):
     df = spark.range(100).select(F.lit("s").alias("source"), (F.col("id") * 61_000_000 % 1_000_000_007).alias("at"), "id")
     for slice_rows in (10**6, 40, 1):

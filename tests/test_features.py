@@ -114,9 +114,16 @@ def test_calendar_and_log(make_tx):
 def test_merchant_rate_lookup(spark, make_tx):
     rates = spark.createDataFrame([("evil", 0.85)], "merchant_id string, fraud_rate double")
     tx = make_tx([(0, {"merchant_id": "evil"}), (1, {"merchant_id": "unknown"})])
-    for limit in (1000, 0):
-        got = features.with_merchant_rate(tx, rates, FeatureOptions(broadcast_rows=limit))
-        assert values(got, "merchant_fraud_rate_30d") == [0.85, 0.0]
+    assert values(features.with_merchant_rate(tx, rates), "merchant_fraud_rate_30d") == [0.85, 0.0]
+
+
+def test_rates_leave_out_merchants_without_recent_rows(make_tx):
+    late = (adapters.RATES_UNTIL_US - T0 * 1_000_000) // 1_000_000
+    tx = make_tx([(late - 3600, {"merchant_id": "recent", "label": 1}), (late - 31 * 86400, {"merchant_id": "old", "label": 1}),
+                  (late + 60, {"merchant_id": "new", "label": 1})])
+    rates = adapters.known_merchant_rates(tx)
+    assert [(r.merchant_id, r.fraud_rate) for r in rates.collect()] == [("recent", 1.0)]
+    assert values(features.with_merchant_rate(tx, rates), "merchant_fraud_rate_30d") == [1.0, 0.0, 0.0]
 
 
 def test_vector_has_the_fixed_columns(make_tx):

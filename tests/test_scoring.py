@@ -61,8 +61,7 @@ def test_no_model_refuses_to_score(spark):
         scoring.score(spark.range(1), None, "unavailable")
 
 
-@pytest.mark.parametrize("limit", [1000, 0])
-def test_prediction_store(spark, limit):
+def test_prediction_store(spark):
     t = datetime(2024, 1, 1, 12)
     rows = [("a", 0.9, "BLOCK", "v1", t), ("a", 0.2, "APPROVE", "v2", t + timedelta(minutes=5)),
             ("b", 0.5, "REVIEW", "v1", t - timedelta(hours=2)), ("c", 0.6, "REVIEW", "v1", t + timedelta(hours=2)),
@@ -70,6 +69,6 @@ def test_prediction_store(spark, limit):
     store = spark.createDataFrame(rows, PREDICTION)
     features = spark.createDataFrame([(x,) for x in "abcde"], "transaction_id string")
     as_of = F.lit("2024-01-01 12:30:00").cast("timestamp")
-    got = scoring.join_predictions(features, store, as_of, 3600, FeatureOptions(broadcast_rows=limit))
+    got = scoring.join_predictions(features, store, as_of, 3600)
     assert values(got, "prediction") == [0.2, 0.0, 0.0, 0.7, 0.0]
     assert values(got, "prediction_missing") == [False, True, True, False, True]

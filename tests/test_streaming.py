@@ -1,3 +1,4 @@
+import random
 import time
 
 import pytest
@@ -9,6 +10,7 @@ from txrisk.operators import features, ingest, training
 from txrisk.options import FeatureOptions, MonitorOptions
 from txrisk.sources import adapters, tables
 from txrisk.streaming import queries as Q
+from txrisk.streaming import reports as R
 from txrisk.streaming.history import history_stream
 
 
@@ -76,12 +78,12 @@ def test_scoring_and_reports(spark, pipeline, tmp_path):
     baseline = tables.read_baseline(spark, str(d / "reference.parquet"))
     reports = str(d / "reports")
     run(Q.write_reports(Q.read_features(spark, str(d / "features")), baseline, str(d / "predictions"), reports, str(d / "ck_reports"),
-                        MonitorOptions(drift_share=0.5)))
-    report = spark.read.parquet(f"{reports}/drift_reports").first()
+                        MonitorOptions(drift_share=0.5, report_interval_s=0)))
+    report = R.read_reports(spark, reports).first()
     assert (report.buffer_size, report.prediction_misses, report.n_columns, report.n_drifted) == (vectors.count(), 0, 15, 0)
     assert (report.drift_share_threshold, report.dataset_drift) == (0.5, False)
-    assert spark.read.parquet(f"{reports}/data_quality").count() == 30
-    quality = {r.frame: r for r in spark.read.parquet(f"{reports}/classification_quality").collect()}
+    assert R.read_reports(spark, reports, "data_quality").count() == 30
+    quality = {r.frame: r for r in R.read_reports(spark, reports, "classification_quality").collect()}
     assert quality["reference"].roc_auc == 1.0 and quality["current"].rows == vectors.count()
 
 
@@ -137,6 +139,75 @@ def test_stream_state(spark, make_tx, tmp_path, bucket_s):
         assert [r[column] for r in mine] == expected, name
 
 
+def disordered(make_tx, seed, n=120):
+    """One user's rows in an order of arrival that is not that of time, with replays and repeated times."""
+    rng = random.Random(seed)
+    rows, at = [], 0
+    for i in range(n):
+        at += rng.choice([0, 1, 60, 1800, 6 * HOUR, 26 * HOUR]) if rng.random() < 0.8 else -rng.choice([30, HOUR, 30 * HOUR])
+        own = {"merchant_id": rng.choice("abcd"), "country": rng.choice("XYZ"), "amount": rng.choice([1.1, 2.25, 1e13, 0.1]), "label": rng.choice([0, 1, None])}
+        if rng.random() < 0.15 and rows:
+            own["transaction_id"], own["amount"] = f"t{rng.randrange(i):04d}", rng.choice([1.1, 2.25])
+        rows.append((at, own))
+    return make_tx(rows).withColumn("offset", F.monotonically_increasing_id()).coalesce(1)
+
+
+def in_turn(rows, retention=7 * DAY):
+    """The windows row by row, as the rows arrive."""
+    out, held, last = [], {}, None
+    for r in rows:
+        last = r.ts_us if last is None else max(last, r.ts_us)
+        held[(r.transaction_id, r.amount)] = r.ts_us
+        own = [(a, t) for (_, a), t in held.items() if t > last - retention * 10**6]
+        out.append([sum(r.ts_us - w * 10**6 <= t <= r.ts_us for _, t in own) for w in (HOUR, DAY)]
+                   + [sum(a for a, t in own if r.ts_us - w * 10**6 <= t <= r.ts_us) for w in (HOUR, DAY)])
+    return out
+
+
+@pytest.mark.parametrize("seed, batches", [(1, 1), (3, 3)])
+def test_disordered_rows_against_a_plain_loop(spark, make_tx, tmp_path, seed, batches):
+    tx = disordered(make_tx, seed)
+    n = tx.count()
+    for i in range(batches):
+        lo, hi = n * i // batches, n * (i + 1) // batches
+        put(tx.filter(F.col("offset").between(lo, hi - 1)), tmp_path / "in")
+        stream = spark.readStream.schema(tx.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        run(Q._to_files(history_stream(stream, FeatureOptions(), ("offset",), 3600), str(tmp_path / "out"), str(tmp_path / "ck"), {}))
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("offset").collect()
+    want = in_turn(tx.orderBy("offset").collect())
+    for r, (n1, n24, u1, u24) in zip(got, want):
+        assert (r.tx_count_1h, r.tx_count_24h) == (n1, n24)
+        assert r.tx_sum_1h == pytest.approx(u1) and r.tx_sum_24h == pytest.approx(u24)
+
+
+def test_a_stream_starts_from_a_table(spark, make_tx, tmp_path):
+    """Past rows as initial state, the later ones from the stream: the same rows as the batch."""
+    rng = random.Random(8)
+    tx = make_tx([(3 * i * 700, {"user_id": rng.choice("uvw"), "merchant_id": rng.choice("abcdef"), "amount": rng.randint(1, 999) / 100})
+                  for i in range(150)]).withColumn("offset", F.col("ts_us")).coalesce(1)
+    cut = tx.approxQuantile("ts_us", [0.6], 0.0)[0]
+    late, past = tx.filter(F.col("ts_us") > cut), tx.filter(F.col("ts_us") <= cut)
+    put(late, tmp_path / "in")
+    stream = spark.readStream.schema(tx.schema).parquet(str(tmp_path / "in"))
+    run(Q._to_files(history_stream(stream, order=("offset",), past=past), str(tmp_path / "out"), str(tmp_path / "ck"), {}))
+    names = ["transaction_id", "tx_count_1h", "tx_sum_24h", "unique_merchants_24h", "unique_countries_7d", "prior_count", "prior_sum"]
+    got = spark.read.parquet(str(tmp_path / "out")).select(*names).orderBy("transaction_id").collect()
+    want = features.history_features(tx).filter(F.col("ts_us") > cut).select(*names).orderBy("transaction_id").collect()
+    assert got == want and len(got) == 60
+
+
+def test_many_members_of_one_user(spark, make_tx, tmp_path):
+    """More merchants and transactions than one part of a hashed map holds, in three micro-batches."""
+    tx = make_tx([(i * 40, {"merchant_id": f"m{i * 7 % 1900}"}) for i in range(2400)]).withColumn("offset", F.col("ts_us")).coalesce(1)
+    for i in range(3):
+        put(tx.filter(F.substring("transaction_id", 2, 4).cast("int").between(800 * i, 800 * i + 799)), tmp_path / "in")
+        stream = spark.readStream.schema(tx.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        run(Q._to_files(history_stream(stream, order=("offset",)), str(tmp_path / "out"), str(tmp_path / "ck"), {}))
+    names = ["transaction_id", "tx_count_24h", "unique_merchants_24h", "prior_count"]
+    got = spark.read.parquet(str(tmp_path / "out")).select(*names).orderBy("transaction_id").collect()
+    assert got == features.history_features(tx).select(*names).orderBy("transaction_id").collect()
+
+
 def test_repeated_ids_can_be_dropped(spark, make_tx, tmp_path):
     tx = make_tx([(0, {"transaction_id": "a"}), (60, {"transaction_id": "a"}), (70, {"transaction_id": "b"})])
     tx.coalesce(1).write.parquet(str(tmp_path / "in"))

@@ -9,7 +9,7 @@ from txrisk.options import TrainingOptions
 from txrisk.schemas import FEATURE_COLS
 from txrisk.sources import adapters, tables
 
-SMALL = TrainingOptions(rounds=4, depth=3, forest_trees=5)
+SMALL = TrainingOptions(rounds=4, depth=3, leaves=5, chunk=2)
 
 
 @pytest.fixture(scope="module")
@@ -78,7 +78,8 @@ def test_train_evaluate_promote_and_score(spark, vectors, tmp_path):
     run = training.read_runs(spark, runs_path).first()
     assert (run.run_id, run.train_size, run.val_size, run.test_size) == (run_id, 801, 100, 99)
     assert run.features == FEATURE_COLS and run.scale_pos_weight == pytest.approx(737 / 64)
-    assert set(run.metrics) == {f"{c}_{m}" for c in ("boosted", "forest", "ensemble") for m in training.METRICS}
+    assert set(run.metrics) == {f"{c}_{m}" for c in ("boosted", "leafwise", "ensemble") for m in training.METRICS} | {"boosted_rounds", "leafwise_rounds"}
+    assert 1 <= run.metrics["boosted_rounds"] <= 4
     assert run.gate_metric == run.metrics["ensemble_pr_auc"] > 0.079
     # the same training again is no better and does not replace the champion
     training.train(vectors, runs_path, models_path, SMALL)
@@ -88,7 +89,7 @@ def test_train_evaluate_promote_and_score(spark, vectors, tmp_path):
     assert len(scored) == 1000
     assert all(0 <= r.fraud_probability <= 1 and r.model_version == run_id for r in scored)
     single = {r.transaction_id: r.probability for r in scoring.score(vectors, model, version, serve="boosted").collect()}
-    other = {r.transaction_id: r.probability for r in scoring.score(vectors, model, version, serve="forest").collect()}
+    other = {r.transaction_id: r.probability for r in scoring.score(vectors, model, version, serve="leafwise").collect()}
     assert all(r.probability == pytest.approx((single[r.transaction_id] + other[r.transaction_id]) / 2) for r in scored)
 
 

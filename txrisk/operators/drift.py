@@ -4,6 +4,7 @@ Everything numeric is derived from one histogram per column (distinct value, cou
 combined before the shuffle; ordered statistics run over value slices.
 """
 
+from dataclasses import dataclass
 import math
 
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql.functions import pandas_udf
 from txrisk.operators.metrics import quality_metrics
 from txrisk.operators.prefix import exact_quantiles, global_rank, running_totals, slice_of, slice_widths, within_limit
 from txrisk.schemas import CATEGORICAL_FEATURES, NUMERICAL_FEATURES
+from txrisk.session import checkpointed
 
 # The thresholds of each test.
 DISTANCE_THRESHOLD = 0.1
@@ -26,78 +28,117 @@ def baseline_with_prediction(baseline: DataFrame) -> DataFrame:
     return baseline.withColumn("prediction", F.col("label").cast("double"))
 
 
-def _long(df: DataFrame, columns: list[str], kind: str) -> DataFrame:
-    cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast(kind).alias("value")) for c in columns]
-    return df.select(F.inline(F.array(*cells)))
+@dataclass(frozen=True)
+class Profile:
+    """The histograms of a frame: (column, number, text, n), one row per distinct value; profiles of parts add up."""
 
+    rows: DataFrame
 
-def _histogram(baseline: DataFrame, current: DataFrame, columns: list[str], kind: str) -> DataFrame:
-    """(column, value, n_ref, n_cur, left_ref, left_cur) of both frames.
+    def merged(self, *others: "Profile") -> "Profile":
+        """The profile of all the frames together."""
+        both = self.rows
+        for other in others:
+            both = both.unionByName(other.rows)
+        return Profile(both.groupBy("column", "number", "text").agg(F.sum("n").alias("n")))
 
-    Nulls and numbers that are not finite share the row of value NULL; the numbers among them are counted as left out.
+
+def profile(df: DataFrame, numerical: list[str] = NUMERICAL_FEATURES, categorical: list[str] = CATEGORICAL_FEATURES,
+            keep: bool = False) -> Profile:
+    """One scan of a frame; every drift score and the data quality can be taken from it. `keep` fixes it for several uses."""
+    none = F.lit(None)
+    cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("number"), none.cast("string").alias("text")) for c in numerical]
+    cells += [F.struct(F.lit(c).alias("column"), none.cast("double").alias("number"), F.col(c).cast("string").alias("text")) for c in categorical]
+    rows = df.select(F.inline(F.array(*cells))).groupBy("column", "number", "text").agg(F.count("*").alias("n"))
+    return Profile(checkpointed(rows) if keep else rows)
+
+
+def _long(frame: DataFrame | Profile, columns: list[str], kind: str) -> DataFrame:
+    """(column, value, n) of a frame's cells, or of its profile."""
+    if isinstance(frame, Profile):
+        value = F.col("number") if kind == "double" else F.col("text")
+        return frame.rows.filter(F.col("column").isin(columns)).select("column", value.alias("value"), "n")
+    cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast(kind).alias("value"), F.lit(1).cast("bigint").alias("n")) for c in columns]
+    return frame.select(F.inline(F.array(*cells)))
+
+
+def _histogram(baseline: DataFrame | Profile, current: DataFrame | Profile, columns: list[str], kind: str) -> DataFrame:
+    """(column, value, n_ref, n_cur) of both frames, for numbers also left_ref and left_cur.
+
+    Nulls and numbers that are not finite share the row of value NULL, which counts nothing but what was left out: the numbers
+    that are not finite.
+    """
+    both = _long(baseline, columns, kind).withColumn("ref", F.lit(True)).unionByName(
+        _long(current, columns, kind).withColumn("ref", F.lit(False)))
+    zero = F.lit(0).cast("bigint")
+    if kind == "string":
+        clean, left = F.col("value"), {}
+    else:
+        clean = F.when(~F.isnan("value") & (F.abs("value") != float("inf")), F.col("value"))
+        odd = F.col("value").isNotNull() & F.col("clean").isNull()
+        left = {"left_ref": odd & F.col("ref"), "left_cur": odd & ~F.col("ref")}
+    present = F.col("clean").isNotNull()
+    counted = {"n_ref": present & F.col("ref"), "n_cur": present & ~F.col("ref"), **left}
+    return both.withColumn("clean", clean).groupBy("column", F.col("clean").alias("value")).agg(
+        *[F.sum(F.when(c, F.col("n")).otherwise(zero)).alias(name) for name, c in counted.items()])
+
+
+def _every_column(found: DataFrame, columns: list[str]) -> DataFrame:
+    """One row for each asked column, also where a frame has no rows at all."""
+    names = found.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in columns])).alias("column"))
+    return names.join(found, "column", "left").na.fill(0, ["n_ref", "n_cur", "left_ref", "left_cur"])
+
+
+def numeric_distances(baseline: DataFrame | Profile, current: DataFrame | Profile, columns: list[str] = NUMERICAL_FEATURES) -> DataFrame:
+    """Per column: Wasserstein-1 distance over the baseline deviation, KS statistic, Jensen-Shannon distance.
+
+    Each frame may be given as its profile. Distances are NULL where a frame has no value.
     """
-    both = _long(baseline, columns, kind).withColumn("ref", F.lit(1)).unionByName(
-        _long(current, columns, kind).withColumn("ref", F.lit(0)))
-    value = F.col("value")
-    if kind == "double":
-        value = F.when(~F.isnan("value") & (F.abs("value") != float("inf")), F.col("value"))
-    left = (F.col("value").isNotNull() & F.col("clean").isNull()).cast("bigint")
-    present = F.col("clean").isNotNull().cast("bigint")
-    return both.withColumn("clean", value).groupBy("column", F.col("clean").alias("value")).agg(
-        F.sum(present * F.col("ref")).alias("n_ref"), F.sum(present * (1 - F.col("ref"))).alias("n_cur"),
-        F.sum(left * F.col("ref")).alias("left_ref"), F.sum(left * (1 - F.col("ref"))).alias("left_cur"))
-
-
-def _per_column(hist: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
-    """One row for each asked column with its counts; the distances are NULL where a frame has no value."""
-    names = hist.sparkSession.createDataFrame([(c,) for c in columns], "column string")
-    counts = hist.groupBy("column").agg(*[F.sum(c).alias(c) for c in ("n_ref", "n_cur", "left_ref", "left_cur")])
-    return names.join(counts, "column", "left").na.fill(0, ["n_ref", "n_cur", "left_ref", "left_cur"]).join(found, "column", "left")
-
-
-def numeric_distances(baseline: DataFrame, current: DataFrame, columns: list[str] = NUMERICAL_FEATURES) -> DataFrame:
-    """Per column: Wasserstein-1 distance over the baseline deviation, KS statistic, Jensen-Shannon distance."""
-    every = _histogram(baseline, current, columns, "double")
-    hist = every.filter("value is not null").withColumn("sum_ref", F.col("n_ref") * F.col("value"))
+    hist = _histogram(baseline, current, columns, "double").withColumn("sum_ref", F.coalesce(F.col("n_ref") * F.col("value"), F.lit(0.0)))
     run = running_totals(hist, ["column"], "value", ["n_ref", "n_cur", "sum_ref"])
-    n_ref, n_cur = F.col("n_ref_total"), F.col("n_cur_total")
+    n_ref, n_cur = (F.nullif(F.col(f"{n}_total"), F.lit(0)) for n in ("n_ref", "n_cur"))
     below = F.abs((F.col("n_ref_upto") - F.col("n_ref")) / n_ref - (F.col("n_cur_upto") - F.col("n_cur")) / n_cur)
     off = F.col("value") - F.col("sum_ref_total") / n_ref
-    agg = run.filter((n_ref > 0) & (n_cur > 0)).groupBy("column").agg(
-        F.count("*").alias("n_values"),
+    # the row of value NULL comes first and counts nothing
+    is_first = F.col("value").isNotNull() & F.col("prev_value").isNull()
+    agg = run.groupBy("column").agg(
+        F.max("n_ref_total").alias("n_ref"), F.max("n_cur_total").alias("n_cur"),
+        F.sum("left_ref").alias("left_ref"), F.sum("left_cur").alias("left_cur"),
+        F.count("value").alias("n_values"),
         F.sum(F.coalesce(below * (F.col("value") - F.col("prev_value")), F.lit(0.0))).alias("w"),
         F.sqrt(F.sum(F.col("n_ref") * off * off) / F.max(n_ref)).alias("std"),
         F.max(F.abs(F.col("n_ref_upto") / n_ref - F.col("n_cur_upto") / n_cur)).alias("ks"),
         F.sum(_js_share(F.col("n_ref") / n_ref, F.col("n_cur") / n_cur)).alias("js"),
-        F.sum(_chi_share(F.col("n_ref"), F.col("n_cur"), n_ref, n_cur)).alias("chi_square"),
-        F.min(F.when(F.col("prev_value").isNull(), F.col("n_ref") / n_ref)).alias("first_ref"),
-        F.min(F.when(F.col("prev_value").isNull(), F.col("n_cur") / n_cur)).alias("first_cur"),
-    )
-    found = agg.select(
-        "column", "n_values",
-        (F.col("w") / F.greatest("std", F.lit(0.001))).alias("wasserstein"),
-        "ks", F.sqrt(F.greatest("js", F.lit(0.0)) / 2).alias("jensen_shannon"), "chi_square", "first_ref", "first_cur",
+        F.sum(F.when(F.col("value").isNotNull(), _chi_share(F.col("n_ref"), F.col("n_cur"), n_ref, n_cur))).alias("chi_square"),
+        F.min(F.when(is_first, F.col("n_ref") / n_ref)).alias("first_ref"),
+        F.min(F.when(is_first, F.col("n_cur") / n_cur)).alias("first_cur"),
     )
-    return _per_column(every, found, columns)
+    return _every_column(_where_both(agg, {
+        "wasserstein": F.col("w") / F.greatest("std", F.lit(0.001)), "ks": F.col("ks"),
+        "jensen_shannon": F.sqrt(F.greatest("js", F.lit(0.0)) / 2)}), columns)
 
 
-def categorical_distances(baseline: DataFrame, current: DataFrame,
+def _where_both(agg: DataFrame, scores: dict[str, Column]) -> DataFrame:
+    full = (F.col("n_ref") > 0) & (F.col("n_cur") > 0)
+    own = {"n_values": F.col("n_values"), **scores, **{c: F.col(c) for c in ("chi_square", "first_ref", "first_cur")}}
+    return agg.select("column", "n_ref", "n_cur", "left_ref", "left_cur", *[F.when(full, v).alias(k) for k, v in own.items()])
+
+
+def categorical_distances(baseline: DataFrame | Profile, current: DataFrame | Profile,
                           columns: list[str] = CATEGORICAL_FEATURES) -> DataFrame:
-    """Per column: Jensen-Shannon distance (natural log) and the chi-square statistic."""
-    every = _histogram(baseline, current, columns, "string")
-    hist = every.filter("value is not null").drop("left_ref", "left_cur")
+    """Per column: Jensen-Shannon distance (natural log) and the chi-square statistic; frames may be given as profiles."""
+    hist = _histogram(baseline, current, columns, "string")
     totals = hist.groupBy("column").agg(F.sum("n_ref").alias("t_ref"), F.sum("n_cur").alias("t_cur"))
-    t_ref, t_cur = F.col("t_ref"), F.col("t_cur")
-    agg = hist.join(totals, "column").filter((t_ref > 0) & (t_cur > 0)).groupBy("column").agg(
-        F.count("*").alias("n_values"),
+    t_ref, t_cur = F.nullif("t_ref", F.lit(0)), F.nullif("t_cur", F.lit(0))
+    agg = hist.join(totals, "column").groupBy("column").agg(
+        F.max("t_ref").alias("n_ref"), F.max("t_cur").alias("n_cur"),
+        F.lit(0).cast("bigint").alias("left_ref"), F.lit(0).cast("bigint").alias("left_cur"),
+        F.count("value").alias("n_values"),
         F.sum(_js_share(F.col("n_ref") / t_ref, F.col("n_cur") / t_cur)).alias("js"),
-        F.sum(_chi_share(F.col("n_ref"), F.col("n_cur"), t_ref, t_cur)).alias("chi_square"),
+        F.sum(F.when(F.col("value").isNotNull(), _chi_share(F.col("n_ref"), F.col("n_cur"), t_ref, t_cur))).alias("chi_square"),
         F.min_by(F.col("n_ref") / t_ref, "value").alias("first_ref"),
         F.min_by(F.col("n_cur") / t_cur, "value").alias("first_cur"),
     )
-    found = agg.select("column", "n_values", F.sqrt(F.greatest("js", F.lit(0.0)) / 2).alias("jensen_shannon"),
-                       "chi_square", "first_ref", "first_cur")
-    return _per_column(every, found, columns)
+    return _every_column(_where_both(agg, {"jensen_shannon": F.sqrt(F.greatest("js", F.lit(0.0)) / 2)}), columns)
 
 
 def _js_share(p: Column, q: Column) -> Column:
@@ -169,14 +210,14 @@ def normal_p_value(z: pd.Series) -> pd.Series:
 METHODS = {"distance": ("wasserstein", "jensen_shannon"), "p_value": ("ks", "chi_square"), "z": ("ks", "z")}
 
 
-def drift_columns(baseline: DataFrame, current: DataFrame, numerical: list[str] = NUMERICAL_FEATURES,
+def drift_columns(baseline: DataFrame | Profile, current: DataFrame | Profile, numerical: list[str] = NUMERICAL_FEATURES,
                   categorical: list[str] = CATEGORICAL_FEATURES, method: str = "distance") -> DataFrame:
     """One row per asked column: the test used, its score, its threshold and whether the column drifted.
 
     `method` names the tests, whatever the frames hold: `distance` takes Wasserstein and Jensen-Shannon distances,
     `p_value` KS and chi-square tests, `z` KS and a z-test of the share of the first of two categories. A column with values in one
     frame only has drifted, without a score; one without values in either has not. Numbers that are not finite are
-    left out and counted.
+    left out and counted. Each frame may be given as its profile.
     """
     by_kind = dict(zip(("num", "cat"), METHODS[method]))
     parts = []
@@ -185,7 +226,8 @@ def drift_columns(baseline: DataFrame, current: DataFrame, numerical: list[str]
     if categorical:
         parts.append(categorical_distances(baseline, current, categorical).withColumn("kind", F.lit("cat")))
     if not parts:
-        return baseline.sparkSession.createDataFrame([], "column string, kind string, method string, score double, threshold double, "
+        spark = (baseline.rows if isinstance(baseline, Profile) else baseline).sparkSession
+        return spark.createDataFrame([], "column string, kind string, method string, score double, threshold double, "
                                                      "drifted boolean, n_ref bigint, n_cur bigint, left_ref bigint, left_cur bigint")
     both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
     for name in ("wasserstein", "ks"):
@@ -227,13 +269,21 @@ def dataset_drift(columns: DataFrame, share: float = 0.3) -> DataFrame:
 
 
 def data_quality(frames: DataFrame, keys: list[str], numerical: list[str] = NUMERICAL_FEATURES,
-                 categorical: list[str] = CATEGORICAL_FEATURES) -> DataFrame:
-    """Per group and column: rows, nulls, distinct values, mean, deviation, quartiles, mode."""
+                 categorical: list[str] = CATEGORICAL_FEATURES, profiled: bool = False) -> DataFrame:
+    """Per group and column: rows, nulls, distinct values, mean, deviation, quartiles, mode.
+
+    `profiled`: `frames` holds the rows of profiles, with the keys beside them.
+    """
     def long(columns: list[str], kind: str) -> DataFrame:
-        cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast(kind).alias("value")) for c in columns]
+        if profiled:
+            value = F.col("number") if kind == "double" else F.col("text")
+            cells = frames.filter(F.col("column").isin(columns)).select(*keys, "column", value.alias("value"), F.col("n").alias("times"))
+        else:
+            own = [F.struct(F.lit(c).alias("column"), F.col(c).cast(kind).alias("value"), F.lit(1).alias("times")) for c in columns]
+            cells = frames.select(*keys, F.inline(F.array(*own)))
         value = F.when(~F.isnan("value"), F.col("value")) if kind == "double" else F.col("value")
-        return frames.select(*keys, F.inline(F.array(*cells))).groupBy(*keys, "column", value.alias("value")).agg(
-            F.count("value").alias("n_value"), F.count("*").alias("n"))
+        return cells.groupBy(*keys, "column", value.alias("value")).agg(
+            F.sum(F.when(F.col("value").isNotNull(), F.col("times")).otherwise(0)).alias("n_value"), F.sum("times").alias("n"))
 
     by = [*keys, "column"]
     if not numerical and not categorical:
@@ -277,7 +327,12 @@ def classification_quality(baseline: DataFrame, current: DataFrame) -> DataFrame
     """Quality of the stored predictions in both frames."""
     both = baseline.select(F.lit("reference").alias("frame"), "label", "prediction").unionByName(
         current.select(F.lit("current").alias("frame"), "label", "prediction"))
-    return quality_metrics(both, ["frame"], p="prediction")
+    return quality_of(both)
+
+
+def quality_of(frames: DataFrame) -> DataFrame:
+    """Quality metrics per `frame` of rows with `label` and `prediction`."""
+    return quality_metrics(frames, ["frame"], p="prediction")
 
 
 # Widths of arrival slices to choose from, in micros.
@@ -285,9 +340,9 @@ HOUR_US = 3_600_000_000
 ARRIVAL_WIDTHS = [HOUR_US, 60_000_000, 1_000_000, 1_000]
 
 
-def report_slices(features: DataFrame, source: str, arrival_us: str, tie: str, batch_size: int = 2000,
-                  slice_rows: int = 2_000_000, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """`report_id`: consecutive runs of `batch_size` rows of a source, in arrival order.
+def arrival_rank(features: DataFrame, source: str, arrival_us: str, tie: str,
+                 slice_rows: int = 2_000_000, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """`rank`: the place (from 0) of each row of a source in arrival order.
 
     Rows are ranked in slices of an hour of arrival; hours of more than `slice_rows` rows are cut
     finer.
@@ -301,4 +356,11 @@ def report_slices(features: DataFrame, source: str, arrival_us: str, tie: str, b
         fine = F.broadcast(fine) if within_limit(fine, broadcast_rows) else fine
         rows = rows.join(fine, [source, "arrival_hour"], "left").withColumn("width", F.coalesce("width", F.lit(HOUR_US)))
     ranked = global_rank(rows, [source], [arrival_us, tie], slice_of(arrival_us) * F.col("width"))
-    return ranked.withColumn("report_id", F.floor(F.col("rank") / batch_size)).drop("rank", "arrival_hour", "width")
+    return ranked.drop("arrival_hour", "width")
+
+
+def report_slices(features: DataFrame, source: str, arrival_us: str, tie: str, batch_size: int = 2000,
+                  slice_rows: int = 2_000_000, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """`report_id`: consecutive runs of `batch_size` rows of a source, in arrival order."""
+    ranked = arrival_rank(features, source, arrival_us, tie, slice_rows, broadcast_rows)
+    return ranked.withColumn("report_id", F.floor(F.col("rank") / batch_size)).drop("rank")

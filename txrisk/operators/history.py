@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from txrisk.functions import scalar as S
 from txrisk.operators.prefix import slice_of, slice_widths, within_limit
+from txrisk.operators.sketches import with_distinct_estimates
 from txrisk.options import US, FeatureOptions
 
 # Slice widths to choose from for a split user, in seconds.
@@ -36,7 +37,13 @@ def history_features(tx: DataFrame, opts: FeatureOptions = FeatureOptions(),
     velocity: tx_count_1h, tx_count_24h, tx_sum_1h, tx_sum_24h
     distinct: unique_merchants_24h, unique_countries_7d
     moments:  prior_count, prior_sum, prior_sumsq, prior_fraud
+
+    The distinct mode `hll` takes merged sketches per time slice instead of members (`sketches.with_distinct_estimates`).
     """
+    if opts.distinct_mode == "hll" and "distinct" in groups:
+        others = tuple(g for g in groups if g != "distinct")
+        rest = history_features(tx, opts, others, arrival) if others else tx
+        return with_distinct_estimates(rest, opts, arrival or "transaction_id")
     payload = tx.columns
     rows = tx.withColumns({
         **_window_parts(F.col("amount")),

@@ -99,3 +99,13 @@ def latency_summary(log: DataFrame, keys: list[str], latency: str = "latency_ms"
         *[F.round(c, 2).alias(f"{c}_ms") for c in ("mean", "p50", "p95", "p99", "p99_9", "max")],
         (F.col("p99") <= target_ms).alias(f"pass_p99_le_{target_ms:g}ms"),
     )
+
+
+def summary_json(summary: DataFrame) -> DataFrame:
+    """(value): each row of a latency summary as a JSON object, with nulls."""
+    return summary.select(F.to_json(F.struct(*summary.columns), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def write_summary(summary: DataFrame, path: str) -> None:
+    """A summary, which has one row per group, as a folder with one file of JSON lines."""
+    summary_json(summary).coalesce(1).write.mode("overwrite").text(path)

@@ -62,8 +62,8 @@ def score(rows: DataFrame, model: PipelineModel | None, version: str, opts: Scor
     if model is None:
         raise ModelUnavailable("Model not loaded")
     out = model.transform(rows)
-    parts = {c.removeprefix("probability_"): F.get(vector_to_array(c), F.lit(1))
-             for c in out.columns if c.startswith("probability_")}
+    parts = {c.removeprefix("probability_"): F.col(c) if kind == "double" else F.get(vector_to_array(c), F.lit(1))
+             for c, kind in out.dtypes if c.startswith("probability_")}
     if serve == "ensemble":
         p = sum(parts.values(), F.lit(0.0)) / len(parts)
     else:
@@ -113,6 +113,29 @@ def join_predictions(features: DataFrame, predictions: DataFrame, as_of: Column,
     }).drop("stored_probability", "stored_decision")
 
 
+def scored_by(event_time: Column, wait_s: int, lifetime_s: int) -> Column:
+    """Whether a prediction is alive `wait_s` after an event: scored by then, and not longer ago than its lifetime."""
+    # literal intervals, from which a stream can tell how long a partner may come
+    first, last = (F.expr(f"interval {s} seconds") for s in (wait_s - lifetime_s, wait_s))
+    return (F.col("scored_at") >= event_time + first) & (F.col("scored_at") <= event_time + last)
+
+
+def latest_of_matches(matches: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per `keys` from (keys, stored_probability, scored_at): the latest prediction, 0.0 where none matched."""
+    latest = F.max_by("stored_probability", F.when(F.col("stored_probability").isNotNull(), F.struct("scored_at", "stored_probability")))
+    return matches.groupBy(*keys).agg(latest.alias("found")).select(
+        *keys, F.coalesce("found", F.lit(0.0)).alias("prediction"), F.col("found").isNull().alias("prediction_missing"))
+
+
+def join_predictions_in_time(features: DataFrame, predictions: DataFrame, event_time: Column, keys: list[str], wait_s: int,
+                             lifetime_s: int = 3600) -> DataFrame:
+    """`prediction` and `prediction_missing` for each row as seen `wait_s` after its event time; a replay of a row (equal
+    `keys`) counts once."""
+    store = predictions.select(F.col("transaction_id").alias("scored_id"), F.col("probability").alias("stored_probability"), "scored_at")
+    on = (F.col("transaction_id") == F.col("scored_id")) & scored_by(event_time, wait_s, lifetime_s)
+    return latest_of_matches(features.join(store, on, "left"), keys)
+
+
 def decision_counts(scored: DataFrame) -> DataFrame:
     return scored.groupBy("decision").agg(F.count("*").alias("requests"))
 

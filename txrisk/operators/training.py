@@ -4,17 +4,14 @@ from datetime import datetime, timezone
 import uuid
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from txrisk.operators import boosting
 from txrisk.operators.metrics import quality_metrics
 from txrisk.options import TrainingOptions
 from txrisk.schemas import FEATURE_COLS, MODEL_RUN
-from txrisk.session import ensure_checkpoint_dir
 
-CANDIDATES = ["boosted", "forest"]
+CANDIDATES = ["boosted", "leafwise"]
 METRICS = ["roc_auc", "pr_auc", "f1", "precision", "recall", "brier_score_loss"]
 
 
@@ -70,38 +67,25 @@ def class_weight(train: DataFrame) -> DataFrame:
                      (negatives / F.greatest(positives, F.lit(1))).alias("scale_pos_weight"))
 
 
-def fit_candidates(split: DataFrame, weight: float, opts: TrainingOptions = TrainingOptions()) -> PipelineModel:
-    """One pipeline with both candidates; the boosted one stops early on the validation part."""
-    ensure_checkpoint_dir(split.sparkSession)
-    columns = [F.col(c).cast("double").alias(c) for c in FEATURE_COLS]
+def fit_candidates(split: DataFrame, weight: float, opts: TrainingOptions = TrainingOptions()) -> tuple[PipelineModel, dict[str, list]]:
+    """One pipeline with both candidates, and the average precision of each after every round.
+
+    `boosted` grows all leaves of its depth, `leafwise` the best `leaves` of them. Both stop early on the validation part.
+    """
     used = split.filter(F.col("part") != "test").select(
-        *columns, F.col("label").cast("double").alias("label"),
-        F.when(F.col("label") == 1, float(weight)).otherwise(1.0).alias("weight"),
-        (F.col("part") == "val").alias("is_val"),
-    )
-    assembler = VectorAssembler(inputCols=FEATURE_COLS, outputCol="features")
-    common = dict(featuresCol="features", labelCol="label", weightCol="weight", maxDepth=opts.depth,
-                  subsamplingRate=opts.subsample, featureSubsetStrategy=str(opts.column_sample),
-                  minInstancesPerNode=opts.min_rows_per_leaf, seed=opts.seed, checkpointInterval=10)
-    boosted = GBTClassifier(
-        maxIter=opts.rounds, stepSize=opts.rate, validationIndicatorCol="is_val", validationTol=opts.stale_tolerance, **common)
-    forest = RandomForestClassifier(numTrees=opts.forest_trees, **common)
-    for name, candidate in zip(CANDIDATES, (boosted, forest)):
-        candidate.setProbabilityCol(f"probability_{name}").setRawPredictionCol(f"raw_{name}").setPredictionCol(f"class_{name}")
-    assembled = assembler.transform(used).select("features", "label", "weight", "is_val").persist()
-    try:
-        fitted_boosted = boosted.fit(assembled)
-        fitted_forest = forest.fit(assembled.filter(~F.col("is_val")))
-    finally:
-        assembled.unpersist()
-    return PipelineModel(stages=[assembler, fitted_boosted, fitted_forest])
+        "transaction_id", *FEATURE_COLS, "label", F.when(F.col("label") == 1, float(weight)).otherwise(1.0).alias("weight"),
+        (F.col("part") == "val").alias("is_val"))
+    fitted, staged = [], {}
+    for name, leaves in zip(CANDIDATES, (2 ** opts.depth, opts.leaves)):
+        model, staged[name] = boosting.fit(used, leaves, opts)
+        model.set(model.outputCol, f"probability_{name}")
+        fitted.append(model)
+    return PipelineModel(stages=fitted), staged
 
 
 def candidate_probabilities(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """(transaction_id, label, boosted, forest) of rows scored by a fitted pipeline."""
-    scored = model.transform(rows.withColumns({c: F.col(c).cast("double") for c in FEATURE_COLS}))
-    return scored.select("transaction_id", "label", *[
-        F.get(vector_to_array(f"probability_{c}"), F.lit(1)).alias(c) for c in CANDIDATES])
+    """(transaction_id, label, boosted, leafwise) of rows scored by a fitted pipeline."""
+    return model.transform(rows).select("transaction_id", "label", *[F.col(f"probability_{c}").alias(c) for c in CANDIDATES])
 
 
 def soft_vote(probabilities: DataFrame, candidates: list[str] = CANDIDATES) -> DataFrame:
@@ -149,7 +133,7 @@ def train(features: DataFrame, runs_path: str, models_path: str, opts: TrainingO
         sizes = {r.part: r.n for r in split.groupBy("part").agg(F.count("*").alias("n")).collect()}
         rate = training_stats(labelled).first().fraud_rate
         weight = class_weight(split.filter("part = 'train'")).first().scale_pos_weight
-        model = fit_candidates(split, weight, opts)
+        model, staged = fit_candidates(split, weight, opts)
         voted = soft_vote(candidate_probabilities(model, split.filter("part = 'test'")))
         results = {r.candidate: r for r in evaluate_candidates(voted).collect()}
     finally:
@@ -158,6 +142,7 @@ def train(features: DataFrame, runs_path: str, models_path: str, opts: TrainingO
     model_path = f"{models_path}/{run_id}"
     model.save(model_path)
     metrics = {f"{c}_{m}": r[m] for c, r in results.items() for m in METRICS}
+    metrics |= {f"{c}_rounds": float(stage.trees()) for c, stage in zip(CANDIDATES, model.stages)}
     record = (opts.model_name, run_id, datetime.now(timezone.utc), model_path, opts.serve, metrics[f"{opts.serve}_pr_auc"],
               sizes.get("train", 0), sizes.get("val", 0), sizes.get("test", 0), rate, weight, FEATURE_COLS, metrics)
     spark.createDataFrame([record], MODEL_RUN).write.mode("append").parquet(runs_path)

@@ -42,8 +42,11 @@ class TrainingOptions:
     subsample: float = 0.8
     column_sample: float = 0.8
     min_rows_per_leaf: int = 10
-    stale_tolerance: float = 0.0
-    forest_trees: int = 200
+    ridge: float = 1.0
+    bins: int = 64
+    leaves: int = 31
+    patience: int = 50
+    chunk: int = 10
     serve: str = "ensemble"
     model_name: str = "fraud-detector"
 

@@ -5,8 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from txrisk.functions import scalar as S
-from txrisk.operators import drift, features, ingest, metrics, scoring, training
-from txrisk.options import FeatureOptions
+from txrisk.operators import boosting, drift, features, ingest, metrics, scoring, sketches, training
+from txrisk.options import FeatureOptions, TrainingOptions
 from txrisk.schemas import FEATURE_COLS, FEATURE_VECTOR
 from txrisk.sources import adapters as A
 
@@ -76,7 +76,7 @@ stats AS (
 RATES_SQL = """
 rates AS (
   SELECT merchant_id, CAST(sum(label) AS DOUBLE) / count(*) AS fraud_rate FROM tx
-  WHERE k % 2 = 0 AND ts_us < 1705363200000000 AND ts_us >= 1705363200000000 - 30 * 86400000000 GROUP BY 1)
+  WHERE ts_us < 1705363200000000 AND ts_us >= 1705363200000000 - 30 * 86400000000 GROUP BY 1)
 """
 
 FEATURES_SQL = f"""
@@ -364,18 +364,18 @@ def _scored(spark, sf):
         F.col("event_id").cast("string").alias("transaction_id"),
         ((F.col("event_type") == "error") & (F.col("value") >= 50)).cast("int").alias("label"),
         (F.col("event_id") * 37 % 1000 / 1000).alias("boosted"),
-        (F.col("value") / (F.col("value") + 50)).alias("forest"),
+        (F.col("value") / (F.col("value") + 50)).alias("leafwise"),
     )
 
 
 VOTE_SQL = """
 voted AS (
   SELECT CAST(event_id AS VARCHAR) AS transaction_id, CAST(event_type = 'error' AND value >= 50 AS INTEGER) AS label,
-         (event_id * 37 % 1000) / 1000.0::DOUBLE AS boosted, value / (value + 50) AS forest,
+         (event_id * 37 % 1000) / 1000.0::DOUBLE AS boosted, value / (value + 50) AS leafwise,
          ((event_id * 37 % 1000) / 1000.0::DOUBLE + value / (value + 50)) / 2 AS ensemble FROM events),
 long AS (
   SELECT 'boosted' AS candidate, label, boosted AS p FROM voted
-  UNION ALL SELECT 'forest', label, forest FROM voted
+  UNION ALL SELECT 'leafwise', label, leafwise FROM voted
   UNION ALL SELECT 'ensemble', label, ensemble FROM voted)
 """
 
@@ -812,3 +812,100 @@ def baseline_quality(spark, sf):
     both = [drift.baseline_with_prediction(f.drop("prediction")).withColumn("frame", F.lit(n)) for n, f in (("reference", ref), ("current", cur))]
     out = both[0].unionByName(both[1]).groupBy("frame").agg(F.count("*").alias("rows"), F.avg("prediction").alias("prediction"))
     return _rounded(out, "prediction")
+
+
+# --- sketches, boosting and staged scores --------------------------------------------------------
+
+@query(f"""WITH {TX}, sliced AS (SELECT *, ts_us // 3600000000 AS hour_slice, ts_us // 86400000000 AS day_slice FROM tx)
+    SELECT a.transaction_id, CAST(count(DISTINCT CASE WHEN b.hour_slice > a.hour_slice - 24 THEN b.merchant_id END) AS INTEGER) AS unique_merchants_24h,
+           CAST(count(DISTINCT b.country) AS INTEGER) AS unique_countries_7d
+    FROM sliced a JOIN sliced b ON a.user_id = b.user_id AND b.day_slice > a.day_slice - 7 AND (b.ts_us, b.transaction_id) <= (a.ts_us, a.transaction_id)
+    GROUP BY 1""")
+def distinct_hll(spark, sf):
+    """Merged sketches per hour and day; below 400 members a sketch's estimate is the exact count."""
+    return features.distinct_features(_tx(spark, sf), FeatureOptions(distinct_mode="hll")).select(
+        "transaction_id", "unique_merchants_24h", "unique_countries_7d")
+
+
+@query("""SELECT event_type AS endpoint, quantile, count(*) AS observations, true AS within_bound
+    FROM events, (SELECT unnest(['p50', 'p95', 'p99', 'p99_9']) AS quantile) GROUP BY 1, 2""")
+def latency_sketch_errors(spark, sf):
+    """Sketches per endpoint and day, merged over the days, against the true ranks of their quantiles."""
+    e = A.read_events(spark, sf)
+    log = A.request_log(e).join(e.select(F.col("event_id").alias("request_id"), F.to_date("ts").alias("day")), "request_id")
+    merged = sketches.merged_sketches(sketches.latency_sketches(log, ["endpoint"], F.col("day")), ["endpoint"])
+    found = sketches.quantile_errors(log, merged, ["endpoint"])
+    return found.select("endpoint", "quantile", "observations", (F.col("rank_error") <= sketches.RANK_ERROR).alias("within_bound"))
+
+
+@query(f"SELECT {SUMMARY_SQL}")
+def latency_report(spark, sf):
+    """The summary written as JSON and read again."""
+    summary = metrics.latency_summary(A.request_log(A.read_events(spark, sf)), [])
+    return metrics.summary_json(summary).select(F.from_json("value", summary.schema).alias("v")).select("v.*")
+
+
+STAGED_SQL = """
+staged AS (
+  SELECT CAST(round AS INTEGER) AS round, CAST(event_type = 'error' AND value >= 50 AS INTEGER) AS label,
+         (event_id * (37 + (round % 4) * 2) % 1009) / 1009.0::DOUBLE AS p FROM events, range(1, 9) t(round))
+"""
+
+
+@query(f"""WITH {STAGED_SQL}, precision_of AS ({quality_sql("staged", "round").replace("per_score AS", "WITH per_score AS", 1)}),
+    best AS (
+      SELECT round, pr_auc, -(max({{'a': pr_auc, 'b': -round}}) OVER (ORDER BY round)).b AS best_round FROM precision_of)
+    SELECT round, pr_auc, best_round, round - best_round AS stale, max(round - best_round >= 3) OVER (ORDER BY round) AS stopped FROM best""")
+def early_stopping(spark, sf):
+    """Average precision after each of eight rounds of staged scores, and when three stale rounds end a fit."""
+    e = A.read_events(spark, sf)
+    label = ((F.col("event_type") == "error") & (F.col("value") >= 50)).cast("int")
+    staged = e.select(label.alias("label"), "event_id", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("round")).withColumn(
+        "probability", F.col("event_id") * (37 + F.col("round") % 4 * 2) % 1009 / 1009)
+    rounded = _rounded(boosting.staged_precision(staged), "pr_auc")
+    return boosting.with_staleness(rounded, 3).select("round", "pr_auc", "best_round", "stale", "stopped")
+
+
+SPLIT_FEATURES = ["amount", "hour_of_day", "k"]
+
+_GAIN = """round((gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1)) / 2, 6)"""
+
+
+def _level_sql(level: str, rows: str) -> str:
+    """Best cut per node of (node, f, bin, g, h) rows: ties go to the first feature, then to the lowest bin."""
+    return f"""
+{level}_hist AS (SELECT node, f, bin, sum(g) / 1048576 AS g, sum(h) / 1048576 AS h FROM {rows} GROUP BY 1, 2, 3),
+{level}_cuts AS (
+  SELECT node, f, bin, sum(g) OVER u AS gl, sum(h) OVER u AS hl, sum(g) OVER w AS g, sum(h) OVER w AS h FROM {level}_hist
+  WINDOW w AS (PARTITION BY node, f), u AS (PARTITION BY node, f ORDER BY bin)),
+{level} AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, bin) AS place FROM (
+    SELECT node, f, bin, {_GAIN} AS gain FROM {level}_cuts WHERE hl >= 10 AND h - hl >= 10) WHERE gain > 0) WHERE place = 1)"""
+
+
+@query(f"""WITH {TX}, base AS (SELECT avg(label::DOUBLE) AS p FROM tx),
+    long AS (
+      SELECT event_id, label, 0 AS f, amount::DOUBLE AS v FROM tx UNION ALL SELECT event_id, label, 1, hour(ts)::DOUBLE FROM tx
+      UNION ALL SELECT event_id, label, 2, k::DOUBLE FROM tx),
+    steps AS (
+      SELECT f, v, n, CAST(sum(n) OVER (PARTITION BY f ORDER BY v) AS BIGINT) AS upto, CAST(sum(n) OVER (PARTITION BY f) AS BIGINT) AS total
+      FROM (SELECT f, v, count(*) AS n FROM long GROUP BY 1, 2)),
+    edges AS (
+      SELECT f, v, row_number() OVER (PARTITION BY f ORDER BY v) - 1 AS bin FROM steps
+      WHERE upto * 16 // total > (upto - n) * 16 // total AND upto < total),
+    counted AS (
+      SELECT l.event_id, l.f, l.label, (SELECT count(*) FROM edges e WHERE e.f = l.f AND e.v < l.v) AS bin FROM long l),
+    root_rows AS (
+      SELECT 0 AS node, event_id, f, bin, round((p - label) * 1048576) AS g, round(p * (1 - p) * 1048576) AS h FROM counted, base),
+    {_level_sql("root", "root_rows")},
+    sides AS (SELECT r.event_id, 1 + CAST(r.bin > t.bin AS INTEGER) AS node FROM root_rows r JOIN root t ON r.f = t.f),
+    child_rows AS (SELECT s.node, r.f, r.bin, r.g, r.h FROM root_rows r JOIN sides s USING (event_id)),
+    {_level_sql("children", "child_rows")}
+    SELECT CAST(node AS INTEGER) AS node, ['amount', 'hour_of_day', 'k'][f + 1] AS feature, round(e.v, 6) AS threshold, gain
+    FROM (SELECT node, f, bin, gain FROM root UNION ALL SELECT node, f, bin, gain FROM children) JOIN edges e USING (f, bin)""")
+def boosted_splits(spark, sf):
+    """The first tree of a fit, two levels deep."""
+    tx = features.with_calendar(_tx(spark, sf)).withColumn("k", F.regexp_extract("merchant_id", r"(\d+)$", 1).cast("double"))
+    rows = tx.withColumns({"weight": F.lit(1.0), "is_val": F.lit(False)})
+    opts = TrainingOptions(depth=2, bins=16, subsample=1.0, column_sample=1.0, rounds=1, leaves=4)
+    return boosting.first_splits(rows, SPLIT_FEATURES, opts)

@@ -65,9 +65,8 @@ def raw_messages(events: DataFrame) -> DataFrame:
 
 
 def known_merchant_rates(tx: DataFrame) -> DataFrame:
-    """A rate table of merchants with an even number, as of RATES_UNTIL_US; the others take the lookup's default."""
-    rates = merchant_rates(tx, until_us=RATES_UNTIL_US)
-    return rates.filter(F.regexp_extract("merchant_id", r"(\d+)$", 1).cast("int") % 2 == 0)
+    """The rates as of RATES_UNTIL_US; merchants without a transaction in the 30 days before take the lookup's default."""
+    return merchant_rates(tx, until_us=RATES_UNTIL_US)
 
 
 def predictions(events: DataFrame) -> DataFrame:

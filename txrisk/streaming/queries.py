@@ -8,10 +8,12 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from txrisk.operators import drift, features, ingest, scoring
-from txrisk.options import FeatureOptions, MonitorOptions, ScoringOptions, StreamOptions
+from txrisk.operators import features, ingest, scoring
+from txrisk.options import US, FeatureOptions, MonitorOptions, ScoringOptions, StreamOptions
 from txrisk.schemas import FEATURE_VECTOR, PREDICTION
 from txrisk.sources.tables import topic_sink, write_batch
+from txrisk.streaming import reports
+from txrisk.streaming.batches import fixed_instant
 from txrisk.streaming.history import history_stream
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -85,11 +87,12 @@ def write_predictions(vectors: DataFrame, runs_path: str, model_name: str, path:
 
     The champion is looked up for every micro-batch. Without one the batch fails and is tried again,
     as does a batch whose predictions cannot be stored. Rows that cannot be scored go to `<path>_rejects` with their
-    reason, so rows in = predictions + rejects. All predictions of a batch have one instant, and lie in the folder of its hour.
+    reason, so rows in = predictions + rejects. All predictions of a batch have one instant, that of
+    its first try, and lie in the folder of its hour, so a try in a later hour replaces them.
     """
     def score_batch(batch: DataFrame, batch_id: int) -> None:
         model, version, serve = scoring.load_champion(batch.sparkSession, runs_path, model_name)
-        instant = datetime.now(timezone.utc)
+        instant = fixed_instant(batch.sparkSession, f"{path}_batches", batch_id)
         checked = scoring.with_reject_reason(batch).persist()
         try:
             scored = scoring.score(scoring.valid_rows(checked), model, version, opts, serve)
@@ -116,32 +119,16 @@ def read_predictions(spark: SparkSession, path: str, as_of: datetime | None = No
 
 def write_reports(vectors: DataFrame, baseline: DataFrame, predictions_path: str, reports_path: str, checkpoint: str,
                   opts: MonitorOptions = MonitorOptions(), lifetime_s: int = ScoringOptions.prediction_lifetime_s, **trigger) -> StreamingQuery:
-    """One report per micro-batch of feature rows: drift, quality of the predictions and of the data.
+    """Feature rows into the report queue, and after each micro-batch the reports that are then due.
 
-    Tables: drift_reports (one row per report), drift_columns, classification_quality, data_quality.
+    A queue that must be looked at while no rows arrive takes `reports.buffer_feature_messages` and `reports.report_clock`.
     """
+    reports.store_baseline(baseline, reports_path)
+
     def report(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        instant = datetime.now(timezone.utc)
-        now = F.lit(instant)
-        joined = scoring.join_predictions(batch, read_predictions(spark, predictions_path, instant, lifetime_s), now, lifetime_s).persist()
-        try:
-            size = joined.agg(F.count("*").alias("rows"),
-                              F.sum(F.col("prediction_missing").cast("bigint")).alias("missing")).first()
-            if size.rows == 0:
-                return
-            columns = drift.drift_columns(baseline, joined)
-            write_batch(columns, f"{reports_path}/drift_columns", batch_id)
-            verdict = drift.dataset_drift(spark.read.parquet(f"{reports_path}/drift_columns/batch_id={batch_id}"), opts.drift_share)
-            write_batch(verdict.select(now.alias("reported_at"), F.lit(size.rows).alias("buffer_size"),
-                                       F.lit(size.missing).alias("prediction_misses"), "*"),
-                        f"{reports_path}/drift_reports", batch_id)
-            write_batch(drift.classification_quality(baseline, joined), f"{reports_path}/classification_quality", batch_id)
-            frames = baseline.select(F.lit("reference").alias("frame"), *drift.NUMERICAL_FEATURES, *drift.CATEGORICAL_FEATURES).unionByName(
-                joined.select(F.lit("current").alias("frame"), *drift.NUMERICAL_FEATURES, *drift.CATEGORICAL_FEATURES))
-            write_batch(drift.data_quality(frames, ["frame"]), f"{reports_path}/data_quality", batch_id)
-        finally:
-            joined.unpersist()
+        spark, now = batch.sparkSession, datetime.now(timezone.utc)
+        reports.append_features(batch, batch_id, reports_path)
+        reports.write_due_reports(spark, reports_path, read_predictions(spark, predictions_path, now, lifetime_s), now, opts, lifetime_s)
 
     return (
         vectors.writeStream.foreachBatch(report).option("checkpointLocation", checkpoint)
@@ -149,6 +136,26 @@ def write_reports(vectors: DataFrame, baseline: DataFrame, predictions_path: str
     )
 
 
+def match_predictions(vectors: DataFrame, predictions: DataFrame, wait_s: int, lifetime_s: int = ScoringOptions.prediction_lifetime_s,
+                      late: str = "10 minutes") -> DataFrame:
+    """Feature rows of a stream with the predictions of another one that are alive `wait_s` after the event, one row each;
+    without any once no such prediction can come. (transaction_id, user_id, event_time, label, stored_probability, scored_at)
+
+    Both sides are kept for as long as a partner may come: the lifetime, the wait and `late`. `scoring.latest_of_matches` then
+    leaves one row per transaction.
+    """
+    rows = vectors.select("transaction_id", "user_id", F.timestamp_micros(F.floor(F.col("timestamp") * US).cast("bigint")).alias("event_time"), "label")
+    store = predictions.select(F.col("transaction_id").alias("scored_id"), F.col("probability").alias("stored_probability"), "scored_at")
+    rows, store = rows.withWatermark("event_time", late), store.withWatermark("scored_at", late)
+    on = (F.col("transaction_id") == F.col("scored_id")) & scoring.scored_by(F.col("event_time"), wait_s, lifetime_s)
+    return rows.join(store, on, "left_outer").drop("scored_id")
+
+
+def read_prediction_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
+    """The stored predictions as a stream."""
+    return spark.readStream.schema(PREDICTION).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").parquet(path)
+
+
 def usable_events(raw: DataFrame) -> DataFrame:
     """Feature events of a topic without the corrupt ones, which are counted and dropped."""
     parsed = ingest.parse_feature_events(raw).observe(
