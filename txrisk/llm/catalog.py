@@ -120,7 +120,7 @@ goals AS (
 budgets AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(floor(target + 0.5) / source_size) AS BIGINT) ELSE 0 END AS epochs, CAST(floor(target + 0.5) AS BIGINT) AS budget FROM goals),
 ordered AS (
-  SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY name ORDER BY key, doc_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ahead FROM sized)
+  SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY name ORDER BY key, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ahead FROM sized)
 SELECT doc_id, size, source_size, target,
        CAST(epochs * size + greatest(0, least(size, budget - epochs * source_size - ahead)) AS BIGINT) AS taken
 FROM ordered JOIN budgets USING (name)

@@ -38,7 +38,7 @@ def sizes(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size) with the hash key of each document, read from the texts once."""
     return checkpointed(_keyed(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        size_of(F.col("text").cast("string")).alias("size"))))
+        size_of(F.col("text").cast("string")).alias("size"), F.xxhash64(F.col("text").cast("string")).alias("content"))))
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -70,34 +70,51 @@ def targets(sized: DataFrame) -> DataFrame:
 
 
 def cuts(sized: DataFrame) -> DataFrame:
-    """`targets` with the document at which each source's last epoch ends: cut_key, cut_id and cut_words."""
+    """`targets` with the row at which each source's last epoch ends (`cut`), its equal rows (`copies`), how many of them are
+    taken whole before it, and the words it gives."""
     goals = targets(sized)
     in_order = Window.partitionBy("name").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     slices = sized.groupBy("name", "place").agg(F.sum("size").alias("words")).withColumn(
         "before", F.coalesce(F.sum("words").over(in_order), F.lit(0)))
     ends = slices.join(goals.select("name", "rest"), "name").filter("rest > before and rest <= before + words").select(
         "name", "place", F.col("before").alias("ahead"), "rest")
-    by_key = Window.partitionBy("name", "place").orderBy("key", F.asc_nulls_first("doc_id")).rowsBetween(Window.unboundedPreceding, -1)
+    # rows that share an id, a size and a text are one step of the order
+    steps = sized.join(ends, ["name", "place"]).groupBy("name", "place", "rest", "ahead", "size", _order().alias("cut")).agg(F.count("*").alias("copies"))
+    by_key = Window.partitionBy("name", "place").orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
+    words = F.col("size") * F.col("copies")
     found = (
-        sized.join(ends, ["name", "place"])
-        .withColumn("ahead", F.col("ahead") + F.coalesce(F.sum("size").over(by_key), F.lit(0)))
-        .filter("rest > ahead and rest <= ahead + size")
-        .select("name", F.col("key").alias("cut_key"), F.col("doc_id").alias("cut_id"), (F.col("rest") - F.col("ahead")).alias("cut_words"))
+        steps.withColumn("ahead", F.col("ahead") + F.coalesce(F.sum(words).over(by_key), F.lit(0)))
+        .filter((F.col("rest") > F.col("ahead")) & (F.col("rest") <= F.col("ahead") + words))
+        .withColumn("whole", F.ceil((F.col("rest") - F.col("ahead")) / F.col("size")) - 1)
+        .select("name", "cut", "copies", "whole", (F.col("rest") - F.col("ahead") - F.col("whole") * F.col("size")).alias("cut_words"))
     )
-    return goals.join(found, "name", "left")
+    return checkpointed(goals.join(found, "name", "left"))
+
+
+def _order() -> Column:
+    """The order of a source's rows: by hash key, then by doc_id (nulls first), size and text."""
+    return F.struct("key", F.col("doc_id").isNotNull().alias("named"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), "size", "content")
 
 
 def _with_cuts(rows: DataFrame, ends: DataFrame) -> DataFrame:
-    """Rows with the cut of their source. Every source is dealt over SALTS parts by hash key, the hot one too."""
+    """Rows with the cut of their source and `copy`, their number among the equal rows at the cut, else 0. Every source is
+    dealt over SALTS parts by hash key, the hot one too; only equal rows at a cut are numbered together."""
     salted = ends.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("part", F.pmod("key", F.lit(SALTS)).cast("int")).join(salted, ["name", "part"]).drop("part")
+    joined = rows.withColumn("part", F.pmod("key", F.lit(SALTS)).cast("int")).join(salted, ["name", "part"]).drop("part")
+    if ends.filter("copies > 1").isEmpty():
+        return joined.withColumn("copy", F.lit(0))
+    several = F.coalesce((F.col("copies") > 1) & (_order() == F.col("cut")), F.lit(False))
+    numbered = joined.filter(several).withColumn("copy", F.row_number().over(Window.partitionBy("name").orderBy("key")) - 1)
+    return joined.filter(~several).withColumn("copy", F.lit(0)).unionByName(numbered)
 
 
 def _taken() -> Column:
     """Words that the mix takes of a document joined with its source's cut."""
-    earlier = (F.col("key") < F.col("cut_key")) | ((F.col("key") == F.col("cut_key")) & F.coalesce(F.col("doc_id") < F.col("cut_id"), F.col("doc_id").isNull() & F.col("cut_id").isNotNull()))
-    at = (F.col("key") == F.col("cut_key")) & F.col("doc_id").eqNullSafe(F.col("cut_id"))
-    extra = F.when(F.coalesce(earlier, F.lit(False)), F.col("size")).when(F.coalesce(at, F.lit(False)), F.col("cut_words")).otherwise(F.lit(0))
+    extra = (
+        F.when(F.col("cut").isNull(), 0)
+        .when((_order() < F.col("cut")) | ((_order() == F.col("cut")) & (F.col("copy") < F.col("whole"))), F.col("size"))
+        .when((_order() == F.col("cut")) & (F.col("copy") == F.col("whole")), F.col("cut_words"))
+        .otherwise(0))
     return F.col("epochs") * F.col("size") + extra
 
 
@@ -105,7 +122,7 @@ def mixture(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for each document.
 
     A null text has size 0, a null source is a source of its own, the last one. Documents without words take
-    nothing. Repeated rows are separate documents; where the cut falls on one, its repeats take the same part.
+    nothing. Repeated rows and rows that share an id are separate documents; equal rows at a cut are numbered in one task.
     """
     sized = sizes(docs)
     return _with_cuts(sized, cuts(sized)).select("doc_id", "size", "source_size", "target", _taken().alias("taken"))
@@ -116,7 +133,8 @@ def mixed(docs: DataFrame) -> DataFrame:
     cut shortened to its words there (`n_chars` follows). Documents without words stay once."""
     sized = sizes(docs)
     work = _keyed(docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
-                              F.col("source").cast("string").alias("source"), size_of(F.col("text").cast("string")).alias("size")))
+                              F.col("source").cast("string").alias("source"), size_of(F.col("text").cast("string")).alias("size"),
+                              F.xxhash64(F.col("text").cast("string")).alias("content")))
     taken = _with_cuts(work, cuts(sized)).withColumn("taken", _taken())
     part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(F.lit(0))
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(1)).cast("int")
