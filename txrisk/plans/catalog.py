@@ -8,7 +8,9 @@ from txrisk.functions import scalar as S
 from txrisk.operators import boosting, drift, features, ingest, metrics, scoring, sketches, training
 from txrisk.options import FeatureOptions, TrainingOptions
 from txrisk.schemas import FEATURE_COLS, FEATURE_VECTOR
-from txrisk.sources import adapters as A
+from txrisk.session import shared_folder
+from txrisk.sources import adapters as A, tables
+from txrisk.streaming import queries as live, reports, routing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -909,3 +911,76 @@ def boosted_splits(spark, sf):
     rows = tx.withColumns({"weight": F.lit(1.0), "is_val": F.lit(False)})
     opts = TrainingOptions(depth=2, bins=16, subsample=1.0, column_sample=1.0, rounds=1, leaves=4)
     return boosting.first_splits(rows, SPLIT_FEATURES, opts)
+
+
+# --- live queries over the events as files, run to their end ------------------------------------
+
+def _messages(spark, sf) -> tuple[SparkSession, str]:
+    """The raw messages as a folder of files, and a session of its own for the settings of a stream."""
+    own = spark.newSession()
+    live.use_rocksdb(own)
+    folder = shared_folder(own, "live")
+    A.raw_messages(A.read_events(own, sf)).repartitionByRange(4, "offset").write.parquet(f"{folder}/messages")
+    return own, folder
+
+
+def _routed(spark, sf, table: str) -> DataFrame:
+    own, folder = _messages(spark, sf)
+    routing.route_messages(tables.message_stream(own, f"{folder}/messages"), f"{folder}/routed", f"{folder}/checkpoint").awaitTermination()
+    return routing.read_routed(own, f"{folder}/routed", table)
+
+
+@query(SQL["parse_ok"])
+def routed_transactions(spark, sf):
+    """The good rows that a routing stream has published."""
+    return _routed(spark, sf, "good").drop("device_fingerprint")
+
+
+@query(SQL["dead_letters"])
+def routed_dead_letters(spark, sf):
+    return _routed(spark, sf, "dead_letters").select("error", "message_key", "offset", "partition", "source_topic", "stage")
+
+
+@query(f"""WITH {TX}, {STAGE_SQL}, {SESSIONS_SQL.replace("FROM tx)", "FROM staged WHERE stage IS NULL)", 1)}, {DISTINCT_SQL}, {MOMENTS_SQL}
+    SELECT t.transaction_id, CAST(count(*) OVER h AS INTEGER) AS tx_count_1h, CAST(count(*) OVER d AS INTEGER) AS tx_count_24h,
+           CAST(sum(cents) OVER d / 100.0 AS DOUBLE) AS tx_sum_24h, CAST(unique_merchants_24h AS INTEGER) AS unique_merchants_24h,
+           CAST(unique_countries_7d AS INTEGER) AS unique_countries_7d, round(z, 6) AS amount_zscore, round(chargeback, 6) AS user_chargeback_rate
+    FROM staged t JOIN distinct_ttl USING (transaction_id) JOIN stats USING (transaction_id) WHERE stage IS NULL
+    WINDOW h AS (PARTITION BY user_id ORDER BY ts_us RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW),
+           d AS (PARTITION BY user_id ORDER BY ts_us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW)""")
+def stream_features(spark, sf):
+    """The feature stream's output table, taken in order of time as messages of a user arrive."""
+    own, folder = _messages(spark, sf)
+    stream = live.feature_stream(tables.message_stream(own, f"{folder}/messages", 4), order=("ts_us", "transaction_id"))
+    live.write_features(stream, f"{folder}/features", f"{folder}/checkpoint").awaitTermination()
+    out = own.read.parquet(f"{folder}/features")
+    return _rounded(out.select("transaction_id", "tx_count_1h", "tx_count_24h", "tx_sum_24h", "unique_merchants_24h", "unique_countries_7d",
+                               "amount_zscore", "user_chargeback_rate"), "amount_zscore", "user_chargeback_rate")
+
+
+@query(SQL["report_slices"])
+def queued_slices(spark, sf):
+    """Feature rows that came in three micro-batches, by the report that their place in the queue puts them in."""
+    folder = shared_folder(spark, "queue")
+    rows = _with_missing_features(_tx(spark, sf)).select(*FEATURE_VECTOR.names)
+    days = [1_704_067_200 + 86_400 * d for d in (0, 8, 20, 400)]
+    for batch_id, (first, last) in enumerate(zip(days, days[1:])):
+        reports.append_features(rows.filter((F.col("timestamp") >= first) & (F.col("timestamp") < last)), batch_id, folder)
+    return reports.queued(spark, folder).select("transaction_id", F.floor(F.col("place") / 2000).alias("report_id"))
+
+
+@query(f"""WITH {TX}, {SPLIT_SQL}
+    SELECT 'fraud-detector' AS model_name, count(*) FILTER (WHERE part = 'train') AS train_size, count(*) FILTER (WHERE part = 'val') AS val_size,
+           count(*) FILTER (WHERE part = 'test') AS test_size, round(avg(label), 6) AS fraud_rate,
+           round((count(*) FILTER (WHERE part = 'train' AND label = 0))::DOUBLE / greatest(count(*) FILTER (WHERE part = 'train' AND label = 1), 1), 6) AS scale_pos_weight,
+           true AS metrics_in_range, true AS champion FROM split""")
+def run_record(spark, sf):
+    """The stored record of a training run of one round, and whether it is the champion that a scorer loads."""
+    folder = shared_folder(spark, "runs")
+    tx = _tx(spark, sf)
+    training.train(features.feature_vector(tx), f"{folder}/runs", f"{folder}/models", TrainingOptions(rounds=1, depth=2, leaves=3, chunk=1))
+    _, version, _ = scoring.load_champion(spark, f"{folder}/runs", "fraud-detector")
+    run = training.read_runs(spark, f"{folder}/runs")
+    in_range = F.forall(F.map_values(F.map_filter("metrics", lambda k, v: ~k.endswith("_rounds"))), lambda v: v.between(0, 1))
+    return _rounded(run.select("model_name", "train_size", "val_size", "test_size", "fraud_rate", "scale_pos_weight",
+                               in_range.alias("metrics_in_range"), (F.col("run_id") == version).alias("champion")), "fraud_rate", "scale_pos_weight")

@@ -1,6 +1,7 @@
 """Session helpers shared by the jobs, the bench and the tests."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,3 +38,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Fix a small intermediate table so that every later use sees the same rows."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, which all executors see."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
