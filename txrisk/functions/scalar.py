@@ -69,4 +69,6 @@ def value_slice(value: Column, bits: int = 14) -> Column:
     size = F.abs(value)
     exponent = F.floor(F.log2(size)).cast("bigint")
     place = (exponent + 1100) * int(step) + F.floor(size / F.pow(F.lit(2.0), exponent) * step).cast("bigint")
+    # infinities lie beyond all other buckets
+    place = F.when(size == float("inf"), F.lit(1 << 40)).otherwise(place)
     return F.when(value == 0, F.lit(0).cast("bigint")).when(value > 0, place).otherwise(-place)

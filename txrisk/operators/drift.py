@@ -94,7 +94,8 @@ def numeric_distances(baseline: DataFrame | Profile, current: DataFrame | Profil
     Each frame may be given as its profile. Distances are NULL where a frame has no value.
     """
     hist = _histogram(baseline, current, columns, "double").withColumn("sum_ref", F.coalesce(F.col("n_ref") * F.col("value"), F.lit(0.0)))
-    run = running_totals(hist, ["column"], "value", ["n_ref", "n_cur", "sum_ref"])
+    # what was left out runs along, so that both uses of the histogram ask for the same columns and share one scan
+    run = running_totals(hist, ["column"], "value", ["n_ref", "n_cur", "sum_ref", "left_ref", "left_cur"])
     n_ref, n_cur = (F.nullif(F.col(f"{n}_total"), F.lit(0)) for n in ("n_ref", "n_cur"))
     below = F.abs((F.col("n_ref_upto") - F.col("n_ref")) / n_ref - (F.col("n_cur_upto") - F.col("n_cur")) / n_cur)
     off = F.col("value") - F.col("sum_ref_total") / n_ref
@@ -102,7 +103,7 @@ def numeric_distances(baseline: DataFrame | Profile, current: DataFrame | Profil
     is_first = F.col("value").isNotNull() & F.col("prev_value").isNull()
     agg = run.groupBy("column").agg(
         F.max("n_ref_total").alias("n_ref"), F.max("n_cur_total").alias("n_cur"),
-        F.sum("left_ref").alias("left_ref"), F.sum("left_cur").alias("left_cur"),
+        F.max("left_ref_upto").alias("left_ref"), F.max("left_cur_upto").alias("left_cur"),
         F.count("value").alias("n_values"),
         F.sum(F.coalesce(below * (F.col("value") - F.col("prev_value")), F.lit(0.0))).alias("w"),
         F.sqrt(F.sum(F.col("n_ref") * off * off) / F.max(n_ref)).alias("std"),
