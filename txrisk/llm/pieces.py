@@ -37,7 +37,9 @@ FAN_IN = 64
 #: Lanes of one dynamic program: lane characters held at once.
 LANE_CELLS = 1 << 19
 #: Characters that are encoded at once.
-RUN_CHARS = 1 << 22
+RUN_CHARS = 1 << 21
+#: Characters whose borders or hashes are found at once.
+BLOCK_CHARS = 1 << 17
 
 
 class Vocabulary:
@@ -198,8 +200,9 @@ class Solver:
     def borders(self, points: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Whether each character begins a stretch because no piece has it behind the one before."""
         out = np.ones(len(codes), bool)
-        if len(codes) > 1:
-            out[1:] = ~self.v.pairs[codes[:-1], codes[1:]]
+        for lo in range(1, len(codes), BLOCK_CHARS):
+            hi = min(lo + BLOCK_CHARS, len(codes))
+            out[lo:hi] = ~self.v.pairs[codes[lo - 1:hi - 1], codes[lo:hi]]
         return out
 
     def solve(self, points: np.ndarray, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, pieces: bool = True):
@@ -223,14 +226,22 @@ class Solver:
             lo = hi
         return weights[which], np.concatenate(found), lengths, which
 
-    def stretch_hash(self, points, starts, sizes):
-        place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    def stretch_hash(self, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """A hash of each stretch's characters; a block of stretches at a time, as its arrays are wider than the text."""
         longest = int(sizes.max())
         if longest > len(_POWERS[0]):
             _POWERS[0] = np.cumprod(np.full(longest, self.v.odd), dtype=U64)
-        own = points[np.repeat(starts, sizes) + place].astype(U64) + U64(1)
-        heads = (np.cumsum(sizes) - sizes)
-        return T.mix(np.add.reduceat(_POWERS[0][place] * own, heads) + sizes.astype(U64))
+        out, ends, lo = np.zeros(len(sizes), U64), np.cumsum(sizes), 0
+        while lo < len(sizes):
+            before = int(ends[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, before + BLOCK_CHARS, "right")))
+            heads, n = ends[lo:hi] - sizes[lo:hi] - before, sizes[lo:hi]
+            place = np.arange(int(n.sum())) - np.repeat(heads, n)
+            own = points[np.repeat(starts[lo:hi], n) + place].astype(U64) + U64(1)
+            own *= _POWERS[0][place]
+            out[lo:hi] = T.mix(np.add.reduceat(own, heads) + n.astype(U64))
+            lo = hi
+        return out
 
 
 _POWERS = [np.cumprod(np.full(64, U64(0x9E3779B97F4A7C15)), dtype=U64)]
@@ -368,7 +379,7 @@ def _backtrace(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model.value)
         solver = Solver(v)
-        for batch in batches:
+        for batch in T.slices(batches, column="body"):
             c = {n: batch.column(n).to_pylist() for n in ("head", "tail", "lead", "i", "j", "body")}
             parts = []
             for head, tail, lead, i, j in zip(*[c[n] for n in ("head", "tail", "lead", "i", "j")]):
@@ -435,11 +446,16 @@ def _grouped(df: DataFrame) -> DataFrame:
 def _decoded(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model.value)
-        for batch in batches:
-            ids = batch.column("ids")
-            off, flat, valid = np.concatenate(([0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy()))), ids.flatten().to_numpy(), ids.is_valid().to_pylist()
-            texts = [decode_ids(v, flat[off[k]:off[k + 1]]) if valid[k] else None for k in range(len(ids))]
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in batch.schema.names] + [pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
+        for whole in batches:
+            ends, lo = np.cumsum(whole.column("ids").value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+            while lo < whole.num_rows:  # about RUN_CHARS ids, or one row
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + RUN_CHARS, "right")))
+                batch = whole.slice(lo, hi - lo)
+                ids = batch.column("ids")
+                off, flat, valid = ends[lo:hi] - (ends[lo - 1] if lo else 0), ids.flatten().to_numpy(), ids.is_valid().to_pylist()
+                texts = [decode_ids(v, flat[off[k - 1] if k else 0:off[k]]) if valid[k] else None for k in range(hi - lo)]
+                yield pa.RecordBatch.from_arrays([batch.column(n) for n in batch.schema.names] + [pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
+                lo = hi
     return run
 
 
