@@ -21,6 +21,8 @@ from txrisk.session import checkpointed
 U64 = np.uint64
 #: Expected nodes of a block of a bucket; a task compares two blocks.
 BLOCK = 512
+#: Rows of a bucket that is compared together with others, and pairs of rows that are compared at once.
+SMALL, PAIRS = 64, 1 << 17
 
 
 class Banding:
@@ -125,36 +127,67 @@ def _matches(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
+def _look_across(how: Banding, comp: np.ndarray, signs: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of two blocks that have a likely partner in the other one, the best partner of each, and its matches."""
+    m = _matches(signs[left], signs[right], how.bits)
+    m[(comp[left][:, None] == comp[right][None, :]) | (m < how.least_matches)] = -1
+    best_l, got_l = m.argmax(1), m.max(1)
+    l = np.flatnonzero(got_l >= 0)
+    if same:
+        return left[l], right[best_l[l]], got_l[l]
+    best_r, got_r = m.argmax(0), m.max(0)
+    r = np.flatnonzero(got_r >= 0)
+    return np.concatenate([left[l], right[r]]), np.concatenate([right[best_l[l]], left[best_r[r]]]), np.concatenate([got_l[l], got_r[r]])
+
+
+def _look_within(how: Banding, comp: np.ndarray, signs: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for many small buckets of one block each, at rows `first` and the next `size`, all at once."""
+    pairs = size * size
+    start = np.repeat(first, pairs)
+    wide = np.repeat(size, pairs)
+    at = np.arange(pairs.sum()) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+    j = start + at % wide
+    i = start + at // wide
+    x = signs[i] ^ signs[j]
+    folded = x
+    for k in range(1, how.bits):
+        folded = folded | (x >> U64(k))
+    lanes = U64(sum(1 << k for k in range(0, 64, how.bits)))
+    m = how.hashes - np.bitwise_count(folded & lanes).sum(1, dtype=np.int64)
+    m[(comp[i] == comp[j]) | (m < how.least_matches)] = -1
+    # the most matches, then the first row
+    heads = np.flatnonzero(at % wide == 0)
+    best = np.maximum.reduceat((m << 32) - j, heads)
+    found = best > 0
+    got = -(-best[found] >> 32)
+    return i[heads][found], (got << 32) - best[found], got
+
+
 def _look(how: Banding):
     """For each row of a block pair, its best partner in another component that may be linked."""
     names = [f"s{j}" for j in range(how.longs)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in T.in_groups(batches, ["key", "lo", "hi"]):
-            comp = group["component"].to_numpy()
-            if (comp == comp[0]).all():
-                continue
-            node, block = group["node"].to_numpy(), group["block"].to_numpy()
-            signs = np.stack([group[s].to_numpy() for s in names], 1).view(U64)
-            lo, hi = group["lo"][0].as_py(), group["hi"][0].as_py()
-            left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-            if not len(left) or not len(right):
-                continue
-            m = _matches(signs[left], signs[right], how.bits)
-            m[(comp[left][:, None] == comp[right][None, :]) | (m < how.least_matches)] = -1
-            best_l, best_r = m.argmax(1), m.argmax(0)
-            got_l, got_r = m.max(1), m.max(0)
-            l, r = np.flatnonzero(got_l >= 0), np.flatnonzero(got_r >= 0)
-            if lo == hi:
-                r = r[:0]
-            out = np.concatenate([left[l], right[r]])
-            if len(out):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(out), group["key"][0].as_py())), pa.array(np.full(len(out), lo, np.int32)),
-                     pa.array(np.full(len(out), hi, np.int32)), pa.array(block[out]), pa.array(node[out]), pa.array(comp[out]),
-                     pa.array(np.concatenate([node[right[best_l[l]]], node[left[best_r[r]]]])),
-                     pa.array(np.concatenate([got_l[l], got_r[r]]).astype(np.int32))],
-                    names=["key", "lo", "hi", "block", "node", "component", "partner", "matches"])
+        for table, cuts in T.whole_groups(batches, ["key", "lo", "hi"]):
+            comp, node, block, lo, hi = (table[c].to_numpy() for c in ("component", "node", "block", "lo", "hi"))
+            signs = np.stack([table[s].to_numpy() for s in names], 1).view(U64)
+            first, size = cuts[:-1], np.diff(cuts)
+            several = np.minimum.reduceat(comp, first) != np.maximum.reduceat(comp, first)
+            small = several & (lo[first] == hi[first]) & (size <= SMALL)
+            found = []
+            own, n = first[small], size[small]
+            part = np.cumsum(n * n) // PAIRS
+            for k in np.split(np.arange(len(own)), np.flatnonzero(np.diff(part)) + 1) if len(own) else []:
+                found.append(_look_within(how, comp, signs, own[k], n[k]))
+            for g in np.flatnonzero(several & ~small):
+                rows = np.arange(cuts[g], cuts[g + 1])
+                left, right = rows[block[rows] == lo[rows[0]]], rows[block[rows] == hi[rows[0]]]
+                if len(left) and len(right):
+                    found.append(_look_across(how, comp, signs, left, right, lo[rows[0]] == hi[rows[0]]))
+            if found:
+                out, partner, matches = (np.concatenate(f) for f in zip(*found))
+                taken = table.select(["key", "lo", "hi", "block", "node", "component"]).take(pa.array(out))
+                yield from taken.append_column("partner", pa.array(node[partner])).append_column("matches", pa.array(matches.astype(np.int32))).to_batches()
     return run
 
 

@@ -153,8 +153,8 @@ def strings(values: list[str]) -> pa.Array:
     return pa.array(values, pa.string())
 
 
-def in_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """One table per run of rows with equal `keys`, from rows that come sorted by them."""
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole runs of rows with equal `keys` and the bounds of the runs, from rows that come sorted by them."""
     keep_memory_low()
     rest = None
     for batch in batches:
@@ -169,8 +169,15 @@ def in_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa
             change |= own[1:] != own[:-1]
         cuts = np.concatenate(([0], np.flatnonzero(change) + 1))
         now = now.combine_chunks()
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
-            yield now.slice(lo, hi - lo)
+        if len(cuts) > 1:
+            yield now.slice(0, cuts[-1]), cuts
         rest = now.slice(cuts[-1])
     if rest is not None and rest.num_rows:
-        yield rest
+        yield rest, np.array([0, rest.num_rows])
+
+
+def in_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """One table per run of rows with equal `keys`, from rows that come sorted by them."""
+    for table, cuts in whole_groups(batches, keys):
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            yield table.slice(lo, hi - lo)
