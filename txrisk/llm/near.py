@@ -23,6 +23,8 @@ U64 = np.uint64
 BLOCK = 512
 #: Rows of a bucket that is compared together with others, and pairs of rows that are compared at once.
 SMALL, PAIRS = 64, 1 << 17
+#: Bytes of text of buckets that are cut into shingles together.
+TEXTS = 1 << 21
 
 
 class Banding:
@@ -255,35 +257,45 @@ class _Forest:
         return a != b
 
 
+def _joining(how: Banding, comp: np.ndarray, sets: np.ndarray, ends: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Links between rows of two blocks that join components. A left row counts what it shares with each right row."""
+    sizes = np.diff(ends)
+    order = np.concatenate([np.arange(ends[r], ends[r + 1]) for r in right]) if len(right) else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(right)), sizes[right])
+    by = np.argsort(sets[order], kind="stable")
+    values, owner = sets[order][by], owner[by]
+    forest, out = _Forest(), []
+    for l in left:
+        own = sets[ends[l]:ends[l + 1]]
+        a, b = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+        n = b - a
+        hits = np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        shared = np.bincount(owner[hits], minlength=len(right))
+        alike = (100 * shared >= how.percent * (sizes[l] + sizes[right] - shared)) & (comp[right] != comp[l])
+        out += [(int(l), int(r)) for r in right[np.flatnonzero(alike)] if forest.join(int(comp[l]), int(comp[r]))]
+    return out
+
+
 def _compare(how: Banding):
     """Full sets of two blocks against each other; the links that join components leave the task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in T.in_groups(batches, ["key", "lo", "hi"]):
-            comp, node, block = (group[c].to_numpy() for c in ("component", "node", "block"))
-            lo, hi = group["lo"][0].as_py(), group["hi"][0].as_py()
-            if (comp == comp[0]).all():
-                continue
-            sets, ends = _sets(group["packed"].to_pylist(), group["raw"].to_pylist(), how.width)
-            sizes = np.diff(ends)
-            forest, out = _Forest(), []
-            left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-            # rows of the right side by shingle; a left row counts what it shares with each of them
-            order = np.concatenate([np.arange(ends[r], ends[r + 1]) for r in right]) if len(right) else np.zeros(0, np.int64)
-            owner = np.repeat(np.arange(len(right)), sizes[right])
-            by = np.argsort(sets[order], kind="stable")
-            values, owner = sets[order][by], owner[by]
-            for l in left:
-                own = sets[ends[l]:ends[l + 1]]
-                a, b = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
-                n = b - a
-                hits = np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-                shared = np.bincount(owner[hits], minlength=len(right))
-                alike = (100 * shared >= how.percent * (sizes[l] + sizes[right] - shared)) & (comp[right] != comp[l])
-                for r in right[np.flatnonzero(alike)]:
-                    if forest.join(int(comp[l]), int(comp[r])):
-                        out.append((int(node[l]), int(node[r])))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        for table, cuts in T.whole_groups(batches, ["key", "lo", "hi"]):
+            comp, node, block, lo, hi, raw = (table[c].to_numpy() for c in ("component", "node", "block", "lo", "hi", "raw"))
+            first = cuts[:-1]
+            open_ = np.flatnonzero(np.minimum.reduceat(comp, first) != np.maximum.reduceat(comp, first))
+            # texts of several buckets are cut into shingles at once
+            part = np.cumsum(np.add.reduceat(raw, first)[open_]) // TEXTS
+            for groups in np.split(open_, np.flatnonzero(np.diff(part)) + 1) if len(open_) else []:
+                rows = np.concatenate([np.arange(cuts[g], cuts[g + 1]) for g in groups])
+                sets, ends = _sets(table["packed"].take(pa.array(rows)).to_pylist(), raw[rows].tolist(), how.width)
+                own, at, out = comp[rows], 0, []
+                for g in groups:
+                    here = np.arange(at, at + cuts[g + 1] - cuts[g])
+                    at += len(here)
+                    b = block[rows[here]]
+                    out += _joining(how, own, sets, ends, here[b == lo[first[g]]], here[b == hi[first[g]]])
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(node[rows[[p[k] for p in out]]]) for k in (0, 1)], names=["a", "b"])
     return run
 
 
