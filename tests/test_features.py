@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import DAY, HOUR, SF, T0, values
 from txrisk.operators import features
+from txrisk.operators.history import history_features
 from txrisk.options import FeatureOptions
 from txrisk.schemas import FEATURE_VECTOR
 from txrisk.sources import adapters
@@ -158,3 +159,16 @@ def test_ordinary_users_take_one_shuffle(spark):
     tx = adapters.transactions(adapters.read_events(spark, SF))
     plan = features.feature_vector(tx)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_tasks_hold_a_bounded_number_of_rows(spark):
+    """The partitions of the history grow in number with the rows, also where users are split."""
+    tx = spark.range(4_000).select(
+        F.col("id").cast("string").alias("transaction_id"), F.concat(F.lit("u"), F.col("id") % 40).alias("user_id"),
+        F.concat(F.lit("m"), F.col("id") % 7).alias("merchant_id"), F.lit("C1").alias("country"), F.lit(1.5).alias("amount"),
+        (F.col("id") * 60_000_000).alias("ts_us"), F.lit(0).alias("label"))
+    whole = {r.transaction_id: r for r in history_features(tx, FeatureOptions()).collect()}
+    for opts in (FeatureOptions(task_rows=100), FeatureOptions(task_rows=100, hot_rows=50, slice_rows=10)):
+        found = history_features(tx, opts)
+        assert found.rdd.getNumPartitions() >= 40
+        assert {r.transaction_id: r for r in found.collect()} == whole
