@@ -10,6 +10,7 @@ from conftest import SF, values
 from test_streaming import put, run
 from txrisk.operators import drift, features, ingest, scoring
 from txrisk.options import MonitorOptions
+from txrisk.plans import catalog
 from txrisk.schemas import FEATURE_VECTOR, PREDICTION
 from txrisk.sources import adapters, tables
 from txrisk.streaming import batches, counters
@@ -295,3 +296,11 @@ def test_predictions_join_on_a_stream(spark, tmp_path):
     assert found == {r.transaction_id: (round(r.prediction, 6), r.prediction_missing) for r in want.collect()}
     assert {n for n, (_, missing) in found.items() if missing} == {"too late", "expired", "none"}
     assert found["two"] == (0.2, False)
+
+
+def test_files_of_messages_grow_in_number(spark):
+    """A task that writes messages gets a bounded number of them."""
+    own, folder, files = catalog._messages(spark, SF, 100)
+    written = own.read.parquet(f"{folder}/messages")
+    assert files == 10 and len(written.inputFiles()) == 10
+    assert written.count() == 1000 and written.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] < 200
