@@ -61,6 +61,9 @@ SCALE = 16
 ONE = 10 ** SCALE
 #: Entries of a part of a hashed map before the map is cut finer.
 PART_ENTRIES = 512
+#: Rows of a user that are kept as one entry; more are kept by bucket, then and from there on.
+TOGETHER = 512
+_ALL = (-1,)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -255,10 +258,12 @@ class HistoryProcessor(StatefulProcessor):
             (known[0], known[1], int(known[2]), int(known[3]), *known[4:9], known[14]))
         totals = {} if known is None else {b: (c, int(e), g) for b, c, e, g in zip(*known[9:13])}
         bits = (None, None, None) if known is None else known[13]
+        # a state of three numbers keeps its rows by bucket
+        together = known is None or (len(bits) > 3 and bits[3] == 0)
         members, merchants, countries = (_HashedMap(state, b) for state, b in zip((self.members, self.merchants, self.countries), bits))
-        buckets: dict[int, np.ndarray] = {}
+        buckets = self._together(totals) if together else {}
 
-        rows = rows.sort_values(self.order, kind="stable", ignore_index=True)
+        rows = self._sorted(rows)
         ts, amount = rows["ts_us"].to_numpy(np.int64), rows["amount"].to_numpy(np.float64)
         n = len(ts)
         parts = [window_parts(a) for a in amount.tolist()]
@@ -300,9 +305,9 @@ class HistoryProcessor(StatefulProcessor):
         moments, after = self._moments(rows, gap, (n0, s0, ss0, g0, gg0, f0))
         out |= moments
 
-        self._keep_rows(buckets, totals, ts, amount, member, parts, old, from_state, old_ts, last)
+        together = self._keep_rows(buckets, totals, ts, amount, member, parts, old, from_state, old_ts, last, together)
         members.put(member, ts, keep_from=last - self.retention_us - self.bucket_us)
-        kept_bits = [m.flush() for m in (members, merchants, countries)]
+        kept_bits = [m.flush() for m in (members, merchants, countries)] + [0 if together else 1]
         if self.idle_ms is not None:
             if expires is not None:
                 self.handle.deleteTimer(expires)
@@ -314,6 +319,22 @@ class HistoryProcessor(StatefulProcessor):
                           [str(totals[b][1]) for b in held], [totals[b][2] for b in held], kept_bits, expires))
         return pd.DataFrame({**{c: rows[c] for c in self.payload}, **{f.name: out[f.name] for f in HISTORY_FIELDS}})
 
+    def _sorted(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """The rows by `order`; where its first column is enough, numbers without ties, the others are not looked at."""
+        first = rows[self.order[0]]
+        if first.dtype == np.int64:
+            place = np.argsort(first.to_numpy(), kind="stable")
+            if (np.diff(first.to_numpy()[place]) > 0).all():
+                return rows.take(place).reset_index(drop=True)
+        return rows.sort_values(self.order, kind="stable", ignore_index=True)
+
+    def _together(self, totals: dict) -> dict[int, np.ndarray]:
+        """The buckets of a user whose rows are kept as one entry."""
+        stored = self.rows.getValue(_ALL) if totals else None
+        every = np.frombuffer(stored[0] if stored else b"", np.int64).reshape(3, -1)
+        own = every[0] // self.bucket_us
+        return {b: every[:, own == b] for b in totals}
+
     def _bucket(self, buckets: dict[int, np.ndarray], totals: dict, b: int) -> np.ndarray:
         """(times, amounts, hashes) of a bucket's rows in time order, as three rows of 64-bit words."""
         if b not in buckets:
@@ -374,8 +395,9 @@ class HistoryProcessor(StatefulProcessor):
             n, s, ss, g, gg, f = n + 1, s + units, ss + units * units, g + big, gg + big * big, f + y
         return out, (n, s, ss, g, gg, f)
 
-    def _keep_rows(self, buckets, totals, ts, amount, member, parts, old, from_state, old_ts, last: int) -> None:
-        """Put the rows into their buckets, take replaced ones out, and drop the buckets beyond the retention."""
+    def _keep_rows(self, buckets, totals, ts, amount, member, parts, old, from_state, old_ts, last: int, together: bool) -> bool:
+        """Put the rows into their buckets, take replaced ones out, and drop the buckets beyond the retention; returns
+        whether the rows are kept as one entry."""
         before = last - self.retention_us
         replaced_here = np.zeros(len(ts), bool)
         replaced_here[old[old >= 0]] = True
@@ -400,12 +422,21 @@ class HistoryProcessor(StatefulProcessor):
             totals[b] = (c + len(new), e + sum(parts[i][0] for i in new), g + sum(parts[i][1] for i in new))
             changed.add(b)
         for b in [b for b in totals if (b + 1) * self.bucket_us <= before]:
-            if self.rows.containsKey((b,)):
+            if not together and self.rows.containsKey((b,)):
                 self.rows.removeKey((b,))
             del totals[b]
             changed.discard(b)
+        if together:
+            if sum(c for c, _, _ in totals.values()) <= TOGETHER:
+                every = [buckets[b] for b in totals]
+                self.rows.updateValue(_ALL, (np.concatenate(every, axis=1).tobytes() if every else b"",))
+                return True
+            if self.rows.containsKey(_ALL):
+                self.rows.removeKey(_ALL)
+            changed = set(totals)
         for b in changed:
             self.rows.updateValue((b,), (buckets[b].tobytes(),))
+        return False
 
     def close(self) -> None:
         pass
