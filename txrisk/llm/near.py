@@ -16,13 +16,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from txrisk.llm import text as T
 from txrisk.llm.components import components
-from txrisk.session import checkpointed
+from txrisk.llm.stages import stored
+from txrisk.session import checkpointed, release
 
 U64 = np.uint64
 #: Expected nodes of a block of a bucket; a task compares two blocks.
 BLOCK = 512
 #: Rows of a bucket that is compared together with others, and pairs of rows that are compared at once.
 SMALL, PAIRS = 64, 1 << 17
+#: Rows of a bucket whose pairs are compared on full sets one by one, those of many buckets at once, and shingles that are looked up at once.
+FEW, VALUES = 8, 1 << 18
 #: Bytes of text of buckets that are cut into shingles together.
 TEXTS = 1 << 21
 
@@ -201,7 +204,7 @@ def _packed(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     def run(batches):
         codec = pa.Codec("zstd", compression_level=1)
         for batch in T.slices(batches):
-            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
+            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["node", "packed", "raw"])
@@ -276,6 +279,38 @@ def _joining(how: Banding, comp: np.ndarray, sets: np.ndarray, ends: np.ndarray,
     return out
 
 
+def _linked_pairs(how: Banding, sets: np.ndarray, ends: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the rows of each pair are linked, for many pairs at once."""
+    sizes = np.diff(ends)
+    out = linked(np.minimum(sizes[i], sizes[j]), sizes[i], sizes[j], how.percent)
+    values, rank = np.unique(sets, return_inverse=True)
+    keys = np.repeat(np.arange(len(sizes)), sizes) * len(values) + rank  # ascending: by row, then by value
+    asked = np.flatnonzero(out)
+    part = np.cumsum(sizes[i[asked]]) // VALUES
+    for now in np.split(asked, np.flatnonzero(np.diff(part)) + 1) if len(asked) else []:
+        n = sizes[i[now]]
+        start = np.cumsum(n) - n
+        own = rank[np.arange(n.sum()) + np.repeat(ends[i[now]] - start, n)]
+        want = np.repeat(j[now], n) * len(values) + own
+        shared = np.add.reduceat(keys[np.minimum(np.searchsorted(keys, want), len(keys) - 1)] == want, start, dtype=np.int64)
+        out[now] = linked(shared, n, sizes[j[now]], how.percent)
+    return out
+
+
+def _joining_few(how: Banding, comp: np.ndarray, sets: np.ndarray, ends: np.ndarray, first: np.ndarray, size: np.ndarray) -> list[tuple[int, int]]:
+    """The same as `_joining` within many buckets of few rows, at rows `first` and the next `size`."""
+    found = []
+    for a in range(FEW):
+        for b in range(a + 1, FEW):
+            own = first[size > b]
+            found.append((own + a, own + b))
+    i, j = (np.concatenate(x) for x in zip(*found))
+    pick = comp[i] != comp[j]
+    i, j = i[pick], j[pick]
+    ok, forest = _linked_pairs(how, sets, ends, i, j), _Forest()
+    return [(int(l), int(r)) for l, r in zip(i[ok], j[ok]) if forest.join(int(comp[l]), int(comp[r]))]
+
+
 def _compare(how: Banding):
     """Full sets of two blocks against each other; the links that join components leave the task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,10 +323,13 @@ def _compare(how: Banding):
             for groups in np.split(open_, np.flatnonzero(np.diff(part)) + 1) if len(open_) else []:
                 rows = np.concatenate([np.arange(cuts[g], cuts[g + 1]) for g in groups])
                 sets, ends = _sets(table["packed"].take(pa.array(rows)).to_pylist(), raw[rows].tolist(), how.width)
-                own, at, out = comp[rows], 0, []
-                for g in groups:
-                    here = np.arange(at, at + cuts[g + 1] - cuts[g])
-                    at += len(here)
+                size = cuts[groups + 1] - cuts[groups]
+                at = np.cumsum(size) - size
+                few = (size <= FEW) & (lo[first[groups]] == hi[first[groups]])
+                own = comp[rows]
+                out = _joining_few(how, own, sets, ends, at[few], size[few])
+                for g, start in zip(groups[~few], at[~few]):
+                    here = np.arange(start, start + cuts[g + 1] - cuts[g])
                     b = block[rows[here]]
                     out += _joining(how, own, sets, ends, here[b == lo[first[g]]], here[b == hi[first[g]]])
                 if out:
@@ -305,7 +343,7 @@ def near_classes(rows: DataFrame, how: Banding) -> DataFrame:
     component is the smallest id that can be reached over links. A row without shingles is its own component.
     Rows that share an id are one node; a row without id gets no component and links nothing.
     """
-    marks = checkpointed(signatures(rows, how))
+    marks = stored(signatures(rows, how), "marks")
     full = marks.filter("n > 0 and id is not null")
     classes = full.groupBy("h1", "h2", "n").agg(F.min("id").alias("node"))
     tagged = full.join(classes, ["h1", "h2", "n"])
@@ -316,12 +354,14 @@ def near_classes(rows: DataFrame, how: Banding) -> DataFrame:
     size = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     signs = nodes.select("node", *names)
     shared = checkpointed(keyed.join(size, "key").join(signs, "node"))
+    release(rows.sparkSession)
 
     alone = shared.withColumn("component", F.col("node"))
     first = checkpointed(_block_rows(alone).mapInArrow(_look(how), LOOK))
     packed = checkpointed(_packed(rows.select("id", "text"), first.select("node").unionByName(first.select(F.col("partner").alias("node"))).distinct()).dropDuplicates(["node", "packed"]))
     best = first.groupBy("node").agg(F.max(F.struct("matches", (-F.col("partner")).alias("partner"))).alias("best"))
     pairs = best.select(F.least("node", -F.col("best.partner")).alias("a"), F.greatest("node", -F.col("best.partner")).alias("b")).distinct()
+    release(rows.sparkSession)
     links = checkpointed(confirmed(pairs, packed, how))
 
     def labelled(df: DataFrame, found: DataFrame) -> DataFrame:
@@ -329,6 +369,7 @@ def near_classes(rows: DataFrame, how: Banding) -> DataFrame:
 
     # buckets that still hold several components, without the rows that have no likely partner in them
     found = components(links)
+    release(rows.sparkSession)
     flagged = labelled(first.select("key", "node").distinct().join(shared, ["key", "node"]), found)
     split = flagged.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("members")).filter("c0 <> c1").select("key", "members")
     open_rows = flagged.drop("size").join(split, "key").withColumnRenamed("members", "size")
@@ -336,6 +377,7 @@ def near_classes(rows: DataFrame, how: Banding) -> DataFrame:
     left = again.select("key", "lo", "hi", "block", "node", "component")
     compared = left.join(packed, "node").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_compare(how), "a long, b long")
     found = components(links.unionByName(compared))
+    release(rows.sparkSession)
     member = labelled(tagged.select("id", "node"), found).groupBy("id").agg(F.min("component").alias("component"))
     return (
         marks.select("id", "n").join(member, "id", "left")

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from txrisk.llm import text as T
 from txrisk.llm.near import Banding, near_classes
-from txrisk.session import checkpointed
+from txrisk.llm.stages import stored
+from txrisk.session import checkpointed, release
 
 U64 = np.uint64
 
@@ -26,7 +27,7 @@ PARAGRAPHS = Banding(width=5, percent=80, bands=12, rows=2, bits=8)
 LEAST_WORDS = 20
 #: A paragraph's id is its document's id, then its number in this many bits.
 PLACE_BITS = 24
-WORD = r"[^\x20\x09-\x0D]+"
+WORD, BLANK = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]"
 #: Words of the shortest passage that counts as a repeat, and of an anchor.
 PASSAGE, ANCHOR = 51, 25
 
@@ -36,7 +37,9 @@ def paragraphs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     lines = T.id_and_text(docs).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("place", "text"))
     wide = 1 << (62 - PLACE_BITS)
     fits = F.col("doc_id").between(-wide, wide - 1) & (F.col("place") < (1 << PLACE_BITS))
-    return lines.filter(F.regexp_count("text", F.lit(WORD)) >= least_words).select(
+    # looks at no more words than it takes to tell, and never back
+    long = rf"\A{BLANK}*+(?:{WORD}+{BLANK}++){{{least_words - 1}}}{WORD}" if least_words > 0 else ""
+    return lines.filter(F.col("text").rlike(long)).select(
         F.when(F.coalesce(fits, F.lit(True)), F.col("doc_id") * (1 << PLACE_BITS) + F.col("place"))
         .otherwise(F.raise_error(F.lit("document ids or line numbers are too large for paragraph ids")).cast("long")).alias("id"), "text")
 
@@ -66,21 +69,29 @@ def repeated_paragraphs(docs: DataFrame, how: Banding = PARAGRAPHS, least_words:
 
 _POWER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_POWER, -1, 1 << 64)
+_powers = [np.ones(1, U64), np.ones(1, U64)]
 
 
 def _run_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     """A hash of each run of `width` neighbouring words."""
     n = len(hashes)
-    up, down = (np.cumprod(np.concatenate((np.ones(1, U64), np.full(max(n - 1, 0), b, U64))), dtype=U64)[:n] for b in (_POWER, _INVERSE))
+    if n > len(_powers[0]):
+        _powers[:] = [np.cumprod(np.concatenate((np.ones(1, U64), np.full(max(n, 1 << 14) - 1, b, U64))), dtype=U64) for b in (_POWER, _INVERSE)]
+    up, down = _powers[0][:n], _powers[1]
     sums = np.concatenate((np.zeros(1, U64), np.cumsum(hashes * up, dtype=U64)))
     return T.mix((sums[width:] - sums[:-width]) * down[:max(n - width + 1, 0)] + U64(width)) if n >= width else np.zeros(0, U64)
 
 
-def _stretches(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Where each stretch of PASSAGE words begins that lies in one row, its row, its hash, and where its anchor begins."""
+def _begins(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each stretch of PASSAGE words begins that lies in one row, and its row."""
     sizes = np.maximum(np.diff(first) - PASSAGE + 1, 0)
     row = np.repeat(np.arange(len(sizes)), sizes)
-    begin = first[:-1][row] + np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row]
+    return first[:-1][row] + np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row], row
+
+
+def _stretches(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where each stretch of PASSAGE words begins that lies in one row, its row, its hash, and where its anchor begins."""
+    begin, row = _begins(first)
     if not len(begin):
         return begin, row, np.zeros(0, U64), begin
     return begin, row, _run_hashes(hashes, PASSAGE)[begin], _first_least(_run_hashes(hashes, ANCHOR), PASSAGE - ANCHOR + 1)[begin]
@@ -97,6 +108,21 @@ def _first_least(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
+def _list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(anchor, n): how often each anchor begins a run of stretches in a slice, without more."""
+    for batch in T.slices(batches):
+        found = []
+        for _, _, data, off in T.runs(batch.column("text")):
+            hashes, first = T.words(data, off)
+            begin, _ = _begins(first)
+            if len(begin):
+                anchors = _run_hashes(hashes, ANCHOR)
+                at = _first_least(anchors, PASSAGE - ANCHOR + 1)[begin]
+                found.append(anchors[at[np.concatenate(([True], at[1:] != at[:-1]))]])
+        anchor, n = np.unique(np.concatenate([np.zeros(0, U64), *found]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(n.astype(np.int64))], names=["anchor", "n"])
+
+
 def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in T.slices(batches):
         for lo, hi, data, off in T.runs(batch.column("text")):
@@ -123,7 +149,7 @@ _ANCHORS = "doc_id long, anchor long, alike long, place int, n int, line int, la
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codec = pa.Codec("zstd", compression_level=1)
     for batch in T.slices(batches):
-        texts = [t.encode() for t in batch.column("text").to_pylist()]
+        texts = batch.column("text").cast(pa.binary()).to_pylist()
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64())],
             names=["doc_id", "packed", "raw"])
@@ -165,11 +191,12 @@ def repeated_passages(docs: DataFrame, gone: DataFrame | None = None) -> DataFra
     gone = gone.groupBy("doc_id").agg(F.collect_set("paragraph").alias("gone"))
     # anchors that occur once end here
     anchors = rows.mapInArrow(_find_anchors, _ANCHORS)
-    again = anchors.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor")
+    again = rows.mapInArrow(_list_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("times")).filter("times > 1").select("anchor")
     # an anchor that lies in a line that is gone ends here, too; one beside such a line is compared by its stretches
     touched = F.exists(F.coalesce("gone", F.array().cast("array<bigint>")), lambda k: k.between(F.col("line"), F.col("last")))
-    shared = checkpointed(anchors.join(again, "anchor").join(gone, "doc_id", "left").withColumn("part", touched)
-                          .filter("not (part and line = last)").drop("gone", "line", "last"))
+    shared = stored(anchors.join(again, "anchor").join(gone, "doc_id", "left").withColumn("part", touched)
+                    .filter("not (part and line = last)").drop("gone", "line", "last"), "anchors")
+    release(docs.sparkSession)
     whole = shared.filter("not part")
     firsts = whole.groupBy("anchor", "alike").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.first("n").alias("n"))
     several = shared.groupBy("anchor").agg((F.max("part") | (F.min("alike") != F.max("alike"))).alias("open")).filter("open").select("anchor")
@@ -179,7 +206,8 @@ def repeated_passages(docs: DataFrame, gone: DataFrame | None = None) -> DataFra
     unsure = firsts.join(several, "anchor", "left_semi").select("first.doc_id", "first.place", "n").unionByName(shared.filter("part").select("doc_id", "place", "n"))
     asked = unsure.groupBy("doc_id").agg(F.collect_set(F.struct("place", "n")).alias("open")).join(gone, "doc_id", "left")
     packed = rows.mapInArrow(_pack, "doc_id long, packed binary, raw long")
-    stretches = checkpointed(packed.join(asked, "doc_id").mapInArrow(_compare, "doc_id long, place int, own long"))
+    stretches = stored(packed.join(asked, "doc_id").mapInArrow(_compare, "doc_id long, place int, own long"), "stretches")
+    release(docs.sparkSession)
     earliest = stretches.groupBy("own").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
     single = stretches.join(earliest, "own").filter(F.struct("doc_id", "place") != F.col("first")).select(
         "doc_id", "place", (F.col("place") + PASSAGE).alias("end"), F.col("first.doc_id").alias("class_doc_id"), F.col("first.place").alias("class_word"))
@@ -200,6 +228,7 @@ def repeats(docs: DataFrame, how: Banding = PARAGRAPHS, least_words: int = LEAST
     Rows of paragraphs have no first_word, n_words and class_word, rows of passages no paragraph and class_paragraph.
     """
     lines = checkpointed(repeated_paragraphs(docs, how, least_words))
+    release(docs.sparkSession)
     return lines.unionByName(repeated_passages(docs, lines.filter("removed")).withColumn("removed", F.lit(True)), allowMissingColumns=True)
 
 
