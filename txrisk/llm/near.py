@@ -59,10 +59,18 @@ class Banding:
 
 def _minima(sets: np.ndarray, ends: np.ndarray, factors: np.ndarray) -> np.ndarray:
     """(hashes, rows) smallest 32-bit values of each non-empty row under each hash."""
-    out = np.empty((len(factors), len(ends) - 1), U64)
+    out, product = np.empty((len(factors), len(ends) - 1), U64), np.empty_like(sets)
     for k, f in enumerate(factors):
-        out[k] = np.minimum.reduceat((sets * f) >> U64(32), ends[:-1])
-    return out
+        np.minimum.reduceat(np.multiply(sets, f, out=product), ends[:-1], out=out[k])
+    return out >> U64(32)
+
+
+def _key_names(how: Banding) -> list[str]:
+    return [f"k{j}" for j in range(how.bands)]
+
+
+def _sign_names(how: Banding) -> list[str]:
+    return [f"s{j}" for j in range(how.longs)]
 
 
 def _signatures(how: Banding):
@@ -70,14 +78,14 @@ def _signatures(how: Banding):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.slices(batches):
-            ids = batch.column("id")
+            found = []
             for lo, hi, data, off in T.runs(batch.column("text")):
                 sets, ends = T.shingles(*T.words(data, off), how.width)
                 n = np.diff(ends)
                 full = np.flatnonzero(n > 0)
-                marks = np.zeros((2, hi - lo), np.int64)
-                keys = [None] * (hi - lo)
-                signs = np.zeros((how.longs, hi - lo), np.int64)
+                out = np.zeros((3 + how.bands + how.longs, hi - lo), np.int64)
+                out[0] = n
+                marks, keys, signs = out[1:3], out[3:3 + how.bands], out[3 + how.bands:]
                 if len(full):
                     own = np.append(ends[:-1][full], ends[-1])
                     for j, salt in enumerate((U64(0x2545F4914F6CDD1D), U64(0x9FB21C651E98DF25))):
@@ -87,23 +95,18 @@ def _signatures(how: Banding):
                     h = np.arange(1, how.bands + 1, dtype=U64)[:, None] * U64(0x9E3779B97F4A7C15)
                     for r in range(how.rows):
                         h = T.mix(h ^ bands[:, r])
-                    flat = np.ascontiguousarray(h.T).view(np.int64)
+                    keys[:, full] = h.view(np.int64)
                     packed = (low & U64((1 << how.bits) - 1)).reshape(how.longs, -1, len(full))
                     for j in range(packed.shape[1]):
                         signs[:, full] |= (packed[:, j] << U64(j * how.bits)).view(np.int64)
-                    for place, row in zip(full, flat):
-                        keys[place] = row
-                yield pa.RecordBatch.from_arrays(
-                    [ids[lo:hi], pa.array(n), pa.array(marks[0]), pa.array(marks[1]), pa.array(keys, pa.list_(pa.int64()))]
-                    + [pa.array(s) for s in signs],
-                    names=["id", "n", "h1", "h2", "keys"] + [f"s{j}" for j in range(how.longs)])
+                found.append(out)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *map(pa.array, np.concatenate(found, 1))], names=["id", "n", "h1", "h2", *_key_names(how), *_sign_names(how)])
     return run
 
 
 def signatures(rows: DataFrame, how: Banding) -> DataFrame:
-    """(id, text) to id, set size n, 128-bit set hash h1 and h2, band keys, packed signature s0, s1, ..."""
-    schema = "id long, n long, h1 long, h2 long, keys array<long>, " + ", ".join(f"s{j} long" for j in range(how.longs))
-    return rows.select("id", "text").mapInArrow(_signatures(how), schema)
+    """(id, text) to id, set size n, 128-bit set hash h1 and h2, band keys k0, k1, ..., packed signature s0, s1, ..."""
+    return rows.select("id", "text").mapInArrow(_signatures(how), ", ".join(f"{c} long" for c in ("id", "n", "h1", "h2", *_key_names(how), *_sign_names(how))))
 
 
 def _block_rows(shared: DataFrame) -> DataFrame:
@@ -170,7 +173,7 @@ def _look_within(how: Banding, comp: np.ndarray, signs: np.ndarray, first: np.nd
 
 def _look(how: Banding):
     """For each row of a block pair, its best partner in another component that may be linked."""
-    names = [f"s{j}" for j in range(how.longs)]
+    names = _sign_names(how)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cuts in T.whole_groups(batches, ["key", "lo", "hi"]):
@@ -347,13 +350,15 @@ def near_classes(rows: DataFrame, how: Banding) -> DataFrame:
     full = marks.filter("n > 0 and id is not null")
     classes = full.groupBy("h1", "h2", "n").agg(F.min("id").alias("node"))
     tagged = full.join(classes, ["h1", "h2", "n"])
-    names = [f"s{j}" for j in range(how.longs)]
-    nodes = tagged.filter("id = node").dropDuplicates(["node", "h1", "h2"])
-    # band keys travel alone; most are a single node's, and only the others meet their signatures again
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    size = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    signs = nodes.select("node", *names)
-    shared = checkpointed(keyed.join(size, "key").join(signs, "node"))
+    keys, names = _key_names(how), _sign_names(how)
+    # rows of equal sets have equal keys and signatures, so any of them, as the least, is the node's
+    nodes = full.groupBy("h1", "h2", "n").agg(F.min("id").alias("node"), *[F.min(c).alias(c) for c in keys + names])
+    # band keys travel alone; most are a single node's, and only the others meet their signatures again, once the keys' files are gone
+    keyed = nodes.select("node", F.explode(F.array(*keys)).alias("key"))
+    size = keyed.groupBy("key").agg(F.count("node").alias("size")).filter("size > 1")  # of the node, so that both read the same files
+    several = checkpointed(keyed.join(size.hint("shuffle_hash"), "key"))
+    release(rows.sparkSession)
+    shared = checkpointed(several.join(nodes.select("node", *names), "node"))
     release(rows.sparkSession)
 
     alone = shared.withColumn("component", F.col("node"))

@@ -30,6 +30,8 @@ PLACE_BITS = 24
 WORD, BLANK = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]"
 #: Words of the shortest passage that counts as a repeat, and of an anchor.
 PASSAGE, ANCHOR = 51, 25
+#: Stretches of several texts that leave a task together.
+WAITING = 1 << 15
 
 
 def paragraphs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -125,7 +127,8 @@ def _list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in T.slices(batches):
-        for lo, hi, data, off in T.runs(batch.column("text")):
+        found = []
+        for lo, _, data, off in T.runs(batch.column("text")):
             kept, at, starts, first = T.word_bounds(data, off)
             hashes = T.hash_words(kept, at)
             begin, row, own, anchor = _stretches(hashes, first)
@@ -137,10 +140,11 @@ def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             lines = np.concatenate(([0], np.cumsum(data == 10)))
             r, b = row[heads], begin[heads]
             line, last = (lines[starts[w]] - lines[off[r]] for w in (b, b + n + PASSAGE - 2))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id")[lo:hi].take(pa.array(r)), pa.array(_run_hashes(hashes, ANCHOR)[anchor[heads]].view(np.int64)), pa.array(alike.view(np.int64)),
-                 pa.array((b - first[r]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(line.astype(np.int32)), pa.array(last.astype(np.int32))],
-                names=["doc_id", "anchor", "alike", "place", "n", "line", "last"])
+            found.append((lo + r, _run_hashes(hashes, ANCHOR)[anchor[heads]].view(np.int64), alike.view(np.int64),
+                          *(x.astype(np.int32) for x in (b - first[r], n, line, last))))
+        if found:
+            r, *columns = (np.concatenate(x) for x in zip(*found))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(r)), *map(pa.array, columns)], names=["doc_id", "anchor", "alike", "place", "n", "line", "last"])
 
 
 _ANCHORS = "doc_id long, anchor long, alike long, place int, n int, line int, last int"
@@ -160,6 +164,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codec = pa.Codec("zstd")
     T.keep_memory_low()
     for batch in batches:
+        found, waiting = [], 0
         for r in range(batch.num_rows):
             size = batch.column("raw")[r].as_py()
             data = np.frombuffer(codec.decompress(batch.column("packed")[r].as_py(), size, asbytes=True), np.uint8)
@@ -173,9 +178,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lines = np.cumsum(data == 10)[starts]
                 lost = np.concatenate(([0], np.cumsum(np.isin(lines, gone))))
                 place = place[lost[place + PASSAGE] == lost[place]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(place), batch.column("doc_id")[r].as_py(), np.int64)), pa.array(place.astype(np.int32)), pa.array(own[place].view(np.int64))],
-                names=["doc_id", "place", "own"])
+            found.append((np.full(len(place), batch.column("doc_id")[r].as_py(), np.int64), place.astype(np.int32), own[place].view(np.int64)))
+            waiting += len(place)
+            if waiting >= WAITING or r == batch.num_rows - 1:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["doc_id", "place", "own"])
+                found, waiting = [], 0
 
 
 def repeated_passages(docs: DataFrame, gone: DataFrame | None = None) -> DataFrame:
@@ -189,17 +196,18 @@ def repeated_passages(docs: DataFrame, gone: DataFrame | None = None) -> DataFra
     if gone is None:
         gone = docs.sparkSession.createDataFrame([], "doc_id long, paragraph long")
     gone = gone.groupBy("doc_id").agg(F.collect_set("paragraph").alias("gone"))
-    # anchors that occur once end here
+    # anchors that occur once end here; what the joins below ask for is stored first, so Spark can split the rows of a very common anchor
     anchors = rows.mapInArrow(_find_anchors, _ANCHORS)
-    again = rows.mapInArrow(_list_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("times")).filter("times > 1").select("anchor")
+    again = stored(rows.mapInArrow(_list_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("times")).filter("times > 1").select("anchor"), "again")
     # an anchor that lies in a line that is gone ends here, too; one beside such a line is compared by its stretches
     touched = F.exists(F.coalesce("gone", F.array().cast("array<bigint>")), lambda k: k.between(F.col("line"), F.col("last")))
-    shared = stored(anchors.join(again, "anchor").join(gone, "doc_id", "left").withColumn("part", touched)
+    shared = stored(anchors.join(again.hint("shuffle_hash"), "anchor").join(gone, "doc_id", "left").withColumn("part", touched)
                     .filter("not (part and line = last)").drop("gone", "line", "last"), "anchors")
     release(docs.sparkSession)
     whole = shared.filter("not part")
-    firsts = whole.groupBy("anchor", "alike").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.first("n").alias("n"))
-    several = shared.groupBy("anchor").agg((F.max("part") | (F.min("alike") != F.max("alike"))).alias("open")).filter("open").select("anchor")
+    firsts = stored(whole.groupBy("anchor", "alike").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.first("n").alias("n")), "firsts")
+    several = stored(shared.groupBy("anchor").agg((F.max("part") | (F.min("alike") != F.max("alike"))).alias("open")).filter("open").select("anchor"), "several")
+    release(docs.sparkSession)
     same = whole.join(firsts.drop("n"), ["anchor", "alike"]).filter(F.struct("doc_id", "place") != F.col("first")).select(
         "doc_id", "place", (F.col("place") + F.col("n") + (PASSAGE - 1)).alias("end"), F.col("first.doc_id").alias("class_doc_id"), F.col("first.place").alias("class_word"))
 
